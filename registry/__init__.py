@@ -1 +1,13 @@
+"""Every operator as a named query over the given tables."""
 
+from importlib import import_module
+
+MODULES = ("rows", "tables", "joins", "aggregates", "maps", "samples", "scores", "streams")
+
+
+def load() -> dict:
+    for module in MODULES:
+        import_module(f"registry.{module}")
+    from registry.core import QUERIES
+
+    return QUERIES

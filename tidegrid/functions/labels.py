@@ -106,7 +106,8 @@ def folder_weight(folder: Column) -> Column:
 
 
 def cap_length(length_m: Column) -> Column:
-    return F.least(length_m, F.lit(float(MAX_OBJECT_LENGTH_M)))
+    # least() skips NULLs, and a missing length must stay missing
+    return F.when(length_m.isNotNull(), F.least(length_m, F.lit(float(MAX_OBJECT_LENGTH_M))))
 
 
 def confidence_rank(confidence: Column) -> Column:
@@ -133,6 +134,18 @@ def _by_flag(flag: Column, no: str, yes: str, unknown: str) -> Column:
     return F.when(flag.isNull(), unknown).when(flag, yes).otherwise(no)
 
 
+def two_decimals(p: Column) -> Column:
+    """A score in [0, 1] with two decimals, rounded from its exact binary value, ties to even."""
+    scaled = p * F.lit(float(1 << 53))
+    whole = F.floor(scaled).cast("bigint")
+    hundreds = whole * 100
+    q, rest = F.shiftright(hundreds, 53), hundreds.bitwiseAND(F.lit((1 << 53) - 1))
+    half = F.lit(1 << 52)
+    up = (rest > half) | ((rest == half) & ((scaled != whole) | (q % 2 == 1)))
+    q = q + up.cast("bigint")
+    return F.concat(F.floor(q / 100).cast("string"), F.lit("."), F.lpad((q % 100).cast("string"), 2, "0"))
+
+
 def caption(
     is_vessel: Column,
     is_fishing: Column,
@@ -144,11 +157,11 @@ def caption(
     vessel = _by_flag(is_vessel, "P", "V", "U")
     fishing = _by_flag(is_fishing, "", "/F", "/U")
     if vessel_p is not None:
-        vessel = F.concat(F.lit(" "), vessel, F.format_string("%.2f", vessel_p))
+        vessel = F.concat(F.lit(" "), vessel, two_decimals(vessel_p))
     if fishing_p is not None:
-        fishing = F.concat(F.lit(" "), fishing, F.format_string("%.2f", fishing_p))
+        fishing = F.concat(F.lit(" "), fishing, two_decimals(fishing_p))
     text = F.concat(vessel, fishing)
-    return text if score is None else F.concat(text, F.format_string(" %.2f", score))
+    return text if score is None else F.concat(text, F.lit(" "), two_decimals(score))
 
 
 def colour_class(is_vessel: Column, is_fishing: Column) -> Column:
