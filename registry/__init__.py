@@ -1,7 +1,12 @@
 """Every operator as a named query over the given tables."""
 
+import sys
 from importlib import import_module
 
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MODULES = ("rows", "tables", "joins", "aggregates", "maps", "samples", "scores", "streams")
 
 

@@ -136,12 +136,14 @@ def _by_flag(flag: Column, no: str, yes: str, unknown: str) -> Column:
 
 def two_decimals(p: Column) -> Column:
     """A score in [0, 1] with two decimals, rounded from its exact binary value, ties to even."""
-    scaled = p * F.lit(float(1 << 53))
+    scaled = p * F.lit(float(1 << 30))
     whole = F.floor(scaled).cast("bigint")
-    hundreds = whole * 100
-    q, rest = F.shiftright(hundreds, 53), hundreds.bitwiseAND(F.lit((1 << 53) - 1))
-    half = F.lit(1 << 52)
-    up = (rest > half) | ((rest == half) & ((scaled != whole) | (q % 2 == 1)))
+    rest_hundreds = (scaled - whole) * 100.0
+    hundreds = whole * 100 + F.floor(rest_hundreds).cast("bigint")
+    more = rest_hundreds > F.floor(rest_hundreds)
+    q, rest = F.shiftright(hundreds, 30), hundreds.bitwiseAND(F.lit((1 << 30) - 1))
+    half = F.lit(1 << 29)
+    up = (rest > half) | ((rest == half) & (more | (q % 2 == 1)))
     q = q + up.cast("bigint")
     return F.concat(F.floor(q / 100).cast("string"), F.lit("."), F.lpad((q % 100).cast("string"), 2, "0"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,30 +89,23 @@ def near_any(
 def _square_counts(half: int, block: int):
     """Count, per pixel of one block, the objects in the square around it."""
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["own"]]
-        if own.empty:
-            return pd.DataFrame({"scene_id": [], "px_r": [], "px_c": [], "neighbours": []})
-        r0, c0 = int(pdf["block_r"].iloc[0]) * block - half, int(pdf["block_c"].iloc[0]) * block - half
-        rr, cc = pdf["px_r"].to_numpy() - r0, pdf["px_c"].to_numpy() - c0
-        qr, qc = own["px_r"].to_numpy() - r0, own["px_c"].to_numpy() - c0
+    def count(table: pa.Table) -> pa.Table:
+        cols = {n: table[n].to_numpy() for n in ("block_r", "block_c", "px_r", "px_c", "n")}
+        own = table["own"].to_numpy()
+        r0, c0 = int(cols["block_r"][0]) * block - half, int(cols["block_c"][0]) * block - half
+        rr, cc = cols["px_r"] - r0, cols["px_c"] - c0
+        qr, qc = rr[own], cc[own]
         # summed-area table over the occupied rows and columns only
         ur, ir = np.unique(rr, return_inverse=True)
         uc, ic = np.unique(cc, return_inverse=True)
-        table = np.zeros((len(ur) + 1, len(uc) + 1), dtype=np.int64)
-        np.add.at(table, (ir + 1, ic + 1), pdf["n"].to_numpy())
-        table = table.cumsum(axis=0).cumsum(axis=1)
+        area = np.zeros((len(ur) + 1, len(uc) + 1), dtype=np.int64)
+        np.add.at(area, (ir + 1, ic + 1), cols["n"])
+        area = area.cumsum(axis=0).cumsum(axis=1)
         top, bottom = np.searchsorted(ur, qr - half), np.searchsorted(ur, qr + half, side="right")
         lft, rgt = np.searchsorted(uc, qc - half), np.searchsorted(uc, qc + half, side="right")
-        total = table[bottom, rgt] - table[top, rgt] - table[bottom, lft] + table[top, lft]
-        return pd.DataFrame(
-            {
-                "scene_id": own["scene_id"].to_numpy(),
-                "px_r": own["px_r"].to_numpy(),
-                "px_c": own["px_c"].to_numpy(),
-                "neighbours": total,
-            }
-        )
+        total = area[bottom, rgt] - area[top, rgt] - area[bottom, lft] + area[top, lft]
+        kept = table.select(["scene_id", "px_r", "px_c"]).filter(pa.array(own))
+        return kept.append_column("neighbours", pa.array(total, pa.int64()))
 
     return count
 
@@ -135,7 +128,7 @@ def square_neighbours(df: DataFrame, half: int, at: tuple[str, str], name: str =
     spread = spread.withColumn(
         "own", (F.col("block_r") == cell_of(pr, block)) & (F.col("block_c") == cell_of(pc, block))
     )
-    counts = spread.groupBy("scene_id", "block_r", "block_c").applyInPandas(
+    counts = spread.groupBy("scene_id", "block_r", "block_c").applyInArrow(
         _square_counts(half, block), "scene_id STRING, px_r BIGINT, px_c BIGINT, neighbours BIGINT"
     )
     counts = counts.select(

@@ -412,3 +412,38 @@ def score_matrix(means: DataFrame, objectness: float, fishing_thresholds: Sequen
     """Mean scores of one objectness threshold as a matrix: a row per vessel threshold, a column per fishing one."""
     cut = means.filter(F.col("objectness_threshold") == float(objectness))
     return cut.groupBy("is_vessel_threshold").pivot("is_fishing_threshold", list(fishing_thresholds)).agg(F.first("aggregate"))
+
+
+def paired_rows(pairs: DataFrame, pred: DataFrame, labels: DataFrame) -> DataFrame:
+    """Correct pairs with the classes and lengths of both sides (``p_...`` and ``g_...``)."""
+    left = pred.select("pred_id", *[F.col(c).alias("p_" + c) for c in ("is_vessel", "is_fishing", "vessel_length_m")])
+    right = labels.select("detect_id", *[F.col(c).alias("g_" + c) for c in ("is_vessel", "is_fishing", "vessel_length_m")])
+    return pairs.select("scene_id", "pred_id", "detect_id").join(left, "pred_id").join(right, "detect_id")
+
+
+def class_outcomes(paired: DataFrame, said: Column, truth: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """TP, FP, FN and TN of a yes/no class over correct pairs; unknown labels are left out."""
+    return paired.groupBy(*keys).agg(
+        F.count_if(said & truth).alias("tp"),
+        F.count_if(said & ~truth).alias("fp"),
+        F.count_if(~said & truth).alias("fn"),
+        F.count_if(~said & ~truth).alias("tn"),
+    )
+
+
+def vessel_outcomes(paired: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return class_outcomes(paired, F.col("p_is_vessel"), F.col("g_is_vessel"), keys)
+
+
+def fishing_outcomes(paired: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Only where the label is a vessel."""
+    return class_outcomes(paired.filter("g_is_vessel"), F.col("p_is_fishing"), F.col("g_is_fishing"), keys)
+
+
+def length_accuracy(paired: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One minus the mean capped relative error, not below 0; 0 without a known length or with a zero one."""
+    known = paired.filter(F.col("g_vessel_length_m").isNotNull() & F.col("p_vessel_length_m").isNotNull())
+    error = length_error(F.col("p_vessel_length_m"), F.col("g_vessel_length_m"))
+    score = F.lit(1.0) - F.least(F.avg(error), F.lit(1.0))
+    broken = F.count_if(F.col("g_vessel_length_m") == 0) > 0
+    return known.groupBy(*keys).agg(F.when(broken | (F.count("*") == 0), 0.0).otherwise(score).alias("length_acc"))

@@ -40,10 +40,12 @@ def window(tiles: DataFrame, tile: int, r0: int, r1: int, c0: int, c1: int, scen
     near = tiles.filter((row > r0 - tile) & (row < r1) & (col > c0 - tile) & (col < c1))
     y0, y1 = F.greatest(r0 - row, F.lit(0)), F.least(r1 - row, F.col("h"))
     x0, x1 = F.greatest(c0 - col, F.lit(0)), F.least(c1 - col, F.col("w"))
-    cut = near.withColumns({"_y0": y0, "_y1": y1, "_x0": x0, "_x1": x1}).filter("_y1 > _y0 AND _x1 > _x0")
+    cut = near.withColumns({"_y0": y0, "_y1": y1, "_x0": x0, "_x1": x1, "_w": F.col("w")}).filter("_y1 > _y0 AND _x1 > _x0")
+    # Spark may test the array before the filter above, so its bounds must hold for every tile
+    width = F.greatest(F.col("_x1") - F.col("_x0"), F.lit(0))
     lines = F.transform(
-        F.sequence(F.col("_y0"), F.col("_y1") - 1),
-        lambda y: F.slice("pixels", y * F.col("w") + F.col("_x0") + 1, F.col("_x1") - F.col("_x0")),
+        F.sequence(F.col("_y0"), F.greatest(F.col("_y1") - 1, F.col("_y0"))),
+        lambda y: F.slice("pixels", y * F.col("_w") + F.col("_x0") + 1, width),
     )
     return cut.select(
         "scene_id",
