@@ -50,13 +50,25 @@ NODE_KEYS_G = ("scene_id", "detect_scene_row", "detect_scene_column", "low", "gs
 
 
 def threshold_level(p: Column, thresholds: Sequence[float]) -> Column:
-    """How many of the ascending thresholds the score reaches; a missing score reaches none."""
-    known = F.when(~F.isnan(p), p)
-    return F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.coalesce(t <= known, F.lit(False))))
+    """How many of the ascending thresholds the score reaches; a missing score reaches none.
+
+    A balanced tree of comparisons: as many as the logarithm of the list, in generated code.
+    """
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(p >= F.lit(float(thresholds[mid])), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return F.when(p.isNull() | F.isnan(p), F.lit(0)).otherwise(search(0, len(thresholds)))
 
 
 def _pred_nodes(pred: DataFrame, thresholds: Sequence[float] | None, shore: bool) -> DataFrame:
-    level = F.lit(1) if thresholds is None else threshold_level(F.col("objectness_p"), thresholds)
+    if "k" in pred.columns:
+        level = F.col("k")
+    else:
+        level = F.lit(1) if thresholds is None else threshold_level(F.col("objectness_p"), thresholds)
     marked = pred.select(
         "pred_id",
         "scene_id",
@@ -195,7 +207,8 @@ def match_levels(
     near-shore rows only; both inputs then need a ``near_shore`` column) or
     ``paired_low`` (a detection taken out because it pairs with a LOW label, when
     ``drop_low`` is set).  A pair exactly at the tolerance may be assigned but
-    never counts, so it is not in the result.
+    never counts, so it is not in the result.  A column ``k`` of ``pred`` is taken as the
+    number of thresholds a detection reaches.
     """
     radius = tolerance_m / PIX_TO_M
     limit2, reach = int(np.ceil(radius * radius - 1e-9)), int(np.ceil(radius))

@@ -18,6 +18,7 @@ from tidegrid.constants import CLASS_THRESHOLDS, DISTANCE_TOLERANCE_M, OBJECTNES
 from tidegrid.functions.labels import cap_length, keep_confident
 from tidegrid.operators.matching import BLOCK_PX, match_levels, threshold_level
 from tidegrid.operators.spatial import near_any
+from tidegrid.session import cut_lineage
 
 POINT = ("detect_scene_row", "detect_scene_column")
 
@@ -73,7 +74,22 @@ def mark_near_shore(pred: DataFrame, shoreline: DataFrame | None, reach_px: floa
     return pred.join(flag, "pred_id", "left").withColumn("near_shore", F.coalesce("near_shore", F.lit(False)))
 
 
-def _level_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame, thresholds, steps: int, scenes: DataFrame) -> DataFrame:
+def _prepare(pred: DataFrame, shoreline: DataFrame | None, cuts: Sequence[float] | None, options: ScoreOptions) -> DataFrame:
+    """The detections with their threshold levels and near-shore flag, written once and read three times."""
+    level = F.lit(1) if cuts is None else threshold_level(F.col("objectness_p"), cuts)
+    narrow = pred.select(
+        "pred_id",
+        "scene_id",
+        *POINT,
+        level.alias("k"),
+        threshold_level(F.col("is_vessel_p"), options.vessel_thresholds).alias("v_level"),
+        threshold_level(F.col("is_fishing_p"), options.fishing_thresholds).alias("f_level"),
+        F.col("vessel_length_m").alias("p_length"),
+    )
+    return cut_lineage(mark_near_shore(narrow.filter("k > 0"), shoreline, options.shore_reach_px))
+
+
+def _level_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame, steps: int, scenes: DataFrame) -> DataFrame:
     """Per scene and threshold number: detections, labels and true positives, overall and near shore."""
     zero = F.lit(0).cast("bigint")
 
@@ -81,15 +97,13 @@ def _level_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame, thresholds,
         names = ("tp", "pred", "gold", "tp_s", "pred_s", "gold_s")
         return F.struct(k.cast("int").alias("k"), *[counts.get(n, zero).cast("bigint").alias(n) for n in names])
 
-    level = F.lit(1) if thresholds is None else threshold_level(F.col("objectness_p"), thresholds)
-    near = F.col("near_shore").cast("bigint")
-    shown = pred.select("scene_id", level.alias("k"), near.alias("s")).filter("k > 0")
+    shown = pred.groupBy("scene_id", "k").agg(F.count("*").alias("n"), F.count_if("near_shore").alias("s"))
     from_pred = shown.select(
         "scene_id",
         F.explode(
             F.array(
-                event(F.lit(0), pred=F.lit(1), pred_s=F.col("s")),
-                event(F.col("k"), pred=F.lit(-1), pred_s=-F.col("s")),
+                event(F.lit(0), pred=F.col("n"), pred_s=F.col("s")),
+                event(F.col("k"), pred=-F.col("n"), pred_s=-F.col("s")),
             )
         ).alias("e"),
     )
@@ -106,9 +120,7 @@ def _level_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame, thresholds,
             )
         ).alias("e"),
     )
-    from_gold = gold.select(
-        "scene_id", F.explode(F.array(event(F.lit(0), gold=F.lit(1), gold_s=F.col("near_shore").cast("bigint")))).alias("e")
-    )
+    from_gold = gold.select("scene_id", event(F.lit(0), gold=F.lit(1), gold_s=F.col("near_shore").cast("bigint")).alias("e"))
     every_level = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: event(i))
     grid = scenes.select("scene_id", F.explode(every_level).alias("e"))
     events = from_pred.unionByName(from_rows).unionByName(from_gold).unionByName(grid).select("scene_id", "e.*")
@@ -131,14 +143,9 @@ def _level_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame, thresholds,
     )
 
 
-def _class_cells(rows: DataFrame, pred: DataFrame, gold: DataFrame, options: ScoreOptions, keys: list[str], steps: int) -> DataFrame:
+def _class_cells(rows: DataFrame, pred: DataFrame, gold: DataFrame, keys: list[str], steps: int) -> DataFrame:
     """Matched pairs counted per threshold number, kind of class, class level and label."""
-    attributes = pred.select(
-        "pred_id",
-        threshold_level(F.col("is_vessel_p"), options.vessel_thresholds).alias("v_level"),
-        threshold_level(F.col("is_fishing_p"), options.fishing_thresholds).alias("f_level"),
-        F.col("vessel_length_m").alias("p_length"),
-    )
+    attributes = pred.select("pred_id", "v_level", "f_level", "p_length")
     truth = gold.select(
         "detect_id",
         F.col("is_vessel").alias("g_vessel"),
@@ -217,7 +224,7 @@ def score_levels(
     options = options or ScoreOptions()
     cuts = None if objectness is None else sorted(float(t) for t in objectness)
     steps = 1 if cuts is None else len(cuts)
-    pred = mark_near_shore(pred, shoreline, options.shore_reach_px)
+    pred = _prepare(pred, shoreline, cuts, options)
     labels = labels.withColumn("near_shore", F.coalesce(F.col("distance_from_shore_km") <= options.shore_km, F.lit(False)))
     gold = labels if options.score_all else keep_confident(labels)
     drop_low = options.drop_low and not options.score_all
@@ -232,10 +239,11 @@ def score_levels(
     )
     keys = ["scene_id"] if options.per_scene else []
     scenes = labels.select("scene_id").distinct()
-    counts = _level_counts(pred, gold, rows, cuts, steps, scenes)
+    counts = _level_counts(pred, gold, rows, steps, scenes)
     names = ("tp", "fp", "fn", "tp_s", "fp_s", "fn_s")
-    base = counts.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in names])
-    cells = _class_cells(rows, pred, gold, options, keys, steps)
+    base = cut_lineage(counts.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in names]))
+    # a table of counts, small whatever the input: groups x thresholds x class levels
+    cells = cut_lineage(_class_cells(rows, pred, gold, keys, steps))
     lengths = cells.filter("part = 'l'").select(
         *keys,
         "k",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,26 +23,23 @@ def detection_stream(spark: SparkSession, path: str, schema: str, files_per_trig
 def process_new_scenes(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
     """Write each scene's rows once; scenes that already have output are skipped.
 
-    A batch that is replayed after a failure finds its own half-written scenes under the
-    batch's marker and replaces them, so no scene is lost or doubled.
+    Every batch of every stream writes under its own marker.  A batch that is replayed
+    after a failure does not count its own half-written scenes as done and replaces
+    them, so no scene is lost or doubled.
     """
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = finished_before(spark, output, batch_id)
-        fresh = pending_scenes(batch, done).withColumn("batch_id", F.lit(batch_id))
+        marker = f"{run}-{batch_id}"
+        written = finished_scenes(batch.sparkSession, output, "marker STRING, scene_id STRING")
+        done = written.filter(F.col("marker") != marker).select("scene_id").distinct()
+        fresh = pending_scenes(batch, done).withColumn("marker", F.lit(marker))
         writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch_id", "scene_id").parquet(output)
+        writer.partitionBy("marker", "scene_id").parquet(output)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def finished_before(spark: SparkSession, output: str, batch_id: int) -> DataFrame:
-    """Scenes written by earlier batches."""
-    written = finished_scenes(spark, output, "batch_id BIGINT, scene_id STRING")
-    return written.filter(F.col("batch_id") < batch_id).select("scene_id").distinct()
-
-
 def threshold_stream(stream: DataFrame, output: str, checkpoint: str, objectness: float, vessel: float, fishing: float) -> StreamingQuery:
     """Cut arriving detections by score; no state is kept."""
     cut = apply_thresholds(stream, objectness, vessel, fishing)
