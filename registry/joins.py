@@ -74,7 +74,7 @@ MATCH = "WITH RECURSIVE " + match_ctes("x", ALL_PRED, ALL_GOLD)
 add("j7_optimal_matching", lambda fx: M.match(fx.pred, fx.gt), MATCH + " SELECT scene_id, pred_id, detect_id, d2 FROM x_m")
 add(
     "j7_small_blocks",
-    lambda fx: M.match(fx.pred, fx.gt, block_px=300).groupBy("scene_id").agg(F.count("*").alias("pairs"), F.sum("d2").alias("sum_d2")),
+    lambda fx: M.match(fx.pred, fx.gt, block_px=300, edges_per_group=100).groupBy("scene_id").agg(F.count("*").alias("pairs"), F.sum("d2").alias("sum_d2")),
     MATCH + " SELECT scene_id, count(*) AS pairs, CAST(sum(d2) AS BIGINT) AS sum_d2 FROM x_m GROUP BY scene_id",
 )
 add(

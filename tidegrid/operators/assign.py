@@ -172,7 +172,6 @@ def solve_component(edges: list[tuple], limit2: int, drop_low: bool) -> list[tup
     supply = {e[0]: e[2] for e in edges}
     demand = {e[1]: e[3] for e in edges}
     priced = [(edge_cost(e[0], e[1], e[8]), e[0], e[1], e[8], e) for e in edges]
-    many = any(n > 1 for n in supply.values()) or any(n > 1 for n in demand.values())
     ps_of = {e[0]: e[5] for e in edges}
     rows: list[tuple] = []
 
@@ -184,7 +183,7 @@ def solve_component(edges: list[tuple], limit2: int, drop_low: bool) -> list[tup
                 continue
             at_p, at_g = used_p.get(p, 0), used_g.get(g, 0)
             p_rank = supply[p] - at_p - amount if from_top else at_p
-            rows.append((kind, p, g, p_rank, at_g, amount, k_from, k_to, d2, ps_of[p], many))
+            rows.append((kind, p, g, p_rank, at_g, amount, k_from, k_to, d2, ps_of[p], supply[p] > 1 or demand[g] > 1))
             used_p[p], used_g[g] = at_p + amount, at_g + amount
         return used_p
 

@@ -49,26 +49,28 @@ NODE_KEYS_P = ("scene_id", "detect_scene_row", "detect_scene_column", "k", "ps")
 NODE_KEYS_G = ("scene_id", "detect_scene_row", "detect_scene_column", "low", "gs")
 
 
-def threshold_level(p: Column, thresholds: Sequence[float]) -> Column:
+def threshold_level(column: str, thresholds: Sequence[float]) -> Column:
     """How many of the ascending thresholds the score reaches; a missing score reaches none.
 
     A balanced tree of comparisons: as many as the logarithm of the list, in generated code.
+    It is one piece of SQL text, which costs one call instead of hundreds.
     """
 
-    def search(lo: int, hi: int) -> Column:
+    def search(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(p >= F.lit(float(thresholds[mid])), search(mid + 1, hi)).otherwise(search(lo, mid))
+        yes, no = search(mid + 1, hi), search(lo, mid)
+        return f"CASE WHEN {column} >= {float(thresholds[mid])!r}D THEN {yes} ELSE {no} END"
 
-    return F.when(p.isNull() | F.isnan(p), F.lit(0)).otherwise(search(0, len(thresholds)))
+    return F.expr(f"CASE WHEN {column} IS NULL OR isnan({column}) THEN 0 ELSE {search(0, len(thresholds))} END")
 
 
 def _pred_nodes(pred: DataFrame, thresholds: Sequence[float] | None, shore: bool) -> DataFrame:
     if "k" in pred.columns:
         level = F.col("k")
     else:
-        level = F.lit(1) if thresholds is None else threshold_level(F.col("objectness_p"), thresholds)
+        level = F.lit(1) if thresholds is None else threshold_level("objectness_p", thresholds)
     marked = pred.select(
         "pred_id",
         "scene_id",
@@ -179,17 +181,22 @@ def connected_parts(links: DataFrame) -> DataFrame:
 
 
 def _expand_copies(rows: DataFrame, preds: DataFrame, labels: DataFrame) -> DataFrame:
-    """Turn flows between pixel nodes with copies into pairs of single rows."""
+    """Turn flows between pixel nodes with copies into pairs of single rows.
+
+    Only rows of nodes that hold copies are numbered; they are few next to the rest.
+    """
 
     def ranked(df: DataFrame, keys: Sequence[str], row_id: str, node: str, rank: str) -> DataFrame:
-        nodes = df.groupBy(*keys).agg(F.min(row_id).alias(node))
-        numbered = chunked_rank(df, [F.col(row_id)], hash_chunk(F.col(row_id)), rank, keys)
-        return numbered.join(nodes, list(keys)).select(node, (F.col(rank) - 1).alias(rank), row_id)
+        nodes = df.groupBy(*keys).agg(F.min(row_id).alias(node), F.count("*").alias("n")).filter("n > 1").drop("n")
+        copies = df.join(nodes, list(keys)).select(node, row_id)
+        numbered = chunked_rank(copies, [F.col(row_id)], hash_chunk(F.col(row_id)), rank, [node])
+        return numbered.select(node, (F.col(rank) - 1).alias(rank), row_id)
 
     unit = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("flow") - 1)))
-    unit = unit.withColumns({"p_rank": F.col("p_rank") + F.col("i"), "g_rank": F.col("g_rank") + F.col("i")})
-    unit = unit.join(ranked(preds, NODE_KEYS_P, "pred_id", "p", "p_rank"), ["p", "p_rank"])
-    return unit.join(ranked(labels, NODE_KEYS_G, "detect_id", "g", "g_rank"), ["g", "g_rank"])
+    unit = unit.withColumns({"p_rank": F.col("p_rank") + F.col("i"), "g_rank": F.col("g_rank") + F.col("i")}).drop("i")
+    unit = unit.join(ranked(preds, NODE_KEYS_P, "pred_id", "p", "p_rank"), ["p", "p_rank"], "left")
+    unit = unit.join(ranked(labels, NODE_KEYS_G, "detect_id", "g", "g_rank"), ["g", "g_rank"], "left")
+    return unit.withColumns({"pred_id": F.coalesce("pred_id", "p"), "detect_id": F.coalesce("detect_id", "g")})
 
 
 def match_levels(
@@ -200,6 +207,7 @@ def match_levels(
     drop_low: bool = False,
     shore: bool = False,
     block_px: int = BLOCK_PX,
+    edges_per_group: int = EDGES_PER_GROUP,
 ) -> DataFrame:
     """Matches for every threshold number, as ``kind, scene_id, pred_id, detect_id, d2, ps, k_from, k_to``.
 
@@ -230,10 +238,15 @@ def match_levels(
     copies = bool(facts["copies"])
     if facts["open"]:
         rest = solved.filter("kind < 0").select("scene_id", *EDGE_COLUMNS, "part", "border")
-        roots = connected_parts(rest.filter("border").select("part", "g"))
-        groups = max(1, min(buckets, facts["open"] // 1000), facts["open"] // EDGES_PER_GROUP)
-        together = rest.join(roots, "part").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(groups)))
-        together = together.select("bucket", "scene_id", *EDGE_COLUMNS).repartition(groups, "bucket")
+        if facts["open"] <= edges_per_group:
+            # counted, and few enough for one task, which finds the components itself
+            together = rest.withColumn("bucket", F.lit(0).cast("bigint"))
+        else:
+            roots = connected_parts(rest.filter("border").select("part", "g"))
+            groups = max(buckets, -(-facts["open"] // edges_per_group))
+            together = rest.join(roots, "part").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(groups)))
+            together = together.repartition(groups, "bucket")
+        together = together.select("bucket", "scene_id", *EDGE_COLUMNS)
         solver = _without("bucket", _solve_groups(limit2, drop_low))
         crossing = cut_lineage(together.groupBy("bucket").applyInArrow(solver, MATCH_SCHEMA))
         copies = copies or not crossing.filter("copies").isEmpty()
@@ -241,13 +254,13 @@ def match_levels(
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair]), F.col("kind"))
     result = rows.filter("not copies").withColumns({"pred_id": F.col("p"), "detect_id": F.col("g")})
     if copies:
-        result = result.unionByName(_expand_copies(rows.filter("copies"), preds, golds).drop("i"))
+        result = result.unionByName(cut_lineage(_expand_copies(rows.filter("copies"), preds, golds)))
     return result.select(kind.alias("kind"), "scene_id", "pred_id", "detect_id", "d2", "ps", "k_from", "k_to")
 
 
-def match(pred: DataFrame, labels: DataFrame, tolerance_m: float = DISTANCE_TOLERANCE_M, block_px: int = BLOCK_PX) -> DataFrame:
+def match(pred: DataFrame, labels: DataFrame, tolerance_m: float = DISTANCE_TOLERANCE_M, **sizes: int) -> DataFrame:
     """Correct detections: ``scene_id, pred_id, detect_id, d2``."""
-    pairs = match_levels(pred, labels, None, tolerance_m, block_px=block_px)
+    pairs = match_levels(pred, labels, None, tolerance_m, **sizes)
     return pairs.select("scene_id", "pred_id", "detect_id", "d2")
 
 

@@ -76,55 +76,46 @@ def mark_near_shore(pred: DataFrame, shoreline: DataFrame | None, reach_px: floa
 
 def _prepare(pred: DataFrame, shoreline: DataFrame | None, cuts: Sequence[float] | None, options: ScoreOptions) -> DataFrame:
     """The detections with their threshold levels and near-shore flag, written once and read three times."""
-    level = F.lit(1) if cuts is None else threshold_level(F.col("objectness_p"), cuts)
+    level = F.lit(1) if cuts is None else threshold_level("objectness_p", cuts)
     narrow = pred.select(
         "pred_id",
         "scene_id",
         *POINT,
         level.alias("k"),
-        threshold_level(F.col("is_vessel_p"), options.vessel_thresholds).alias("v_level"),
-        threshold_level(F.col("is_fishing_p"), options.fishing_thresholds).alias("f_level"),
+        threshold_level("is_vessel_p", options.vessel_thresholds).alias("v_level"),
+        threshold_level("is_fishing_p", options.fishing_thresholds).alias("f_level"),
         F.col("vessel_length_m").alias("p_length"),
     )
     return cut_lineage(mark_near_shore(narrow.filter("k > 0"), shoreline, options.shore_reach_px))
 
 
 def _level_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame, steps: int, scenes: DataFrame) -> DataFrame:
-    """Per scene and threshold number: detections, labels and true positives, overall and near shore."""
-    zero = F.lit(0).cast("bigint")
+    """Per scene and threshold number: detections, labels and true positives, overall and near shore.
+
+    Each input becomes events "from number k on, so many more"; one aggregation and a running
+    sum over the numbers of each scene give the counts.
+    """
+    names = ("tp", "pred", "gold", "tp_s", "pred_s", "gold_s")
 
-    def event(k: Column, **counts: Column) -> Column:
-        names = ("tp", "pred", "gold", "tp_s", "pred_s", "gold_s")
-        return F.struct(k.cast("int").alias("k"), *[counts.get(n, zero).cast("bigint").alias(n) for n in names])
+    def event(k: str, **counts: str) -> str:
+        fields = ", ".join(f"'{n}', bigint({counts.get(n, '0')})" for n in names)
+        return f"named_struct('k', int({k}), {fields})"
 
     shown = pred.groupBy("scene_id", "k").agg(F.count("*").alias("n"), F.count_if("near_shore").alias("s"))
-    from_pred = shown.select(
-        "scene_id",
-        F.explode(
-            F.array(
-                event(F.lit(0), pred=F.col("n"), pred_s=F.col("s")),
-                event(F.col("k"), pred=-F.col("n"), pred_s=-F.col("s")),
-            )
-        ).alias("e"),
-    )
-    paired = (F.col("kind") == "paired").cast("bigint")
-    paired_shore = (F.col("kind") == "paired_shore").cast("bigint")
-    taken = (F.col("kind") == "paired_low").cast("bigint")
-    taken_shore = taken * F.col("ps").cast("bigint")
-    from_rows = rows.select(
-        "scene_id",
-        F.explode(
-            F.array(
-                event(F.col("k_from"), tp=paired, tp_s=paired_shore, pred=-taken, pred_s=-taken_shore),
-                event(F.col("k_to"), tp=-paired, tp_s=-paired_shore, pred=taken, pred_s=taken_shore),
-            )
-        ).alias("e"),
-    )
-    from_gold = gold.select("scene_id", event(F.lit(0), gold=F.lit(1), gold_s=F.col("near_shore").cast("bigint")).alias("e"))
-    every_level = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: event(i))
-    grid = scenes.select("scene_id", F.explode(every_level).alias("e"))
-    events = from_pred.unionByName(from_rows).unionByName(from_gold).unionByName(grid).select("scene_id", "e.*")
-    names = ("tp", "pred", "gold", "tp_s", "pred_s", "gold_s")
+    there, gone = event("0", pred="n", pred_s="s"), event("k", pred="-n", pred_s="-s")
+    from_pred = shown.selectExpr("scene_id", f"inline(array({there}, {gone}))")
+    sign = {
+        "tp": "int(kind = 'paired')",
+        "tp_s": "int(kind = 'paired_shore')",
+        "pred": "-int(kind = 'paired_low')",
+        "pred_s": "-int(kind = 'paired_low' AND ps)",
+    }
+    starts = event("k_from", **sign)
+    ends = event("k_to", **{n: f"-({v})" for n, v in sign.items()})
+    from_rows = rows.selectExpr("scene_id", f"inline(array({starts}, {ends}))")
+    from_gold = gold.selectExpr("scene_id", f"inline(array({event('0', gold='1', gold_s='near_shore')}))")
+    grid = scenes.selectExpr("scene_id", f"inline(transform(sequence(0, {steps - 1}), i -> {event('i')}))")
+    events = from_pred.unionByName(from_rows).unionByName(from_gold).unionByName(grid)
     summed = events.filter(F.col("k") < steps).groupBy("scene_id", "k").agg(*[F.sum(n).alias(n) for n in names])
     upto = Window.partitionBy("scene_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     counts = summed.select("scene_id", "k", *[F.sum(n).over(upto).alias(n) for n in names])
@@ -153,35 +144,17 @@ def _class_cells(rows: DataFrame, pred: DataFrame, gold: DataFrame, keys: list[s
         F.col("vessel_length_m").alias("g_length"),
     )
     pairs = rows.filter("kind = 'paired'").join(attributes, "pred_id").join(truth, "detect_id")
-    nothing = F.lit(0.0)
-
-    def facts(part: str, level: Column, label: Column, use: Column, err: Column = nothing, broken: Column | None = None) -> Column:
-        broken = F.lit(0) if broken is None else broken
-        return F.when(
-            use,
-            F.struct(
-                F.lit(part).alias("part"),
-                level.cast("int").alias("level"),
-                label.alias("label"),
-                err.alias("err"),
-                broken.cast("bigint").alias("broken"),
-            ),
-        )
-
     error = length_error(F.col("p_length"), F.col("g_length"))
-    has_length = F.col("g_length").isNotNull() & ~F.isnan("g_length") & F.col("p_length").isNotNull()
-    items = F.array(
-        facts("v", F.col("v_level"), F.col("g_vessel"), F.col("g_vessel").isNotNull()),
-        facts("f", F.col("f_level"), F.col("g_fishing"), F.col("g_vessel") & F.col("g_fishing").isNotNull()),
-        facts("l", F.lit(0), F.lit(True), has_length, F.coalesce(error, nothing), F.col("g_length") == 0),
-    )
-    flat = pairs.select(*keys, "k_from", "k_to", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("x"))
-    flat = flat.select(*keys, "k_from", "k_to", "x.*")
-    edges = F.array(
-        F.struct(F.col("k_from").alias("k"), F.lit(1).cast("bigint").alias("sign")),
-        F.struct(F.col("k_to").alias("k"), F.lit(-1).cast("bigint").alias("sign")),
+    pairs = pairs.withColumn("err", F.coalesce(error, F.lit(0.0)))
+    item = "named_struct('part', '{}', 'level', int({}), 'label', {}, 'err', {}, 'broken', bigint({}))"
+    items = (
+        f"CASE WHEN g_vessel IS NOT NULL THEN {item.format('v', 'v_level', 'g_vessel', '0D', '0')} END",
+        f"CASE WHEN g_vessel AND g_fishing IS NOT NULL THEN {item.format('f', 'f_level', 'g_fishing', '0D', '0')} END",
+        f"CASE WHEN g_length IS NOT NULL AND NOT isnan(g_length) AND p_length IS NOT NULL THEN {item.format('l', '0', 'true', 'err', 'g_length = 0')} END",
     )
-    events = flat.withColumn("t", F.explode(edges)).select("*", "t.*").filter(F.col("k") < steps)
+    flat = pairs.selectExpr(*keys, "k_from", "k_to", f"inline(array_compact(array({', '.join(items)})))")
+    ends = "inline(array(named_struct('k', k_from, 'sign', 1L), named_struct('k', k_to, 'sign', -1L)))"
+    events = flat.selectExpr("*", ends).filter(F.col("k") < steps)
     group = [*keys, "part", "level", "label"]
     jumps = events.groupBy(*group, "k").agg(
         F.sum("sign").alias("n"), F.sum(F.col("err") * F.col("sign")).alias("err"), F.sum(F.col("broken") * F.col("sign")).alias("broken")
@@ -203,8 +176,8 @@ def _class_scores(cells: DataFrame, base: DataFrame, part: str, thresholds: Sequ
         F.sum(F.when(F.col("label") & ~said_yes, n).otherwise(0)).alias("fn"),
     )
     score = counts.select(*keys, "k", "j", precision_recall_f(F.col("tp"), F.col("fp"), F.col("fn"))[2].alias(name))
-    values = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds)])
-    grid = base.select(*keys, "k", F.explode(values).alias("x")).select(*keys, "k", "x.*")
+    values = ", ".join(f"named_struct('j', {i}, 't', {float(t)!r}D)" for i, t in enumerate(thresholds))
+    grid = base.selectExpr(*keys, "k", f"inline(array({values}))")
     joined = grid.join(score, [*keys, "k", "j"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     return joined.withColumnRenamed("t", name.replace("fscore", "threshold")).drop("j")
 
@@ -269,7 +242,7 @@ def score_levels(
     fishing = _class_scores(cells, base, "f", options.fishing_thresholds, keys, "is_fishing_fscore")
     full = base.join(vessel, [*keys, "k"]).join(fishing, [*keys, "k"])
     full = full.withColumnsRenamed({"is_vessel_fscore": "vessel_fscore", "is_fishing_fscore": "fishing_fscore"})
-    cut = F.lit(None).cast("double") if cuts is None else F.element_at(F.array(*[F.lit(t) for t in cuts]), F.col("k") + 1)
+    cut = F.lit(None).cast("double") if cuts is None else F.expr(f"element_at(array({', '.join(f'{t!r}D' for t in cuts)}), k + 1)")
     total = aggregate_score(
         F.col("loc_fscore"), F.col("length_acc"), F.col("vessel_fscore"), F.col("fishing_fscore"), F.col("loc_fscore_shore")
     )
