@@ -74,21 +74,39 @@ def drop_boxes(
     return boxes.join(doomed.join(allowed, "image_id", "left_semi"), ["image_id", "box_no"], "left_anti")
 
 
-def visible_fraction(boxes: DataFrame, holes: DataFrame, cell: int = CELL) -> DataFrame:
+WORD = 64
+
+
+def _word_mask(x1: Column, x2: Column, word: Column) -> Column:
+    """Bits of the 64-pixel word ``word`` that lie in ``[x1, x2)``."""
+    start = F.greatest(x1 - word * WORD, F.lit(0)).cast("int")
+    length = (F.least(x2 - word * WORD, F.lit(WORD)) - start).cast("int")
+    one, everything = F.lit(1).cast("bigint"), F.lit(-1).cast("bigint")
+    run = F.when(length >= WORD, everything).otherwise(F.call_function("shiftleft", one, length) - 1)
+    return F.call_function("shiftleft", run, start)
+
+
+def visible_fraction(boxes: DataFrame, holes: DataFrame, band: int = 16) -> DataFrame:
     """Share of each box's pixels that no hole covers.
 
-    The holes of an image become their distinct pixels, so overlapping holes count once; boxes meet
-    those pixels cell by cell and only a count leaves the join.
+    A line of an image is a row of 64-pixel words.  The holes become word masks joined by a
+    bitwise OR, so overlapping holes count once, and boxes count the bits they share
+    with the words of their lines.  Nothing is unfolded to pixels.
     """
-    pixels = holes.withColumn("py", F.explode(F.sequence(F.col("hy1"), F.col("hy2") - 1)))
-    pixels = pixels.withColumn("px", F.explode(F.sequence(F.col("hx1"), F.col("hx2") - 1)))
-    pixels = pixels.select("image_id", "py", "px").distinct()
-    pixels = pixels.withColumns({"cell_r": cell_of(F.col("py"), cell), "cell_c": cell_of(F.col("px"), cell)})
+    h1, h2 = F.col("hx1"), F.col("hx2")
+    lines = holes.withColumn("y", F.explode(F.sequence(F.col("hy1"), F.col("hy2") - 1)))
+    words = lines.withColumn("word", F.explode(F.sequence(cell_of(h1, WORD), cell_of(h2 - 1, WORD))))
+    covered = words.groupBy("image_id", "y", "word").agg(F.bit_or(_word_mask(h1, h2, F.col("word"))).alias("mask"))
+    covered = covered.withColumn("band", cell_of(F.col("y"), band))
     b = box_of()
-    spread = _over_cells(boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2"), b.x1, b.y1, b.x2, b.y2, cell)
-    inside = (F.col("py") >= b.y1) & (F.col("py") < b.y2) & (F.col("px") >= b.x1) & (F.col("px") < b.x2)
-    hidden = spread.join(pixels, ["image_id", "cell_r", "cell_c"]).filter(inside)
-    hidden = hidden.groupBy("image_id", "box_no").agg(F.count("*").alias("hidden"))
+    spread = boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2").withColumn(
+        "band", F.explode(F.sequence(cell_of(b.y1, band), cell_of(b.y2 - 1, band)))
+    )
+    spread = spread.withColumn("word", F.explode(F.sequence(cell_of(b.x1, WORD), cell_of(b.x2 - 1, WORD))))
+    spread = spread.withColumn("own", _word_mask(b.x1, b.x2, F.col("word")))
+    met = spread.join(covered, ["image_id", "word", "band"]).filter((F.col("y") >= b.y1) & (F.col("y") < b.y2))
+    shared = F.bit_count(F.col("own").bitwiseAND(F.col("mask")))
+    hidden = met.groupBy("image_id", "box_no").agg(F.sum(shared).alias("hidden"))
     joined = boxes.join(hidden, ["image_id", "box_no"], "left")
     size = (b.x2 - b.x1) * (b.y2 - b.y1)
     share = F.try_divide((size - F.coalesce("hidden", F.lit(0))).cast("double"), size.cast("double"))

@@ -110,15 +110,15 @@ def _square_counts(half: int, block: int):
     return count
 
 
-def square_neighbours(df: DataFrame, half: int, at: tuple[str, str], name: str = "neighbours") -> DataFrame:
-    """Add the number of rows of the scene inside the square of half-side ``half`` around each row, itself included.
+def neighbour_counts(df: DataFrame, half: int, at: tuple[str, str], name: str = "neighbours") -> DataFrame:
+    """For each pixel with rows, the number of rows of the scene in the square of half-side ``half`` around it.
 
     Rows are first counted per pixel.  Each pixel then goes to its own block and to
     those whose margin holds it (four at most), and a block answers all its
-    pixels from one summed-area table.  A block's size is bounded by its pixels,
-    (3*half)^2, however many rows or copies a scene holds.
+    pixels from one summed-area table.  A block is bounded by its pixels, at most
+    ``max(4*half, 512 + 2*half)`` squared, however many rows or copies a scene holds.
     """
-    block = max(2 * half, 1)
+    block = max(2 * half, 512)
     r, c = F.col(at[0]), F.col(at[1])
     pixels = df.groupBy("scene_id", r.alias("px_r"), c.alias("px_c")).agg(F.count("*").alias("n"))
     pr, pc = F.col("px_r"), F.col("px_c")
@@ -128,13 +128,19 @@ def square_neighbours(df: DataFrame, half: int, at: tuple[str, str], name: str =
     spread = spread.withColumn(
         "own", (F.col("block_r") == cell_of(pr, block)) & (F.col("block_c") == cell_of(pc, block))
     )
-    counts = spread.groupBy("scene_id", "block_r", "block_c").applyInArrow(
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["scene_id", "block_r", "block_c"]
+    counts = spread.repartition(parts, *keys).groupBy(*keys).applyInArrow(
         _square_counts(half, block), "scene_id STRING, px_r BIGINT, px_c BIGINT, neighbours BIGINT"
     )
-    counts = counts.select(
+    return counts.select(
         "scene_id", F.col("px_r").alias(at[0]), F.col("px_c").alias(at[1]), F.col("neighbours").alias(name)
     )
-    return df.join(counts, ["scene_id", *at])
+
+
+def square_neighbours(df: DataFrame, half: int, at: tuple[str, str], name: str = "neighbours") -> DataFrame:
+    """Add the number of rows in the square around each row, itself included."""
+    return df.join(neighbour_counts(df, half, at, name), ["scene_id", *at])
 
 
 def points_in_crops(

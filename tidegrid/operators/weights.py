@@ -13,21 +13,29 @@ from pyspark.sql import functions as F
 
 from tidegrid.constants import IGNORE_LABEL
 from tidegrid.functions.labels import four_class, near_shore_balance, near_shore_target, unknown_to_code
-from tidegrid.operators.spatial import square_neighbours
+from tidegrid.operators.spatial import neighbour_counts, square_neighbours
 
 POINT = ("detect_scene_row", "detect_scene_column")
 
 
-def _with_class_counts(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``_n_class``, ``_n`` and ``_k``: rows of the label, all rows, number of labels (within ``keys``)."""
+def _class_counts(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``_n_class``, ``_n`` and ``_k`` of each label: its rows, all rows, number of labels (within ``keys``)."""
     counts = df.groupBy(*keys, label).agg(F.count("*").alias("_n_class"))
     if keys:
         totals = counts.groupBy(*keys).agg(F.sum("_n_class").alias("_n"), F.count("*").alias("_k"))
-        counts = counts.join(totals, list(keys))
-    else:
-        totals = counts.agg(F.struct(F.sum("_n_class").alias("n"), F.count("*").alias("k")).alias("t")).scalar()
-        counts = counts.withColumn("_t", totals).select("*", F.col("_t.n").alias("_n"), F.col("_t.k").alias("_k")).drop("_t")
-    return df.join(counts, [*keys, label])
+        return counts.join(totals, list(keys))
+    totals = counts.agg(F.struct(F.sum("_n_class").alias("n"), F.count("*").alias("k")).alias("t")).scalar()
+    return counts.withColumn("_t", totals).select("*", F.col("_t.n").alias("_n"), F.col("_t.k").alias("_k")).drop("_t")
+
+
+def _with_class_counts(df: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    return df.join(_class_counts(df, label, keys), [*keys, label])
+
+
+def _label_weights(df: DataFrame, label: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Balanced weight of each label, one row per label."""
+    weight = F.col("_n") / (F.col("_k") * F.col("_n_class"))
+    return _class_counts(df, label, keys).select(*keys, label, weight.alias(name), F.col("_k").alias(name + "_k"))
 
 
 def balanced_weight(df: DataFrame, label: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -36,15 +44,20 @@ def balanced_weight(df: DataFrame, label: str, name: str, keys: Sequence[str] =
     return _with_class_counts(df, label, keys).withColumn(name, weight).drop("_n", "_k", "_n_class")
 
 
+def _known_weight(code: Column, totals: Column) -> Column:
+    own = F.when(code == 0, totals["n0"]).when(code == 1, totals["n1"])
+    return F.when(code == IGNORE_LABEL, 0.0).otherwise(F.try_divide(totals["n"].cast("double"), own * 2.0))
+
+
+def _known_totals(df: DataFrame, code: Column) -> Column:
+    counts = F.struct(F.count("*").alias("n"), F.count_if(code == 0).alias("n0"), F.count_if(code == 1).alias("n1"))
+    return df.agg(counts.alias("t")).scalar()
+
+
 def known_balanced_weight(df: DataFrame, code: str, name: str) -> DataFrame:
     """Two known classes share the weight evenly over all rows; an unknown class has weight 0."""
-    c = F.col(code)
-    totals = df.agg(
-        F.struct(F.count("*").alias("n"), F.count_if(c == 0).alias("n0"), F.count_if(c == 1).alias("n1")).alias("t")
-    ).scalar()
-    own = F.when(c == 0, F.col("_t.n0")).when(c == 1, F.col("_t.n1"))
-    weight = F.when(c == IGNORE_LABEL, 0.0).otherwise(F.try_divide(F.col("_t.n").cast("double"), own * 2.0))
-    return df.withColumn("_t", totals).withColumn(name, weight).drop("_t")
+    marked = df.withColumn("_t", _known_totals(df, F.col(code)))
+    return marked.withColumn(name, _known_weight(F.col(code), F.col("_t"))).drop("_t")
 
 
 def class_weights(df: DataFrame, label: str, classes: int) -> DataFrame:
@@ -111,60 +124,73 @@ def combined_weight(
 
     The shore part only counts when both kinds of rows exist.
     """
-    df, parts = labels, []
-    if location:
-        df, parts = balanced_weight(df, "location", "_w_location"), [*parts, "_w_location"]
+    # every count comes from the labels themselves, so the parts do not build on each other's plans
+    base = labels.withColumns(
+        {
+            "_type": four_class(F.col("is_vessel"), F.col("is_fishing")),
+            "_near": near_shore_balance(F.col("distance_from_shore_km")),
+        }
+    )
+    df, total, number = base, F.lit(1.0), F.lit(0.0)
+    for use, column in ((location, "location"), (scene, "scene_id"), (by_type, "_type"), (near_shore, "_near")):
+        if not use:
+            continue
+        part = "_w_" + column
+        df = df.join(_label_weights(base, column, part), column)
+        # the shore part needs both kinds of rows
+        counts = F.col(part + "_k") > 1 if column == "_near" else F.lit(True)
+        total = total + F.when(counts, F.col(part)).otherwise(0.0)
+        number = number + counts.cast("double")
+    for use, column in ((vessel, "is_vessel"), (fishing, "is_fishing")):
+        if use:
+            code = unknown_to_code(F.col(column))
+            df = df.withColumn("_t_" + column, _known_totals(base, code))
+            total = total + _known_weight(code, F.col("_t_" + column))
+            number = number + F.lit(1.0)
     if crowd:
-        df, parts = crowd_weight(df, crop // 2, "_w_crowd"), [*parts, "_w_crowd"]
-    if scene:
-        df, parts = balanced_weight(df, "scene_id", "_w_scene"), [*parts, "_w_scene"]
-    if vessel:
-        df = known_balanced_weight(df.withColumn("_code", unknown_to_code(F.col("is_vessel"))), "_code", "_w_vessel").drop("_code")
-        parts = [*parts, "_w_vessel"]
-    if fishing:
-        df = known_balanced_weight(df.withColumn("_code", unknown_to_code(F.col("is_fishing"))), "_code", "_w_fishing").drop("_code")
-        parts = [*parts, "_w_fishing"]
-    if by_type:
-        df = df.withColumn("_type", four_class(F.col("is_vessel"), F.col("is_fishing")))
-        df, parts = balanced_weight(df, "_type", "_w_type").drop("_type"), [*parts, "_w_type"]
-    number = F.lit(float(len(parts)))
-    total = F.lit(1.0)
-    for part in parts:
-        total = total + F.col(part)
-    if near_shore:
-        df = _with_class_counts(df.withColumn("_near", near_shore_balance(F.col("distance_from_shore_km"))), "_near")
-        counts = F.col("_k") > 1
-        total = total + F.when(counts, F.col("_n") / (F.col("_k") * F.col("_n_class"))).otherwise(0.0)
-        number = number + F.when(counts, 1.0).otherwise(0.0)
-        parts = [*parts, "_near", "_n", "_k", "_n_class"]
-    return df.withColumn(name, total / F.greatest(number, F.lit(1.0))).drop(*parts)
+        df = _join_crowd(df, base, crop // 2)
+        total, number = total + F.lit(1.0) / F.col("_neighbours"), number + F.lit(1.0)
+    weighted = df.withColumn(name, total / F.greatest(number, F.lit(1.0)))
+    return weighted.select(*labels.columns, name)
+
+
+def _join_crowd(df: DataFrame, base: DataFrame, half: int) -> DataFrame:
+    """Add ``_neighbours``, counted per pixel of the base rows."""
+    return df.join(neighbour_counts(base, half, POINT, "_neighbours"), ["scene_id", *POINT])
 
 
 def per_scene_weight(
     labels: DataFrame, crop: int, near_shore: bool = False, crowd: bool = False, by_type: bool = False, name: str = "weight"
 ) -> DataFrame:
     """The weight used inside one scene: shore and crowd parts sum to 1 per scene, the type part does not."""
-    df, parts = labels, []
-    total, number = F.lit(1.0), F.lit(0.0)
+    base = labels.withColumns(
+        {
+            "_type": four_class(F.col("is_vessel"), F.col("is_fishing")),
+            "_near": near_shore_target(F.col("distance_from_shore_km")),
+        }
+    )
+    df, total, number = base, F.lit(1.0), F.lit(0.0)
     if near_shore:
-        df = _with_class_counts(df.withColumn("_near", near_shore_target(F.col("distance_from_shore_km"))), "_near", ["scene_id"])
         # balanced weights of a scene add up to its row count
-        counts = F.col("_k") > 1
-        df = df.withColumns(
-            {"_w_shore": F.when(counts, F.lit(1.0) / (F.col("_k") * F.col("_n_class"))).otherwise(0.0), "_c_shore": counts.cast("double")}
-        ).drop("_near", "_n", "_k", "_n_class")
-        total, number, parts = total + F.col("_w_shore"), number + F.col("_c_shore"), [*parts, "_w_shore", "_c_shore"]
+        shares = _class_counts(base, "_near", ["scene_id"]).select(
+            "scene_id",
+            "_near",
+            F.when(F.col("_k") > 1, F.lit(1.0) / (F.col("_k") * F.col("_n_class"))).otherwise(0.0).alias("_w_shore"),
+            (F.col("_k") > 1).cast("double").alias("_c_shore"),
+        )
+        df = df.join(shares, ["scene_id", "_near"])
+        total, number = total + F.col("_w_shore"), number + F.col("_c_shore")
     if crowd:
-        df = crowd_weight(df, crop // 2, "_w_crowd")
-        sums = df.groupBy("scene_id").agg(F.sum("_w_crowd").alias("_s_crowd"))
-        df = df.join(sums, "scene_id")
-        total, number = total + F.col("_w_crowd") / F.col("_s_crowd"), number + F.lit(1.0)
-        parts = [*parts, "_w_crowd", "_s_crowd"]
+        near = neighbour_counts(base, crop // 2, POINT, "_neighbours")
+        pixels = base.groupBy("scene_id", *POINT).agg(F.count("*").alias("_rows")).join(near, ["scene_id", *POINT])
+        sums = pixels.groupBy("scene_id").agg(F.sum(F.col("_rows") / F.col("_neighbours")).alias("_s_crowd"))
+        df = _join_crowd(df, base, crop // 2).join(sums, "scene_id")
+        total, number = total + F.lit(1.0) / F.col("_neighbours") / F.col("_s_crowd"), number + F.lit(1.0)
     if by_type:
-        df = df.withColumn("_type", four_class(F.col("is_vessel"), F.col("is_fishing")))
-        df = balanced_weight(df, "_type", "_w_type", ["scene_id"])
-        total, number, parts = total + F.col("_w_type"), number + F.lit(1.0), [*parts, "_type", "_w_type"]
-    return df.withColumn(name, total / F.greatest(number, F.lit(1.0))).drop(*parts)
+        df = df.join(_label_weights(base, "_type", "_w_type", ["scene_id"]), ["scene_id", "_type"])
+        total, number = total + F.col("_w_type"), number + F.lit(1.0)
+    weighted = df.withColumn(name, total / F.greatest(number, F.lit(1.0)))
+    return weighted.select(*labels.columns, name)
 
 
 def scene_pick_weight(scenes: DataFrame, location: bool = False, folder: bool = False, apply: bool = True, name: str = "weight") -> DataFrame:
