@@ -134,3 +134,25 @@ def test_connected_parts_closes_long_chains(spark):
     links = spark.range(200).selectExpr("id AS part", "explode(array(id, id + 1)) AS g")
     roots = M.connected_parts(links).collect()
     assert len(roots) == 200 and {r["root"] for r in roots} == {0}
+
+
+def test_piecewise_solution_equals_the_direct_one(spark):
+    """A sweep with LOW labels and a shore: all components through the large-component path, and none."""
+    from tidegrid.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    near = F.col("detect_scene_row") % 3 != 0
+    pred, gold = fx.pred.withColumn("near_shore", near), fx.gt.withColumn("near_shore", near)
+    # crowd the points, so that components grow long
+    half = {c: F.floor(F.col(c) / 3).cast("bigint") for c in ("detect_scene_row", "detect_scene_column")}
+    pred, gold = pred.withColumns(half), gold.withColumns(half)
+
+    def summary(**sizes):
+        rows = M.match_levels(pred, gold, [0.2, 0.7], drop_low=True, shore=True, **sizes)
+        cut = rows.withColumn("k", F.explode(F.sequence(F.col("k_from"), F.col("k_to") - 1)))
+        cost = F.round(F.sum(F.sqrt("d2")), 3)
+        return sorted(map(tuple, cut.groupBy("kind", "k").agg(F.count("*"), cost, F.count_distinct("pred_id"), F.count_distinct("detect_id")).collect()))
+
+    direct = summary()
+    assert summary(block_px=100, edges_per_group=1, component_edges=0) == direct
+    assert all(row[2] == row[4] == row[5] for row in direct)

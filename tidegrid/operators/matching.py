@@ -9,7 +9,8 @@ connected components of the candidate edges.  The steps:
 3. edges are grouped by square blocks of the scene; a block solves all of its
    components that no other block can touch;
 4. the few components across block borders are joined by label passing between
-   blocks and then solved one by one.
+   blocks and then solved one by one; a component too large for a task is solved
+   piece by piece (see ``wide``).
 
 A whole sweep over score thresholds is one run: each component is solved once per
 distinct set of present detections, and a match row carries the range of
@@ -29,12 +30,13 @@ from tidegrid.constants import DISTANCE_TOLERANCE_M, PIX_TO_M
 from tidegrid.operators.assign import EDGE_COLUMNS, MATCH_SCHEMA, PAIRED, PAIRED_LOW, PAIRED_SHORE, solve_edges
 from tidegrid.operators.ranking import chunked_rank, hash_chunk
 from tidegrid.operators.spatial import cell_of, pairs_within
+from tidegrid.operators.wide import FIRST_BLOCK, solve_wide
 from tidegrid.session import cut_lineage
 
 KIND_NAMES = {PAIRED: "paired", PAIRED_SHORE: "paired_shore", PAIRED_LOW: "paired_low"}
 BLOCK_PX = 2048
 MATCH_COLUMNS = [c.split()[0] for c in MATCH_SCHEMA.split(", ")]
-BLOCK_SCHEMA = MATCH_SCHEMA + ", pn BIGINT, gn BIGINT, k INT, low BOOLEAN, gs BOOLEAN, part BIGINT, border BOOLEAN"
+BLOCK_SCHEMA = MATCH_SCHEMA + ", pn BIGINT, gn BIGINT, k INT, low BOOLEAN, gs BOOLEAN, part BIGINT, border BOOLEAN, p_r BIGINT, p_c BIGINT, g_r BIGINT, g_c BIGINT"
 ARROW_TYPES = {"STRING": pa.string(), "BIGINT": pa.int64(), "INT": pa.int32(), "BOOLEAN": pa.bool_()}
 
 
@@ -45,6 +47,9 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 MATCH_ARROW, BLOCK_ARROW = _arrow_schema(MATCH_SCHEMA), _arrow_schema(BLOCK_SCHEMA)
 # edges a task solves at once in the second step
 EDGES_PER_GROUP = 200_000
+# edges of a component above which it is solved piece by piece
+COMPONENT_EDGES = 2_000_000
+PLACE_COLUMNS = ["p_r", "p_c", "g_r", "g_c"]
 NODE_KEYS_P = ("scene_id", "detect_scene_row", "detect_scene_column", "k", "ps")
 NODE_KEYS_G = ("scene_id", "detect_scene_row", "detect_scene_column", "low", "gs")
 
@@ -127,7 +132,7 @@ def _solve_blocks(limit2: int, drop_low: bool, block: int, reach: int):
         border = (g_r - reach < r0) | (g_r + reach >= r0 + block) | (g_c - reach < c0) | (g_c + reach >= c0 + block)
         rows, left_over, label = solve_edges(edges, limit2, drop_low, border)
         solved = _match_table(rows, scenes)
-        rest = table.filter(pa.array(left_over)).select(["scene_id", *EDGE_COLUMNS])
+        rest = table.filter(pa.array(left_over)).select(["scene_id", *EDGE_COLUMNS, *PLACE_COLUMNS])
         rest = rest.append_column("part", pa.array(label[left_over], pa.int64()))
         rest = rest.append_column("border", pa.array(border[left_over]))
         rest = rest.append_column("kind", pa.array(np.full(len(rest), -1), pa.int32()))
@@ -208,6 +213,7 @@ def match_levels(
     shore: bool = False,
     block_px: int = BLOCK_PX,
     edges_per_group: int = EDGES_PER_GROUP,
+    component_edges: int = COMPONENT_EDGES,
 ) -> DataFrame:
     """Matches for every threshold number, as ``kind, scene_id, pred_id, detect_id, d2, ps, k_from, k_to``.
 
@@ -227,7 +233,7 @@ def match_levels(
     # many blocks share a task: a group costs a fixed amount of time in Python
     buckets = 2 * int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("scene_id", "block_r", "block_c"), F.lit(buckets)).alias("bucket")
-    edges = edges.select(bucket, "scene_id", "block_r", "block_c", "g_r", "g_c", *EDGE_COLUMNS)
+    edges = edges.select(bucket, "scene_id", "block_r", "block_c", *PLACE_COLUMNS, *EDGE_COLUMNS)
     solved = cut_lineage(
         edges.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
             _without("bucket", _solve_blocks(limit2, drop_low, block_px, reach)), BLOCK_SCHEMA
@@ -237,20 +243,28 @@ def match_levels(
     facts = solved.agg(F.count_if(F.col("kind") < 0).alias("open"), F.bool_or("copies").alias("copies")).first()
     copies = bool(facts["copies"])
     if facts["open"]:
-        rest = solved.filter("kind < 0").select("scene_id", *EDGE_COLUMNS, "part", "border")
-        if facts["open"] <= edges_per_group:
+        crossing = []
+        rest = solved.filter("kind < 0").select("scene_id", *EDGE_COLUMNS, *PLACE_COLUMNS, "part", "border")
+        if facts["open"] <= min(edges_per_group, component_edges):
             # counted, and few enough for one task, which finds the components itself
             together = rest.withColumn("bucket", F.lit(0).cast("bigint"))
         else:
             roots = connected_parts(rest.filter("border").select("part", "g"))
             groups = max(buckets, -(-facts["open"] // edges_per_group))
             together = rest.join(roots, "part").withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(groups)))
+            sizes = together.groupBy("root").agg(F.count("*").alias("n"))
+            large = cut_lineage(sizes.filter(F.col("n") > component_edges).select("root"))
+            if not large.isEmpty():
+                wide = together.join(large, "root", "left_semi").select("scene_id", "root", *EDGE_COLUMNS, *PLACE_COLUMNS)
+                crossing = [cut_lineage(solve_wide(wide, limit2, reach, drop_low, min(block_px, FIRST_BLOCK)))]
+                together = together.join(large, "root", "left_anti")
             together = together.repartition(groups, "bucket")
         together = together.select("bucket", "scene_id", *EDGE_COLUMNS)
         solver = _without("bucket", _solve_groups(limit2, drop_low))
-        crossing = cut_lineage(together.groupBy("bucket").applyInArrow(solver, MATCH_SCHEMA))
-        copies = copies or not crossing.filter("copies").isEmpty()
-        rows = rows.unionByName(crossing)
+        crossing.append(cut_lineage(together.groupBy("bucket").applyInArrow(solver, MATCH_SCHEMA)))
+        for part in crossing:
+            copies = copies or not part.filter("copies").isEmpty()
+            rows = rows.unionByName(part)
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in KIND_NAMES.items() for x in pair]), F.col("kind"))
     result = rows.filter("not copies").withColumns({"pred_id": F.col("p"), "detect_id": F.col("g")})
     if copies:
