@@ -56,7 +56,7 @@ def _retry(fx):
     points = px.filter("heat > 0.9").select("scene_id", (C("r") * 50 + C("c")).alias("point_id"), C("r").alias("pt_row"), C("c").alias("pt_col"))
     labels = px.filter("heat > 0.95").select("scene_id", (C("r") * 50 + C("c")).alias("detect_id"), C("r").alias("detect_scene_row"), C("c").alias("detect_scene_column"), F.lit(1.0).alias("weight"))
     crops = SA.mixed_crops(scenes, labels, points, 20, 12, 0.5, seed=9, candidates=6)
-    return SA.first_with_signal(crops, SA.missing_share(crops, px, "vv", 16), 0.6)
+    return SA.first_with_signal(SA.missing_share(crops, px, "vv", 16), 0.6)
 
 
 add("t9_retry_until_signal", _retry)

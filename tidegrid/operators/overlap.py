@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.boxes import box_of, iou
 from tidegrid.functions.scalars import uniform_hash
-from tidegrid.operators.ranking import chunked_rank
+from tidegrid.operators.ranking import top_k
 from tidegrid.operators.spatial import cell_of
 
 CELL = 64
@@ -58,8 +58,7 @@ def drop_boxes(
     wanted = F.when(most > 0, 1 + F.floor(uniform_hash(F.lit(seed), F.col("image_id")) * most)).otherwise(0).cast("int")
     plan = sizes.select("image_id", most.alias("most"), wanted.alias("wanted")).filter("wanted > 0")
     shuffled = boxes.withColumn("_u", uniform_hash(F.lit(seed), F.col("image_id"), F.col("box_no")))
-    chunk = F.floor(F.col("_u") * 256)
-    ranked = chunked_rank(shuffled, [F.col("_u"), F.col("box_no")], chunk, "_rank", ["image_id"])
+    ranked = top_k(shuffled, max_objects, ["image_id"], [F.col("_u"), F.col("box_no")], "_rank")
     drawn = ranked.join(plan, "image_id").filter(F.col("_rank") <= F.col("wanted")).select("image_id", "box_no")
     doomed = drawn
     if drop_partners:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.labels import folder_weight, unknown_to_code
 from tidegrid.functions.scalars import normal_hash, uniform_hash
-from tidegrid.operators.ranking import chunked_rank, chunked_running_sum, hash_chunk
-from tidegrid.operators.spatial import points_in_crops
+from tidegrid.operators.ranking import chunked_rank, chunked_running_sum, first_by, hash_chunk
+from tidegrid.operators.spatial import cell_of, points_in_crops, with_cell
 
 
 def capped_normal(lo: float, hi: float, *keys: Column) -> Column:
@@ -144,25 +144,27 @@ def _numbered_pick(wanted: DataFrame, items: DataFrame, item_id: str, weight: Co
     return best.select(*keys, "_b.row", "_b.col")
 
 
-def first_with_signal(crops: DataFrame, missing_share: DataFrame, most_missing: float = 0.8) -> DataFrame:
-    """For each sample the first attempt whose crop has enough signal.
-
-    ``missing_share`` holds ``scene_id, sample_no, attempt, missing``.
-    """
-    good = crops.join(missing_share, ["scene_id", "sample_no", "attempt"]).filter(F.col("missing") <= most_missing)
-    first = good.groupBy("scene_id", "sample_no").agg(F.min("attempt").alias("attempt"))
-    return good.join(first, ["scene_id", "sample_no", "attempt"])
+def first_with_signal(crops: DataFrame, most_missing: float = 0.8) -> DataFrame:
+    """For each sample the first attempt whose crop has enough signal; ``crops`` carry ``missing``."""
+    good = crops.filter(F.col("missing") <= most_missing)
+    return first_by(good, ["scene_id", "sample_no"], [F.col("attempt")])
 
 
 def missing_share(crops: DataFrame, pixels: DataFrame, value: str, cell: int = 256) -> DataFrame:
-    """Share of missing pixels of each crop (a pixel not in the table is missing)."""
-    named = crops.withColumn("crop_id", F.struct("sample_no", "attempt"))
-    present = pixels.filter(F.col(value).isNotNull()).select("scene_id", "r", "c")
-    inside = points_in_crops(present, named.select("scene_id", "crop_id", "r0", "r1", "c0", "c1"), cell, ("r", "c"))
-    seen = inside.groupBy("scene_id", "crop_id", "r0", "r1", "c0", "c1").agg(F.count("crop_row").alias("seen"))
+    """Add ``missing``, the share of missing pixels of each crop (a pixel not in the table is missing).
+
+    Each crop is cut along the grid cells; a cell's part counts its pixels, and the counts are added up.
+    """
+    present = with_cell(pixels.filter(F.col(value).isNotNull()).select("scene_id", "r", "c"), "r", "c", cell)
+    spread = crops.withColumn(
+        "cell_r", F.explode(F.sequence(cell_of(F.col("r0"), cell), cell_of(F.col("r1") - 1, cell)))
+    ).withColumn("cell_c", F.explode(F.sequence(cell_of(F.col("c0"), cell), cell_of(F.col("c1") - 1, cell))))
+    met = spread.join(present, ["scene_id", "cell_r", "cell_c"], "left")
+    r, c = F.col("r"), F.col("c")
+    inside = (r >= F.col("r0")) & (r < F.col("r1")) & (c >= F.col("c0")) & (c < F.col("c1"))
+    counted = met.groupBy(*crops.columns).agg(F.count_if(inside).alias("_seen"))
     size = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))
-    share = F.lit(1.0) - F.try_divide(F.col("seen"), size)
-    return seen.select("scene_id", "crop_id.sample_no", "crop_id.attempt", share.alias("missing"))
+    return counted.withColumn("missing", F.lit(1.0) - F.try_divide(F.col("_seen"), size)).drop("_seen")
 
 
 def paste_plan(

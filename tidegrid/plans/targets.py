@@ -53,12 +53,15 @@ def encode_targets(
     """Target maps of the objects of each scene, as their non-empty pixels.
 
     ``objects`` hold ``scene_id, detect_id, x, y, confidence, is_vessel, is_fishing``
-    (codes 0, 1, 255) and ``length_px``.  All maps come from one repetition of
-    the objects over their pixels and one aggregation.
+    (codes 0, 1, 255) and ``length_px``.  The last writer of each centre pixel is found
+    among the objects first; all maps then come from one repetition of the objects over
+    their pixels and one hash aggregation of plain numbers.
     """
     if labels not in ("circle", "point"):
         raise ValueError(f"labels must be 'circle' or 'point', not {labels!r}")
     placed = place_objects(objects, stride, fixed_radius, labels_radius)
+    last = placed.groupBy("scene_id", "oy", "ox").agg(F.max_by("detect_id", drawing_order()).alias("detect_id"))
+    placed = placed.join(last.select("detect_id", F.lit(True).alias("last")), "detect_id", "left")
     reach = F.greatest("radius", "label_radius") if labels == "circle" else F.col("radius")
     spread = _spread(placed, reach, height // stride, width // stride)
     dx, dy = F.col("dx"), F.col("dy")
@@ -68,16 +71,15 @@ def encode_targets(
     if ignore_low:
         in_disk = distance2 <= F.col("radius") * F.col("radius")
         heat = F.when(F.col("confidence") == "LOW", F.when(in_disk, float(ignore_value)).otherwise(0.0)).otherwise(heat)
-    at_centre = (dx == 0) & (dy == 0)
-    order = F.when(at_centre, drawing_order())
+    written = (dx == 0) & (dy == 0) & F.col("last").isNotNull()
     log_length = length_to_log(F.col("length_px"))
     classes = {"vsl": F.col("is_vessel").cast("double"), "fsh": F.col("is_fishing").cast("double"), "len_log": log_length}
     if labels == "circle":
         in_label = distance2 <= F.col("label_radius") * F.col("label_radius")
         drawn = {n: F.max(F.when(in_label, v).otherwise(0.0)).alias(n) for n, v in classes.items()}
     else:
-        drawn = {n: F.coalesce(F.max_by(F.when(at_centre, v), order), F.lit(0.0)).alias(n) for n, v in classes.items()}
-    offsets = [F.coalesce(F.max_by(F.when(at_centre, F.col(n)), order), F.lit(0.0)).alias(n) for n in ("off_x", "off_y")]
+        drawn = {n: F.max(F.when(written, v).otherwise(0.0)).alias(n) for n, v in classes.items()}
+    offsets = [F.max(F.when(written, F.col(n)).otherwise(0.0)).alias(n) for n in ("off_x", "off_y")]
     maps = spread.groupBy(*PIXEL).agg(F.max(heat).alias("obj"), *drawn.values(), *offsets)
     return maps.filter((F.col("obj") > 0) | (F.col("vsl") > 0) | (F.col("fsh") > 0) | (F.col("len_log") > 0))
 
