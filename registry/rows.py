@@ -140,16 +140,19 @@ def _box_columns(box, names=("a", "b", "c", "d")):
     return [v.cast("double").alias(n) for v, n in zip(box, names)]
 
 
-WINDOW = B.Box(F.lit(8), F.lit(8), F.lit(56), F.lit(60))
+def window():
+    return B.Box(*[F.lit(v) for v in (8, 8, 56, 60)])
+
+
 add(
     "p20_clamp_boxes",
-    lambda fx: fx.box.select("image_id", "box_no", *_box_columns(B.clamp(B.box_of(), WINDOW))),
+    lambda fx: fx.box.select("image_id", "box_no", *_box_columns(B.clamp(B.box_of(), window()))),
     """SELECT image_id, box_no, CAST(least(greatest(x1,8),56) AS DOUBLE) AS a, CAST(least(greatest(y1,8),60) AS DOUBLE) AS b,
  CAST(least(greatest(x2,8),56) AS DOUBLE) AS c, CAST(least(greatest(y2,8),60) AS DOUBLE) AS d FROM box_fx""",
 )
 add(
     "p21_boxes_inside",
-    lambda fx: fx.box.filter(B.inside(B.box_of(), WINDOW)),
+    lambda fx: fx.box.filter(B.inside(B.box_of(), window())),
     "SELECT * FROM box_fx WHERE x1 >= 8 AND y1 >= 8 AND x2 <= 56 AND y2 <= 60",
 )
 add(
