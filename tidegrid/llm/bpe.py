@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ class Encoder:
     """Encodes words; keeps what it has learnt about pairs and words up to a fixed number of entries."""
 
     MOST_PAIRS = 2_000_000
-    MOST_WORDS = 600_000
+    MOST_WORDS = 500_000
     STOPS = frozenset(".,;:!?\n")  # one of these after a word is a piece of its own
 
     def __init__(self, path: str):
@@ -109,7 +110,7 @@ class Encoder:
 
         self.v = Vocabulary(path)
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.chunks: dict[str, list[int]] = {}
+        self.chunks: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.good = np.zeros(0, np.int64)  # sorted keys of compatible pairs
         self.bad = np.zeros(0, np.int64)
         self.whole: dict[int, bool] = {}
@@ -173,10 +174,10 @@ class Encoder:
         known = self.chunks
         pieces = {c: self._pretokens(c) for c in chunks if c not in known}
         new = list({p for ps in pieces.values() for p in ps}.difference(known))
-        known.update(zip(new, self.words([p.encode() for p in new])) if new else ())
+        known.update((p, array("i", ids).tobytes()) for p, ids in zip(new, self.words([p.encode() for p in new]) if new else ()))
         for c, ps in pieces.items():
             if len(ps) > 1:
-                known[c] = [t for p in ps for t in known[p]]
+                known[c] = b"".join([known[p] for p in ps])
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -184,13 +185,14 @@ class Encoder:
         first, *rest = re.split(r" (?=\S)", text)
         return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
 
-    def texts(self, texts: list[str]) -> list[list[int]]:
-        parts = []  # per text: pieces, or the id of a special token
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers."""
+        parts = []  # per text: pieces, or the bytes of a special token's id
         for t in texts:
             if self.special and any(s in t for s in self.v.special):
                 own = []
                 for i, s in enumerate(self.special.split(t)):
-                    own += [self.v.special[s]] if i % 2 else self._cut(s) if s else []
+                    own += [array("i", [self.v.special[s]]).tobytes()] if i % 2 else self._cut(s) if s else []
             else:
                 own = self._cut(t) if t else []
             parts.append(own)
@@ -199,7 +201,7 @@ class Encoder:
         if any(c not in self.chunks for c in need):  # the store was emptied on the way
             self._learn(need)
         known = self.chunks
-        return [[t for c in own for t in (known[c] if c.__class__ is str else (c,))] for own in parts]
+        return [b"".join([known[c] if c.__class__ is str else c for c in own]) for own in parts]
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -216,8 +218,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         def work(texts):
             rows = encoder.texts(texts)
-            ends = np.cumsum([0, *map(len, rows)])
-            flat = np.fromiter((t for r in rows for t in r), np.int32, int(ends[-1]))
+            ends = np.cumsum([0, *map(len, rows)]) // 4
+            flat = np.frombuffer(b"".join(rows), np.int32)
             return {"ids": (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), None)}
 
         return work

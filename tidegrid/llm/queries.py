@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, secret_scan, token_files
+from tidegrid.llm import bpe, langid, pii, quality, secret_scan, token_files
 from tidegrid.llm.common import digest, spans_text
 from tidegrid.session import new_folder
 
@@ -28,6 +28,28 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder)).drop("rejected_by")
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: ~s["added"])
+    return pii.find(docs, pii.fit(docs)).select(
+        "doc_id",
+        *[count_kind(base, k) for k in pii.KINDS],
+        digest(spans_text(base)).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+    )
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != "random")
@@ -45,5 +67,5 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op9_secrets, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_language, op5_quality, op6_pii, op9_secrets, op10_token_files)}
 SQL: dict[str, str] = {}
