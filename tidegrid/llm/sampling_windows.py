@@ -44,23 +44,29 @@ def lowest(g: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
+BLOCK = 1 << 19
+
+
 def samples(symbols: np.ndarray, ends: np.ndarray, window: int, gram: int):
     """Samples of all windows of texts laid end to end.
 
-    Returns ``(gram hash, text number, first window, number of windows)``: of every window the ``gram`` symbols with
-    the lowest hash are taken; neighbours that take the same ones share a sample.  Windows never cross texts; places
-    are counted from the start of a text.
+    Returns ``(gram hash, text number, first window, number of windows, place of the gram)``: of every window the
+    ``gram`` symbols with the lowest hash are taken; neighbours that take the same ones share a sample.  Windows never
+    cross texts; places are counted from the start of a text.  Long texts are handled block by block, which may split
+    a sample in two.
     """
-    empty = np.zeros(0, np.int64)
-    if len(symbols) < window:
-        return np.zeros(0, np.uint64), empty, empty, empty
     starts = np.concatenate([[0], ends[:-1]])
-    g = rolled(symbols, gram)
-    pick = lowest(g, window - gram + 1)
-    text = np.searchsorted(ends, np.arange(len(pick)), "right")
-    inside = np.flatnonzero(np.arange(len(pick)) + window <= ends[text])
-    pick, text = pick[inside], text[inside]
-    if not len(pick):
-        return np.zeros(0, np.uint64), empty, empty, empty
-    fresh = np.flatnonzero((np.diff(pick, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-    return g[pick[fresh]], text[fresh], inside[fresh] - starts[text[fresh]], np.diff(np.append(fresh, len(pick)))
+    text_of = np.repeat(np.arange(len(ends)), ends - starts)
+    parts = []
+    for at in range(0, max(0, len(symbols) - window + 1), BLOCK):
+        g = rolled(symbols[at : at + BLOCK + window - 1], gram)
+        pick = lowest(g, window - gram + 1)
+        text = text_of[at : at + len(pick)]
+        inside = np.flatnonzero(np.arange(at, at + len(pick)) + window <= ends[text])
+        pick, text = pick[inside], text[inside]
+        fresh = np.flatnonzero((np.diff(pick, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+        own = starts[text[fresh]]
+        parts.append((g[pick[fresh]], text[fresh], inside[fresh] + at - own, np.diff(np.append(fresh, len(pick))), pick[fresh] + at - own))
+    if not parts:
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+    return tuple(map(np.concatenate, zip(*parts)))

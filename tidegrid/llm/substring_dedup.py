@@ -42,7 +42,7 @@ def _samples(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in _sliced(batches):
             _, symbols, ends = word_symbols([t or "" for t in batch.column("text").to_pylist()])
-            gram, text, first, n = samples(symbols, ends, window, GRAM)
+            gram, text, first, n, _ = samples(symbols, ends, window, GRAM)
             rows = pa.array(text, pa.int64())
             cols = [pa.array(gram.view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows), pa.array(first, pa.int32()), pa.array(n, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=["gram", "id", "h", "first", "n"])

@@ -15,6 +15,8 @@ planes above the highest one in use are left out.  The columns around the planes
 
 from __future__ import annotations
 
+import gc
+import os
 from array import array
 
 import numpy as np
@@ -26,7 +28,7 @@ from tidegrid.llm.bpe import vocabulary_path
 from tidegrid.llm.common import id_type, ordered_ranges
 
 LEVEL = 3
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 
 
 def to_planes(ids: np.ndarray, unit: str = "byte") -> list[bytes]:
@@ -65,12 +67,26 @@ def _word_encoder(path: str):
     A tokenizer that drops white space cuts there before it merges, so the ids of a text are those of its words in
     turn.  One that keeps spaces in its tokens (a probe tells) gets whole texts.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
 
+    ends_word = np.array([t.endswith("</w>") for t, _ in sorted(tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])])
+
+    def single(words):
+        """The same for words of letters, many in one text: each ends at its only token that ends a word."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            groups = [part[i : i + 64] for i in range(0, len(part), 64)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                cuts = (np.flatnonzero(ends_word[ids]) * 4 + 4).tolist()
+                data = ids.tobytes()
+                yield from [data[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else plain(group)
+
     def plain(texts):
         for at in range(0, len(texts), 4096):
             yield from (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False))
@@ -88,8 +104,11 @@ def _word_encoder(path: str):
 
     def learn(words):
         stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[:-1].isalpha()}  # a stop after a letter is a piece of its own
-        new = list({*(stems.get(w, w) for w in words), ".", ","}.difference(known))
-        known.update(zip(new, plain(new)))
+        new = {*(stems.get(w, w) for w in words), ".", ","}.difference(known)
+        simple = [w for w in new if w.isalpha()]
+        known.update(zip(simple, single(simple)))
+        rest = [w for w in new if not w.isalpha()]
+        known.update(zip(rest, plain(rest)))
         for w, stem in stems.items():
             known[w] = known[stem] + known[w[-1]]
 
@@ -119,6 +138,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         from pyspark import TaskContext
 
+        gc.disable()  # the store of words holds no cycles and is costly to walk
         encode, shard = _word_encoder(path), TaskContext.get().partitionId()
         chunk, first, held, docs = 0, 0, [], []  # docs: [id, size, piece, last] of the block in hand
         room = block
