@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, langid, pii, quality, secret_scan, substring_dedup, suffix_dedup, token_files
+from tidegrid.llm import bpe, langid, ngram_join, pii, quality, secret_scan, substring_dedup, suffix_dedup, token_files
 from tidegrid.llm.common import digest, spans_text
 from tidegrid.session import new_folder
 
@@ -55,6 +55,10 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(documents(spark, folder))
+
+
 def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring_dedup.dedup(documents(spark, folder))
     return cut.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
@@ -77,5 +81,5 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffixes, op3_bpe, op4_language, op5_quality, op6_pii, op8_substrings, op9_secrets, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_suffixes, op3_bpe, op4_language, op5_quality, op6_pii, op7_ngram_join, op8_substrings, op9_secrets, op10_token_files)}
 SQL: dict[str, str] = {}
