@@ -48,7 +48,10 @@ def repeated_words(tokens: Column, n: int = WINDOW) -> Column:
 
     Windows are compared by 64-bit hash; sorting them costs n log n, also where all are alike.
     """
-    hashes = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(F.slice(tokens, i + 1, n)))
+    hashes = _let(
+        F.transform(tokens, lambda w: F.xxhash64(w)),
+        lambda own: F.transform(F.sequence(F.lit(0), F.size(own) - n), lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(n)])),
+    )
 
     def covered(ordered):
         at = lambda i: F.get(ordered, i)["h"]
@@ -58,7 +61,7 @@ def repeated_words(tokens: Column, n: int = WINDOW) -> Column:
             lambda places: F.aggregate(F.transform(places, lambda p, j: F.least(F.lit(n), F.coalesce(F.get(places, j + 1) - p, F.lit(n)))), F.lit(0).cast("bigint"), lambda a, x: a + x),
         )
 
-    found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).otherwise(F.lit(0).cast("bigint")))
+    found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)).otherwise(F.lit(0).cast("bigint")))
     return F.when(F.size(tokens) > n, found).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -97,16 +100,17 @@ def order_rules(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tupl
     return sorted(((r, costs[r.name], rates[r.name] or 0.0) for r in rules), key=lambda x: -x[2] / x[1])
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by``.
 
     ``base_failed``: fewer than ``least_words`` words, or more than ``most_repeated`` percent of them repeated.
     ``rejected_by`` names the first rule of the cascade that rejects (NULL if none, ``base`` if the base fails); which
-    one is first depends on the order found on at most ``sample_rows`` rows, ``kept`` does not.  NULL and empty texts
+    one is first depends on the order found on about ``sample_rows`` rows, ``kept`` does not.  NULL and empty texts
     fail the base; repeated rows give a row each; other columns are left out.  No shuffle and no Python.
     """
     rows = measured(df, id_col, text_col)
-    ranked = order_rules(measured(df.sample(0.05, 1).limit(sample_rows), id_col, text_col), rules)
+    total = df.count()
+    ranked = order_rules(measured(df.sample(min(1.0, sample_rows / max(1, total)), 1), id_col, text_col), rules)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     verdict = F.when(F.col("base_failed"), "base")
     for rule, _, _ in ranked:
