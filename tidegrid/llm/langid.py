@@ -159,11 +159,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     return Model(labels, (idf[:, None] * w[:-1]).astype(np.float32), w[-1], calibrate(scores, y[apart]))
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score`` of every whole text; nothing but the text is looked at.
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, *keep, lang_pred, score`` of every whole text; nothing but the text is looked at.
 
     A text that is NULL or has no letter is ``und`` with score 0, as is every text when the model has no labels.
-    Ties go to the label that sorts first.  Repeated rows give a row each; other columns are left out.  No shuffle.
+    Ties go to the label that sorts first.  Repeated rows give a row each; columns not named in
+    ``keep`` are left out.  No shuffle.
     """
 
     def make():
@@ -192,7 +193,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         return work
 
-    return per_document(df, make, f"`{id_col}` {id_type(df, id_col)}, lang_pred string, score double", [text_col, id_col])
+    passed = [id_col, *keep]
+    schema = ", ".join(f"`{c}` {id_type(df, c)}" for c in passed)
+    return per_document(df, make, f"{schema}, lang_pred string, score double", [text_col, *passed])
 
 
 def held_out(id_col: str = "doc_id"):

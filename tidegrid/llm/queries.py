@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, langid, ngram_join, pii, quality, secret_scan, substring_dedup, suffix_dedup, token_files
+from tidegrid.llm import bpe, decontamination, langid, ngram_join, pii, quality, secret_scan, substring_dedup, suffix_dedup, token_files
 from tidegrid.llm.common import digest, spans_text
 from tidegrid.session import new_folder
 
@@ -18,6 +18,10 @@ def count_kind(spans, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffix_dedup.dedup(documents(spark, folder))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,5 +85,5 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffixes, op3_bpe, op4_language, op5_quality, op6_pii, op7_ngram_join, op8_substrings, op9_secrets, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffixes, op3_bpe, op4_language, op5_quality, op6_pii, op7_ngram_join, op8_substrings, op9_secrets, op10_token_files)}
 SQL: dict[str, str] = {}
