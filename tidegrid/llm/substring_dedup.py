@@ -4,8 +4,9 @@ Suffixes are split into groups by prefixes of variable length, and a group's suf
 Only suffixes that can repeat take part: of each window of words the five-word gram with the lowest hash is its sample,
 equal windows have equal samples, and a window whose sample occurs once cannot repeat.  The tree is kept as a table of
 its deep nodes: a suffix's node at depth ``window`` is the hash of that many words, and an inner node is one with
-several suffixes below it.  Grams with few occurrences are small subtrees, finished where their suffixes meet; a gram
-with many is extended to the whole window and its nodes are pre-aggregated before anything is sent.
+several suffixes below it.  A gram whose samples all lie in the same words is a path without branches: all but its
+first occurrence are repeats as a whole.  Other grams with few occurrences are small subtrees, finished where their
+suffixes meet; a gram with many is extended to the whole window and its nodes are pre-aggregated before anything is sent.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import id_type
-from tidegrid.llm.sampling_windows import MIX, SPREAD, rolled, samples
+from tidegrid.llm.sampling_windows import MIX, SPREAD, rolled, samples, scrambled
 
 GRAM = 5
 
@@ -37,17 +38,19 @@ def _sliced(batches, size=256):
 
 
 def _samples(docs: DataFrame, window: int) -> DataFrame:
-    """``gram, id, h, first, n``: the samples of all documents."""
+    """``gram, around, id, h, first, n``: the samples of all documents; ``around`` stands for all words of the windows."""
 
     def run(batches):
         for batch in _sliced(batches):
             _, symbols, ends = word_symbols([t or "" for t in batch.column("text").to_pylist()])
             gram, text, first, n, _ = samples(symbols, ends, window, GRAM)
             rows = pa.array(text, pa.int64())
-            cols = [pa.array(gram.view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows), pa.array(first, pa.int32()), pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["gram", "id", "h", "first", "n"])
+            whole, at = rolled(symbols, window), first + np.concatenate([[0], ends[:-1]])[text]
+            around = scrambled(whole[at] * MIX + whole[at + n - 1] * SPREAD + n.astype(np.uint64)) if len(at) else gram
+            cols = [pa.array(gram.view(np.int64)), pa.array((around >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("id").take(rows), batch.column("h").take(rows), pa.array(first, pa.int32()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["gram", "around", "id", "h", "first", "n"])
 
-    return docs.mapInArrow(run, f"gram bigint, id {id_type(docs, 'id')}, h bigint, first int, n int")
+    return docs.mapInArrow(run, f"gram bigint, around int, id {id_type(docs, 'id')}, h int, first int, n int")
 
 
 def _windows(joined: DataFrame, ranges: str, window: int) -> DataFrame:
@@ -68,23 +71,23 @@ def _windows(joined: DataFrame, ranges: str, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["node", "check", "id", "h", "start"])
 
     picked = joined.filter(F.size(ranges) > 0).select("id", "h", "text", ranges)
-    return picked.mapInArrow(run, f"node bigint, check int, id {id_type(joined, 'id')}, h bigint, start int")
+    return picked.mapInArrow(run, f"node bigint, check int, id {id_type(joined, 'id')}, h int, start int")
 
 
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of ``n`` places lie in a window that starts at one of ``starts``."""
+def stretches(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in a stretch ``[start, end)``."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 5000) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 20_000) -> DataFrame:
     """``id_col, n_words, n_removed, kept``: every whole text without its repeated passages.
 
     A word goes when a ``window`` of words that covers it also starts earlier: in a document with a smaller id, or
     earlier in the same one.  Windows are judged on the input.  Words are compared as they are, through 95 bits of
-    hash per window.  NULL ids come first; different texts with one id are different documents in the order of a hash
+    hash per window (96 where a whole sample is).  NULL ids come first; different texts with one id are different documents in the order of a hash
     of their text, rows equal in both are one document and get the same result each.  NULL and empty texts have no
     words.  ``kept`` joins the words that stay by one space.  Other columns are left out.
 
@@ -92,34 +95,42 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """
     kind = id_type(df, id_col)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    docs = docs.select("id", F.xxhash64("text").alias("h"), "text")
+    docs = docs.select("id", F.hash("text").alias("h"), "text")  # tells texts of one id apart
     found = _samples(docs, window)
-    repeated = found.groupBy("gram").count().filter("count > 1")
+    repeated = found.groupBy("gram").agg(F.count("*").alias("count"), F.min("around").alias("low"), F.max("around").alias("high")).filter("count > 1")
+    joined = found.drop("around").join(repeated, "gram")
+    sample = F.struct("id", "h", "first")
+    alike = joined.filter((F.col("low") == F.col("high")) & (F.col("count") <= group))
+    alike = alike.withColumn("firsts", F.min(sample).over(Window.partitionBy("gram"))).filter(sample > F.col("firsts"))
     ranges = (
-        found.join(repeated, "gram")
+        joined.filter((F.col("low") != F.col("high")) | (F.col("count") > group))
         .withColumn("range", F.struct("first", "n"))
         .groupBy("id", "h")
         .agg(F.collect_set(F.when(F.col("count") <= group, F.col("range"))).alias("few"), F.collect_set(F.when(F.col("count") > group, F.col("range"))).alias("many"))
         .withColumnsRenamed({"id": "rid", "h": "rh"})
     )
-    joined = docs.join(ranges, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")))
+    spots = docs.join(ranges, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")))
     place = F.struct("id", "h", "start")
 
-    few = _windows(joined, "few", window)
+    few = _windows(spots, "few", window)
     later = few.withColumn("firsts", F.min(place).over(Window.partitionBy("node", "check"))).filter(place > F.col("firsts")).select("id", "h", "start")
-    many = _windows(joined, "many", window)
+    many = _windows(spots, "many", window)
     inner = many.groupBy("node", "check").agg(F.min(place).alias("firsts"), F.count("*").alias("below")).filter("below > 1").drop("below")
     later = later.unionByName(many.join(inner, ["node", "check"]).filter(place > F.col("firsts")).select("id", "h", "start"))
 
-    cuts = later.groupBy("id", "h").agg(F.collect_list("start").alias("starts")).withColumnsRenamed({"id": "rid", "h": "rh"})
-    final = docs.join(cuts, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")), "left").select("id", "text", "starts")
+    later = later.select("id", "h", F.col("start").alias("first"), F.lit(1).alias("n")).unionByName(alike.select("id", "h", "first", "n"))
+    cuts = later.groupBy("id", "h").agg(F.collect_list(F.struct("first", "n")).alias("cuts")).withColumnsRenamed({"id": "rid", "h": "rh"})
+    final = docs.join(cuts, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")), "left").select("id", "text", "cuts")
 
     def run(batches):
         for batch in _sliced(batches):
             out = []
-            for t, starts in zip(batch.column("text").to_pylist(), batch.column("starts")):
+            for t, cut in zip(batch.column("text").to_pylist(), batch.column("cuts")):
                 words = t.encode().split()
-                gone = covered(len(words), starts.values.to_numpy().astype(np.int64), window) if starts.is_valid else np.zeros(len(words), bool)
+                gone = np.zeros(len(words), bool)
+                if cut.is_valid:
+                    first, n = (cut.values.field(k).to_numpy().astype(np.int64) for k in ("first", "n"))
+                    gone = stretches(len(words), first, first + n + window - 1)
                 out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()))
             cols = [batch.column("id"), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "kept"])

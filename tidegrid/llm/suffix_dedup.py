@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import id_type
 from tidegrid.llm.sampling_windows import MIX, SPREAD, rolled, samples, scrambled
-from tidegrid.llm.substring_dedup import _sliced
+from tidegrid.llm.substring_dedup import _sliced, stretches
 
 SYMBOLS = scrambled(np.arange(1, 257, dtype=np.uint64))
 
@@ -119,13 +119,13 @@ def _samples(docs: DataFrame, window: int, gram: int) -> DataFrame:
             at = first + np.concatenate([[0], ends[:-1]])[text] if len(text) else first
             around = scrambled(whole[at] * MIX + whole[at + n - 1] * SPREAD + n.astype(np.uint64)) if len(at) else g
             rows = pa.array(text, pa.int64())
-            cols = [pa.array(g.view(np.int64)), pa.array(around.view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows), *(pa.array(v, pa.int32()) for v in (first, n, place))]
+            cols = [pa.array(g.view(np.int64)), pa.array((around >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("id").take(rows), batch.column("h").take(rows), *(pa.array(v, pa.int32()) for v in (first, n, place))]
             yield pa.RecordBatch.from_arrays(cols, names=["gram", "around", "id", "h", "first", "n", "place"])
 
-    return docs.mapInArrow(run, f"gram bigint, around bigint, id {id_type(docs, 'id')}, h bigint, first int, n int, place int")
+    return docs.mapInArrow(run, f"gram bigint, around int, id {id_type(docs, 'id')}, h int, first int, n int, place int")
 
 
-RUN = "bucket int, lcp array<smallint>, rest array<binary>, before array<binary>, least array<smallint>, id array<{id}>, h array<bigint>, place array<int>"
+RUN = "bucket int, lcp array<smallint>, rest array<binary>, before array<binary>, least array<smallint>, id array<{id}>, h array<int>, place array<int>"
 
 
 def _runs(joined: DataFrame, window: int, buckets: int, most: int = 20000) -> DataFrame:
@@ -155,7 +155,7 @@ def _runs(joined: DataFrame, window: int, buckets: int, most: int = 20000) -> Da
 
         names = [c.split(" ")[0] for c in RUN.split(", ")]
         for batch in _sliced(batches):
-            ids = ids or [pa.int32(), pa.list_(pa.int16()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int16()), pa.list_(batch.schema.field("id").type), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            ids = ids or [pa.int32(), pa.list_(pa.int16()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int16()), pa.list_(batch.schema.field("id").type), pa.list_(pa.int32()), pa.list_(pa.int32())]
             for doc, h, text, spots in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "text", "few"))):
                 raw = text.encode()
                 for s in spots:
@@ -211,10 +211,10 @@ def _merged(runs: DataFrame, window: int, kind: str) -> DataFrame:
         b = np.nonzero(edges == -1)[1]  # stretches of levels [a, b) of suffix i
         first = np.array([whose[j][2] for j in i], np.int64) - b + 1
         id_kind = table.schema.field("id").type.value_type
-        arrays = [pa.array([whose[j][0] for j in i], id_kind), pa.array([whose[j][1] for j in i], pa.int64()), pa.array(first, pa.int32()), pa.array(b - a, pa.int32())]
+        arrays = [pa.array([whose[j][0] for j in i], id_kind), pa.array([whose[j][1] for j in i], pa.int32()), pa.array(first, pa.int32()), pa.array(b - a, pa.int32())]
         return pa.Table.from_arrays(arrays, names=["id", "h", "first", "n"])
 
-    return runs.groupBy("bucket").applyInArrow(merge, f"id {kind}, h bigint, first int, n int")
+    return runs.groupBy("bucket").applyInArrow(merge, f"id {kind}, h int, first int, n int")
 
 
 def _windows(joined: DataFrame, window: int) -> DataFrame:
@@ -235,7 +235,7 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["node", "check", "id", "h", "first"])
 
     picked = joined.filter(F.size("many") > 0).select("id", "h", "text", "many")
-    return picked.mapInArrow(run, f"node bigint, check int, id {id_type(joined, 'id')}, h bigint, first int")
+    return picked.mapInArrow(run, f"node bigint, check int, id {id_type(joined, 'id')}, h int, first int")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 100, group: int = 5000, buckets: int | None = None) -> DataFrame:
@@ -253,7 +253,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     """
     kind = id_type(df, id_col)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    docs = docs.select("id", F.xxhash64("text").alias("h"), "text")
+    docs = docs.select("id", F.hash("text").alias("h"), "text")  # tells texts of one id apart
     buckets = buckets or max(16, 4 * docs.rdd.getNumPartitions())
     found = _samples(docs, window, gram)
     grams = found.groupBy("gram").agg(F.count("*").alias("count"), F.min("around").alias("low"), F.max("around").alias("high")).filter("count > 1")
@@ -287,7 +287,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
                 gone = np.zeros(len(raw), bool)
                 if c.is_valid:
                     first, n = (c.values.field(k).to_numpy().astype(np.int64) for k in ("first", "n"))
-                    gone = _stretches(len(raw), first, first + n + window - 1)
+                    gone = stretches(len(raw), first, first + n + window - 1)
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 rows.append((len(raw), int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
             cols = [batch.column("id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))]
@@ -295,9 +295,3 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     return final.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
 
-
-def _stretches(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    return np.cumsum(edge[:-1]) > 0
