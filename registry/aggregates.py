@@ -39,14 +39,14 @@ add(
 
 def _sizes(fx):
     a = pixels(fx).groupBy("scene_id").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
-    b = pixels(fx).filter("vv IS NOT NULL AND heat < 0.9").groupBy("scene_id").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
+    b = pixels(fx).filter("vv IS NOT NULL").groupBy("scene_id").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
     return P.size_mismatches(a.unionByName(b))
 
 
 add(
     "a14_size_mismatches",
     _sizes,
-    f"""SELECT scene_id FROM (SELECT scene_id, max(r) AS a, max(c) AS b, max(r) FILTER (vv IS NOT NULL AND heat < 0.9) AS d, max(c) FILTER (vv IS NOT NULL AND heat < 0.9) AS e FROM ({PIXELS_SQL}) GROUP BY 1) WHERE a <> d OR b <> e""",
+    f"""SELECT scene_id FROM (SELECT scene_id, max(r) AS a, max(c) AS b, max(r) FILTER (vv IS NOT NULL) AS d, max(c) FILTER (vv IS NOT NULL) AS e FROM ({PIXELS_SQL}) GROUP BY 1) WHERE a <> d OR b <> e""",
 )
 add(
     "a15_channel_stats",
@@ -197,7 +197,7 @@ add(
   AND greatest(abs(a.detect_scene_row-b.detect_scene_row), abs(a.detect_scene_column-b.detect_scene_column)) <= 100 GROUP BY 1)
  SELECT b.detect_id, round((1 + n/(kl*count(*) OVER (PARTITION BY location)) + 1.0::DOUBLE/near_n + n/(ks*count(*) OVER (PARTITION BY scene_id))
  + CASE WHEN is_vessel IS NULL THEN 0 ELSE n/(2.0::DOUBLE*count(*) OVER (PARTITION BY is_vessel)) END + CASE WHEN is_fishing IS NULL THEN 0 ELSE n/(2.0::DOUBLE*count(*) OVER (PARTITION BY is_fishing)) END
- + n/(kk*count(*) OVER (PARTITION BY kind)) + CASE WHEN kn > 1 THEN n/(kn*count(*) OVER (PARTITION BY near)) ELSE 0 END) / (6 + CASE WHEN kn > 1 THEN 1 ELSE 0 END), 6) AS weight
+ + n/(kk*count(*) OVER (PARTITION BY kind)) + CASE WHEN kn > 1 OR near THEN n/(kn*count(*) OVER (PARTITION BY near)) ELSE 0 END) / (6 + CASE WHEN kn > 1 OR near THEN 1 ELSE 0 END), 6) AS weight
  FROM b JOIN c ON c.detect_id = b.detect_id, k, (SELECT count(*) AS n FROM gt_fx)""",
 )
 add(
@@ -207,8 +207,8 @@ add(
  k AS (SELECT scene_id, count(*) AS n, CAST(count(DISTINCT kind) AS DOUBLE) AS kk, CAST(count(DISTINCT near) AS DOUBLE) AS kn FROM b GROUP BY 1),
  c AS (SELECT a.detect_id, 1/CAST(count(*) AS DOUBLE) AS inv FROM gt_fx a JOIN gt_fx b ON a.scene_id = b.scene_id
   AND greatest(abs(a.detect_scene_row-b.detect_scene_row), abs(a.detect_scene_column-b.detect_scene_column)) <= 100 GROUP BY 1)
- SELECT b.detect_id, round((1 + CASE WHEN kn > 1 THEN 1/(kn*count(*) OVER (PARTITION BY b.scene_id, near)) ELSE 0 END + inv / sum(inv) OVER (PARTITION BY b.scene_id)
- + n/(kk*count(*) OVER (PARTITION BY b.scene_id, kind))) / (2 + CASE WHEN kn > 1 THEN 1 ELSE 0 END), 6) AS weight FROM b JOIN k ON k.scene_id = b.scene_id JOIN c ON c.detect_id = b.detect_id""",
+ SELECT b.detect_id, round((1 + CASE WHEN kn > 1 OR near THEN 1/(kn*count(*) OVER (PARTITION BY b.scene_id, near)) ELSE 0 END + inv / sum(inv) OVER (PARTITION BY b.scene_id)
+ + n/(kk*count(*) OVER (PARTITION BY b.scene_id, kind))) / (2 + CASE WHEN kn > 1 OR near THEN 1 ELSE 0 END), 6) AS weight FROM b JOIN k ON k.scene_id = b.scene_id JOIN c ON c.detect_id = b.detect_id""",
 )
 add(
     "a33_scene_pick_weight",

@@ -40,23 +40,22 @@ add(
 )
 
 
-def _mixed(fx, candidates=1):
+def _mixed(fx):
     scenes = sized(fx.gt.select("scene_id").distinct())
     weighted = W.balanced_weight(fx.gt, "confidence", "weight")
-    return SA.mixed_crops(scenes, weighted, fx.shore, 64, 256, 0.6, seed=5, candidates=candidates)
+    return SA.mixed_crops(scenes, weighted, fx.shore, 64, 256, 0.6, seed=5)
 
 
 add("t8_mixed_crops", _mixed)
 
 
 def _retry(fx):
-    """The first of several 12x12 crops of each pixel scene with at most 60% missing pixels."""
+    """Twenty 12x12 crops of each pixel scene with at most 60% missing pixels; half of the pixels count as missing."""
     px = pixels(fx).withColumn("vv", F.when(C("heat") < 0.5, C("vv")))
     scenes = px.select("scene_id").distinct().withColumns({"scene_rows": F.lit(50).cast("bigint"), "scene_cols": F.lit(50).cast("bigint")})
-    points = px.filter("heat > 0.9").select("scene_id", (C("r") * 50 + C("c")).alias("point_id"), C("r").alias("pt_row"), C("c").alias("pt_col"))
-    labels = px.filter("heat > 0.95").select("scene_id", (C("r") * 50 + C("c")).alias("detect_id"), C("r").alias("detect_scene_row"), C("c").alias("detect_scene_column"), F.lit(1.0).alias("weight"))
-    crops = SA.mixed_crops(scenes, labels, points, 20, 12, 0.5, seed=9, candidates=6)
-    return SA.first_with_signal(SA.missing_share(crops, px, "vv", 16), 0.6)
+    points = px.select("scene_id", (C("r") * 50 + C("c")).alias("point_id"), C("r").alias("pt_row"), C("c").alias("pt_col"))
+    labels = px.select("scene_id", (C("r") * 50 + C("c")).alias("detect_id"), C("r").alias("detect_scene_row"), C("c").alias("detect_scene_column"), C("heat").alias("weight"))
+    return SA.crops_with_signal(scenes, labels, points, px, "vv", 20, 12, 0.5, seed=9, most_missing=0.6, cell=16)
 
 
 add("t9_retry_until_signal", _retry)

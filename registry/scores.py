@@ -70,7 +70,7 @@ pairs AS MATERIALIZED (SELECT t, y_m.scene_id, is_vessel_p, is_fishing_p, is_ves
 len AS (SELECT {key}, 1 - least(avg(abs(pl-gl)/gl), 1) AS length_acc FROM pairs WHERE gl IS NOT NULL GROUP BY 1),
 {classes('vf', vessel, 'is_vessel_p', 'is_vessel', 'is_vessel IS NOT NULL')},
 {classes('ff', fishing, 'is_fishing_p', 'is_fishing', 'is_vessel AND is_fishing IS NOT NULL')},
-full_scores AS (SELECT base.{key}, vf.thr AS v_thr, ff.thr AS f_thr, loc, shore, vf.f AS vessel, ff.f AS fishing, coalesce(length_acc, 0) AS len,
+full_scores AS MATERIALIZED (SELECT base.{key}, vf.thr AS v_thr, ff.thr AS f_thr, loc, shore, vf.f AS vessel, ff.f AS fishing, coalesce(length_acc, 0) AS len,
  loc*(1+coalesce(length_acc,0)+vf.f+ff.f+shore)/5 AS total FROM base JOIN vf USING ({key}) JOIN ff USING ({key}) LEFT JOIN len USING ({key}))"""
 
 
@@ -183,10 +183,9 @@ add(
     "a11_scores_per_scene",
     lambda fx: SC.scores_per_scene(fx.pred, fx.gt, fx.shore, V_AT, F_AT, **SHORE),
     score_ctes(key="scene_id")
-    + f""", g AS (SELECT scene_id, total FROM full_scores WHERE v_thr = 17*(1/49.0::DOUBLE) AND f_thr = 18*(1/49.0::DOUBLE)),
- b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY total DESC, v_thr, f_thr) AS n FROM full_scores) WHERE n = 1)
- SELECT scene_id, round(g.total,6) AS global_thresholds_score, round({V_AT}::DOUBLE,6) AS global_is_vessel_threshold, round({F_AT}::DOUBLE,6) AS global_is_fishing_threshold,
- round(b.total,6) AS local_thresholds_score, round(b.v_thr,6) AS local_is_vessel_threshold, round(b.f_thr,6) AS local_is_fishing_threshold FROM g JOIN b USING (scene_id)""",
+    + f""", b AS (SELECT scene_id, max(total) FILTER (v_thr = 17*(1/49.0::DOUBLE) AND f_thr = 18*(1/49.0::DOUBLE)) AS own, max({{'t': total, 'v': -v_thr, 'f': -f_thr}}) AS best FROM full_scores GROUP BY 1)
+ SELECT scene_id, round(own,6) AS global_thresholds_score, round({V_AT}::DOUBLE,6) AS global_is_vessel_threshold, round({F_AT}::DOUBLE,6) AS global_is_fishing_threshold,
+ round(best.t,6) AS local_thresholds_score, round(-best.v,6) AS local_is_vessel_threshold, round(-best.f,6) AS local_is_fishing_threshold FROM b""",
 )
 
 

@@ -12,10 +12,14 @@ C = F.col
 
 
 def _arrived(fx):
-    """Detections as files that a stream picks up, two per batch."""
+    """Detections as files that a stream picks up one per batch; every scene is spread over all files."""
     path = new_folder(fx.spark, "arriving")
-    fx.pred.repartitionByRange(4, "scene_id").write.parquet(path)
-    return ST.detection_stream(fx.spark, path, fx.pred.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), 2)
+    fx.pred.repartition(4, "pred_id").write.parquet(path)
+    return ST.detection_stream(fx.spark, path, fx.pred.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), 1)
+
+
+def _expected(fx):
+    return fx.pred.groupBy("scene_id").agg(F.count("*").alias("n_rows"))
 
 
 def _finish(query):
@@ -27,9 +31,10 @@ def _finish(query):
 def _once(fx):
     output, checkpoint = new_folder(fx.spark, "scenes"), new_folder(fx.spark, "progress")
     stream = _arrived(fx)
-    _finish(ST.process_new_scenes(stream, output, checkpoint))
+    staging = new_folder(fx.spark, "staging")
+    _finish(ST.process_new_scenes(stream, _expected(fx), output, staging, checkpoint))
     # the same files again, as a new stream: every scene is already there
-    _finish(ST.process_new_scenes(stream, output, new_folder(fx.spark, "progress")))
+    _finish(ST.process_new_scenes(stream, _expected(fx), output, staging, new_folder(fx.spark, "progress")))
     return fx.spark.read.parquet(output).select("pred_id", C("scene_id").cast("string").alias("scene_id"), "objectness_p")
 
 
@@ -47,8 +52,10 @@ add("st2_threshold_stream", _cut, "SELECT pred_id, is_vessel_p >= 0.338 AS is_ve
 
 def _score(fx):
     output = new_folder(fx.spark, "scores")
-    _finish(ST.score_stream(_arrived(fx), fx.gt, fx.shore, output, new_folder(fx.spark, "progress"), V_AT, F_AT, shore_radius_px=SHORE_PX))
-    return fx.spark.read.parquet(output).select("scene_id", "global_thresholds_score", "local_thresholds_score")
+    stream, staging = _arrived(fx), new_folder(fx.spark, "staging")
+    for _ in range(2):  # the second stream finds every scene scored
+        _finish(ST.score_stream(stream, fx.gt, fx.shore, _expected(fx), output, staging, new_folder(fx.spark, "progress"), V_AT, F_AT, shore_radius_px=SHORE_PX))
+    return fx.spark.read.parquet(output).select(C("scene_id").cast("string").alias("scene_id"), "global_thresholds_score", "local_thresholds_score")
 
 
 add(

@@ -20,13 +20,13 @@ SELECT o_orderkey AS detect_id, concat('s', CAST(CAST(floor(o_orderkey / 600) AS
 FROM {orders}""",
     "pred_fx": """
 SELECT o_orderkey AS pred_id, concat('s', CAST(CAST(floor(o_orderkey / 600) AS BIGINT) AS STRING)) AS scene_id,
- (o_orderkey * o_orderkey * 7 + o_orderkey * 13) % 1499 + (o_orderkey*31) % 29 - 14 AS detect_scene_row,
+ (o_orderkey * o_orderkey * 7 + o_orderkey * 13) % 1499 + (o_orderkey*31) % 29 - 14 + CASE WHEN o_orderkey % 7 = 0 THEN 2000 ELSE 0 END AS detect_scene_row,
  (o_orderkey * o_orderkey * 11 + o_orderkey * 5) % 1511 + (o_orderkey*37) % 29 - 14 AS detect_scene_column,
  CAST((o_orderkey*53) % 1000 AS DOUBLE)/CAST(1000 AS DOUBLE) AS objectness_p,
  CAST((o_orderkey*71) % 1000 AS DOUBLE)/CAST(1000 AS DOUBLE) AS is_vessel_p,
  CAST((o_orderkey*89) % 1000 AS DOUBLE)/CAST(1000 AS DOUBLE) AS is_fishing_p,
  CAST(20 + (o_orderkey*11) % 500 AS DOUBLE) AS vessel_length_m
-FROM {orders} WHERE o_orderkey % 7 <> 0""",
+FROM {orders}""",
     "pix_fx": """
 SELECT concat('s', CAST(CAST(floor(event_id / 2500) AS BIGINT) AS STRING)) AS scene_id,
  CAST(floor((event_id % 2500) / 50) AS BIGINT) AS px_row, event_id % 50 AS px_col,
@@ -40,7 +40,7 @@ FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "hole_fx": """
 SELECT DISTINCT l_orderkey AS image_id, (l_suppkey*11) % 64 AS hx1, (l_partkey*17) % 64 AS hy1,
  (l_suppkey*11) % 64 + 1 + l_partkey % 24 AS hx2, (l_partkey*17) % 64 + 1 + l_suppkey % 24 AS hy2
-FROM {lineitem} WHERE l_returnflag = 'R'""",
+FROM {lineitem}""",
     "scn_fx": """
 SELECT c_custkey AS scene_key, concat('s', CAST(c_custkey AS STRING)) AS scene_id, n_name AS location,
  CASE c_mktsegment WHEN 'BUILDING' THEN 'validation' WHEN 'MACHINERY' THEN 'test' ELSE 'train' END AS official_split,

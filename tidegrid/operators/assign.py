@@ -24,9 +24,23 @@ ROW_COLUMNS = ["kind", "p", "g", "p_rank", "g_rank", "flow", "k_from", "k_to", "
 EDGE_COLUMNS = ["p", "g", "pn", "gn", "k", "ps", "low", "gs", "d2"]
 
 
-def edge_cost(p: int, g: int, d2: int) -> float:
-    """Distance, plus a tiny amount fixed by the two ids so that equal optima always resolve the same way."""
-    return math.sqrt(d2) + 1e-9 * ((p * 31 + g * 17) % 1009) / 1009
+TIE = (1 << 60) // 1009 // 10**9  # a step of the first tie-break, 1e-9 / 1009 pixels
+
+
+def _mixed(p: int, g: int) -> int:
+    """48 bits fixed by the two ids."""
+    x = (p * 0x9E3779B97F4A7C15 + g * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1
+    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    return (x ^ x >> 29) & (1 << 48) - 1
+
+
+def edge_cost(p: int, g: int, d2: int) -> int:
+    """Exact cost: the distance in 2**-60 pixels with a step fixed by the two ids, then 48 bits of their own.
+
+    Costs are whole numbers of any size, so sums never round; the last bits differ from edge to edge, so one optimum
+    is the cheapest and every way of searching finds that one.
+    """
+    return (math.isqrt(d2 << 120) + TIE * ((p * 31 + g * 17) % 1009) << 80) + _mixed(p, g)
 
 
 def pair_up(edges: list[tuple], supply: dict, demand: dict) -> list[tuple]:
@@ -67,9 +81,9 @@ def _augment(edges: list[tuple], left: set, right: set, supply: dict, demand: di
     flow: dict = {}
     holders: dict = {g: set() for g in right}
     price_p: dict = {}
-    price_g = dict.fromkeys(right, 0.0)
+    price_g = dict.fromkeys(right, 0)
     free_p, free_g = {p: supply[p] for p in left}, {g: demand[g] for g in right}
-    source_price = 0.0
+    source_price = 0
     while True:
         heap: list = []
         done: dict = {}
@@ -88,7 +102,7 @@ def _augment(edges: list[tuple], left: set, right: set, supply: dict, demand: di
                     heapq.heapreplace(waiting, (now, p, g))
                     continue
                 break
-            fresh = max(waiting[0][0] + source_price, 0.0) if waiting else math.inf
+            fresh = max(waiting[0][0] + source_price, 0) if waiting else math.inf
             known = heap[0][0] if heap else math.inf
             if fresh == math.inf and known == math.inf:
                 break
@@ -112,7 +126,7 @@ def _augment(edges: list[tuple], left: set, right: set, supply: dict, demand: di
                 for p in sorted(holders[node]):
                     if free_p[p] or (0, p) in done:
                         continue
-                    step = max(price_g[node] - price_p[p] - length[p, node], 0.0)
+                    step = max(price_g[node] - price_p[p] - length[p, node], 0)
                     if d + step < best.get((0, p), math.inf):
                         best[0, p] = d + step
                         via[0, p] = node
@@ -121,7 +135,7 @@ def _augment(edges: list[tuple], left: set, right: set, supply: dict, demand: di
                 for g in outgoing[node]:
                     if (1, g) in done:
                         continue
-                    step = max(length[node, g] + price_p[node] - price_g[g], 0.0)
+                    step = max(length[node, g] + price_p[node] - price_g[g], 0)
                     if d + step < best.get((1, g), math.inf):
                         best[1, g] = d + step
                         via[1, g] = node

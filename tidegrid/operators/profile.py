@@ -165,6 +165,6 @@ def auc(df: DataFrame, score: Column, positive: Column, name: str) -> DataFrame:
 
 
 def plain_length_score(pairs: DataFrame, predicted: Column, actual: Column, name: str) -> DataFrame:
-    """One minus the mean relative length error, without caps, not below 0."""
-    error = F.try_divide(F.abs(predicted - actual), actual)
+    """One minus the mean relative length error, without caps, not below 0; an actual length of 0 makes it 0."""
+    error = F.when(actual == 0, F.lit(float("inf"))).otherwise(F.abs(predicted - actual) / F.nullif(actual, F.lit(0.0)))
     return pairs.agg((F.lit(1.0) - F.least(F.lit(1.0), F.avg(error))).alias(name))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.labels import folder_weight, unknown_to_code
 from tidegrid.functions.scalars import normal_hash, uniform_hash
-from tidegrid.operators.ranking import chunked_rank, chunked_running_sum, first_by, hash_chunk
+from tidegrid.operators.ranking import chunked_rank, chunked_running_sum, hash_chunk
 from tidegrid.operators.spatial import cell_of, points_in_crops, with_cell
+from tidegrid.session import cut_lineage
 
 
 def capped_normal(lo: float, hi: float, *keys: Column) -> Column:
@@ -78,18 +79,22 @@ def mixed_crops(
     object_share: float,
     seed: int,
     weight: str = "weight",
-    candidates: int = 1,
+    attempt: int = 0,
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Crops of each scene: around an object with a given chance, else half near the shore, else anywhere.
 
     Objects are picked by weight, shoreline points evenly.  Picking the item with the
     smallest ``-ln(u)/w`` is a weighted choice, and a minimum needs no list of
-    items in one place.  ``candidates`` versions of each crop are produced for retries.
+    items in one place.  Another ``attempt`` gives other crops; ``samples`` (scene_id, sample_no) names those still
+    wanted, all of them by default.  A scene whose objects all have weight 0 has no object crops.
     """
     wanted = scenes.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(crops_per_scene - 1))))
-    wanted = wanted.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
+    wanted = wanted.withColumn("attempt", F.lit(attempt))
+    if samples is not None:
+        wanted = wanted.join(samples.select("scene_id", "sample_no"), ["scene_id", "sample_no"], "left_semi")
     key = [F.lit(seed), F.col("scene_id"), F.col("sample_no"), F.col("attempt")]
-    has_labels = labels.groupBy("scene_id").agg(F.count("*").alias("n_labels"))
+    has_labels = labels.filter(F.col(weight) > 0).groupBy("scene_id").agg(F.count("*").alias("n_labels"))
     has_shore = shoreline.groupBy("scene_id").agg(F.count("*").alias("n_points"))
     wanted = wanted.join(has_labels, "scene_id", "left").join(has_shore, "scene_id", "left")
     object_turn = F.col("n_labels").isNotNull() & (uniform_hash(*key, F.lit("object")) < object_share)
@@ -144,10 +149,38 @@ def _numbered_pick(wanted: DataFrame, items: DataFrame, item_id: str, weight: Co
     return best.select(*keys, "_b.row", "_b.col")
 
 
-def first_with_signal(crops: DataFrame, most_missing: float = 0.8) -> DataFrame:
-    """For each sample the first attempt whose crop has enough signal; ``crops`` carry ``missing``."""
-    good = crops.filter(F.col("missing") <= most_missing)
-    return first_by(good, ["scene_id", "sample_no"], [F.col("attempt")])
+def crops_with_signal(
+    scenes: DataFrame,
+    labels: DataFrame,
+    shoreline: DataFrame,
+    pixels: DataFrame,
+    value: str,
+    crops_per_scene: int,
+    crop: int,
+    object_share: float,
+    seed: int,
+    most_missing: float = 0.8,
+    cell: int = 256,
+    patience: int = 40,
+) -> DataFrame:
+    """``crops_per_scene`` crops of every scene, each drawn again until at most ``most_missing`` of it has no signal.
+
+    A round draws all samples that are still open.  After ``patience`` rounds in which no sample was closed the rest
+    is taken to be impossible, which is an error that names a scene, not a loss of rows.
+    """
+    done, samples, barren, attempt = None, None, 0, 0
+    while True:
+        crops = mixed_crops(scenes, labels, shoreline, crops_per_scene, crop, object_share, seed, attempt=attempt, samples=samples)
+        drawn = cut_lineage(missing_share(crops, pixels, value, cell))
+        good, bad = drawn.filter(F.col("missing") <= most_missing), drawn.filter(F.col("missing") > most_missing)
+        done = good if done is None else done.unionByName(good)
+        left = bad.agg(F.count("*"), F.min("scene_id")).first()
+        if not left[0]:
+            return done
+        barren = 0 if not good.isEmpty() else barren + 1
+        if barren >= patience:
+            raise ValueError(f"no crop with enough signal in scene {left[1]}")
+        samples, attempt = bad, attempt + 1
 
 
 def missing_share(crops: DataFrame, pixels: DataFrame, value: str, cell: int = 256) -> DataFrame:

@@ -122,7 +122,7 @@ def combined_weight(
 ) -> DataFrame:
     """``(1 + sum of the chosen parts) / number of parts``.
 
-    The shore part only counts when both kinds of rows exist.
+    The shore part only counts when a near-shore row exists.
     """
     # every count comes from the labels themselves, so the parts do not build on each other's plans
     base = labels.withColumns(
@@ -137,8 +137,8 @@ def combined_weight(
             continue
         part = "_w_" + column
         df = df.join(_label_weights(base, column, part), column)
-        # the shore part needs both kinds of rows
-        counts = F.col(part + "_k") > 1 if column == "_near" else F.lit(True)
+        # the shore part needs a near-shore row: among two kinds of rows there is one
+        counts = (F.col(part + "_k") > 1) | F.col("_near") if column == "_near" else F.lit(True)
         total = total + F.when(counts, F.col(part)).otherwise(0.0)
         number = number + counts.cast("double")
     for use, column in ((vessel, "is_vessel"), (fishing, "is_fishing")):
@@ -175,8 +175,8 @@ def per_scene_weight(
         shares = _class_counts(base, "_near", ["scene_id"]).select(
             "scene_id",
             "_near",
-            F.when(F.col("_k") > 1, F.lit(1.0) / (F.col("_k") * F.col("_n_class"))).otherwise(0.0).alias("_w_shore"),
-            (F.col("_k") > 1).cast("double").alias("_c_shore"),
+            F.when((F.col("_k") > 1) | F.col("_near"), F.lit(1.0) / (F.col("_k") * F.col("_n_class"))).otherwise(0.0).alias("_w_shore"),
+            ((F.col("_k") > 1) | F.col("_near")).cast("double").alias("_c_shore"),
         )
         df = df.join(shares, ["scene_id", "_near"])
         total, number = total + F.col("_w_shore"), number + F.col("_c_shore")

@@ -23,8 +23,8 @@ from tidegrid.operators.assign import PAIRED, PAIRED_LOW, PAIRED_SHORE, edge_cos
 from tidegrid.operators.spatial import cell_of
 from tidegrid.session import cut_lineage
 
-# cost of leaving a detection without a partner: above every detour of a search
-ALONE = 1e7
+# cost of leaving a detection without a partner: above every sum of 2**100 edge costs, so pairing always comes first
+ALONE = 1 << 256
 FIRST_BLOCK = 512
 UNIT = ("scene_id", "root", "lvl")
 STATE = ("f", "dn", "u", "v")
@@ -36,7 +36,7 @@ def place_rows(edges: dict, border: np.ndarray) -> None:
     cost = [edge_cost(p, g, d2) for p, g, d2 in zip(ps, gs, edges["d2"].tolist())]
     supply, demand = dict(zip(ps, edges["pn"].tolist())), dict(zip(gs, edges["gn"].tolist()))
     alone = dict(zip(ps, edges["dn"].tolist()))
-    price_p, price_g = dict(zip(ps, edges["u"].tolist())), dict(zip(gs, edges["v"].tolist()))
+    price_p, price_g = dict(zip(ps, map(int, edges["u"].tolist()))), dict(zip(gs, map(int, edges["v"].tolist())))
     closed = {g: True for g in gs}
     for g, b in zip(gs, border.tolist()):
         closed[g] = closed[g] and not b
@@ -57,8 +57,8 @@ def place_rows(edges: dict, border: np.ndarray) -> None:
 
     def search(source: int):
         """Cheapest way to place one more unit: ``(path ends, distances, predecessors)`` or None."""
-        heap = [(0.0, 0, source)]
-        best = {(0, source): 0.0}
+        heap = [(0, 0, source)]
+        best = {(0, source): 0}
         done: dict = {}
         via: dict = {}
         while heap:
@@ -74,15 +74,15 @@ def place_rows(edges: dict, border: np.ndarray) -> None:
                 if taken[node] < demand[node]:
                     return node, done, via
                 for p in sorted(holders[node]):
-                    step = max(length[p, node] - price_p[p] - price_g[node], 0.0)
+                    step = max(length[p, node] - price_p[p] - price_g[node], 0)
                     if (0, p) not in done and d + step < best.get((0, p), math.inf):
                         best[0, p] = d + step
                         via[0, p] = node
                         heapq.heappush(heap, (d + step, 0, p))
             else:
-                heapq.heappush(heap, (d + max(ALONE - price_p[node], 0.0), 2, node))
+                heapq.heappush(heap, (d + max(ALONE - price_p[node], 0), 2, node))
                 for g in outgoing[node]:
-                    step = max(length[node, g] - price_p[node] - price_g[g], 0.0)
+                    step = max(length[node, g] - price_p[node] - price_g[g], 0)
                     if (1, g) not in done and d + step < best.get((1, g), math.inf):
                         best[1, g] = d + step
                         via[1, g] = node
@@ -130,8 +130,8 @@ def place_rows(edges: dict, border: np.ndarray) -> None:
                 taken[goal] += amount
     edges["f"] = np.array([flow.get(pair, 0) for pair in zip(ps, gs)], dtype=np.int64)
     edges["dn"] = np.array([alone[p] for p in ps], dtype=np.int64)
-    edges["u"] = np.array([price_p[p] for p in ps])
-    edges["v"] = np.array([price_g[g] for g in gs])
+    edges["u"] = [str(price_p[p]) for p in ps]
+    edges["v"] = [str(price_g[g]) for g in gs]
     edges["pending"] = np.array([placed[p] + alone[p] < supply[p] for p in ps])
 
 
@@ -155,7 +155,7 @@ def _block_solver(side: int, shift_r: int, shift_c: int, reach: int):
 
 def assign_wide(edges: DataFrame, reach: int, first_block: int = FIRST_BLOCK) -> DataFrame:
     """Optimal flows of each unit's edges, as the edges with ``f > 0``."""
-    state = edges.selectExpr("*", "0L AS f", "0L AS dn", "0D AS u", "0D AS v", "true AS pending")
+    state = edges.selectExpr("*", "0L AS f", "0L AS dn", "'0' AS u", "'0' AS v", "true AS pending")
     columns = state.columns
     state, number = cut_lineage(state), 0
     while True:

@@ -9,7 +9,8 @@ groups x thresholds x classes, however many detections there are.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -286,8 +287,7 @@ def detection_scores(
 
 def score_thresholded(pred: DataFrame, labels: DataFrame, shoreline: DataFrame | None = None, options: ScoreOptions | None = None) -> DataFrame:
     """One row of scores for detections that already carry ``is_vessel`` and ``is_fishing``; all given labels count."""
-    options = options or ScoreOptions(score_all=True, drop_low=False)
-    options.vessel_thresholds = options.fishing_thresholds = [1.0]
+    options = replace(options or ScoreOptions(score_all=True, drop_low=False), vessel_thresholds=[1.0], fishing_thresholds=[1.0])
     flags = pred.withColumns(
         {
             "is_vessel_p": F.coalesce(F.col("is_vessel").cast("double"), F.lit(0.0)),
@@ -361,10 +361,15 @@ def scores_per_scene(
     Detections are taken as they come, without an objectness cut.
     """
     options = ScoreOptions(per_scene=True, **overrides)
+    grid = options.vessel_thresholds, options.fishing_thresholds
+    options = replace(options, vessel_thresholds=sorted({*grid[0], vessel}), fishing_thresholds=sorted({*grid[1], fishing}))
     scores = score_levels(pred, labels, shoreline, None, options)
+    # global thresholds off the grid are scored too, but are no choice of a scene
+    off = [F.col(c) == x for c, x, own in (("is_vessel_threshold", vessel, grid[0]), ("is_fishing_threshold", fishing, grid[1])) if x not in own]
+    choice = ~reduce(lambda a, b: a | b, off, F.lit(False))
     at_global = (F.col("is_vessel_threshold") == vessel) & (F.col("is_fishing_threshold") == fishing)
     rank = F.struct("aggregate", (-F.col("is_vessel_threshold")).alias("nv"), (-F.col("is_fishing_threshold")).alias("nf"))
-    best = F.max_by(F.struct("aggregate", "is_vessel_threshold", "is_fishing_threshold"), rank)
+    best = F.max_by(F.struct("aggregate", "is_vessel_threshold", "is_fishing_threshold"), F.when(choice, rank))
     per_scene = scores.groupBy("scene_id").agg(F.max(F.when(at_global, F.col("aggregate"))).alias("g"), best.alias("b"))
     return per_scene.select(
         "scene_id",

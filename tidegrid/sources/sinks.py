@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidegrid import schemas
 from tidegrid.operators.thresholds import threshold_tables
@@ -44,12 +43,18 @@ def read_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MAPS).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def finished_scenes(spark: SparkSession, path: str, schema: str = "scene_id STRING") -> DataFrame:
-    """Scenes that already have output; none when nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path).distinct()
-    except AnalysisException:
+    """Scenes that already have output; none when nothing was written yet.  A table of another schema is an error."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).distinct()
 
 
 def pending_scenes(scenes: DataFrame, finished: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidegrid.operators.thresholds import apply_thresholds
 from tidegrid.plans.scoring import scores_per_scene
-from tidegrid.sources.sinks import finished_scenes, pending_scenes
+from tidegrid.sources.sinks import finished_scenes, path_exists, pending_scenes
 
 
 def detection_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,22 +20,36 @@ def detection_stream(spark: SparkSession, path: str, schema: str, files_per_trig
     return reader.parquet(path)
 
 
-def process_new_scenes(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Write each scene's rows once; scenes that already have output are skipped.
+def _run_name(checkpoint: str) -> str:
+    return f"{zlib.crc32(checkpoint.encode()):08x}"
 
-    Every batch of every stream writes under its own marker.  A batch that is replayed
-    after a failure does not count its own half-written scenes as done and replaces
-    them, so no scene is lost or doubled.
+
+def _complete(batch: DataFrame, batch_id: int, run: str, staging: str, expected: DataFrame, output: str) -> DataFrame:
+    """All rows so far of the scenes that are complete now and were not finished before, with their ``marker``.
+
+    A batch is first kept under its own number, so a replay replaces it.  A scene is complete when it has as many
+    rows as ``expected(scene_id, n_rows)`` says; what has no output yet waits for later batches.
+    """
+    spark, marker = batch.sparkSession, f"{run}-{batch_id}"
+    batch.write.mode("overwrite").parquet(f"{staging}/run={run}/batch={batch_id}")
+    rows = spark.read.schema(batch.schema).parquet(*[f"{staging}/run={run}/batch={i}" for i in range(batch_id + 1) if path_exists(spark, f"{staging}/run={run}/batch={i}")])
+    written = finished_scenes(spark, output, "marker STRING, scene_id STRING")
+    rows = pending_scenes(rows, written.filter(F.col("marker") != marker).select("scene_id").distinct())
+    full = rows.groupBy("scene_id").agg(F.count("*").alias("have")).join(expected, "scene_id").filter("have = n_rows")
+    return rows.join(full.select("scene_id"), "scene_id", "left_semi").withColumn("marker", F.lit(marker))
+
+
+def process_new_scenes(stream: DataFrame, expected: DataFrame, output: str, staging: str, checkpoint: str) -> StreamingQuery:
+    """Write each scene's rows once, as soon as all of them arrived; scenes that already have output are skipped.
+
+    Rows of a scene may come in any number of files and batches.  Every batch writes under its own marker; a batch
+    that is replayed does not count its own half-written scenes as done and replaces them.
     """
-    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    run = _run_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        marker = f"{run}-{batch_id}"
-        written = finished_scenes(batch.sparkSession, output, "marker STRING, scene_id STRING")
-        done = written.filter(F.col("marker") != marker).select("scene_id").distinct()
-        fresh = pending_scenes(batch, done).withColumn("marker", F.lit(marker))
-        writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("marker", "scene_id").parquet(output)
+        ready = _complete(batch, batch_id, run, staging, expected, output)
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("marker", "scene_id").parquet(output)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,18 +64,22 @@ def score_stream(
     stream: DataFrame,
     labels: DataFrame,
     shoreline: DataFrame | None,
+    expected: DataFrame,
     output: str,
+    staging: str,
     checkpoint: str,
     vessel: float,
     fishing: float,
     **overrides,
 ) -> StreamingQuery:
-    """Score the scenes of each arriving batch against the label table."""
+    """Score each scene once, when all its detections arrived; ``output`` is kept by run, batch and scene."""
+    run = _run_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        here = labels.join(batch.select("scene_id").distinct(), "scene_id", "left_semi")
-        scores = scores_per_scene(batch, here, shoreline, vessel, fishing, **overrides)
-        writer = scores.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(output)
+        ready = _complete(batch, batch_id, run, staging, expected, output).drop("marker")
+        here = labels.join(ready.select("scene_id").distinct(), "scene_id", "left_semi")
+        scores = scores_per_scene(ready, here, shoreline, vessel, fishing, **overrides)
+        writer = scores.withColumn("marker", F.lit(f"{run}-{batch_id}")).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("marker", "scene_id").parquet(output)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
