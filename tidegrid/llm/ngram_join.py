@@ -6,8 +6,8 @@ prefixes last.  Inside a bucket a signature tree prunes: leaves hold documents o
 its documents' token bitmaps and its range of sizes, and a traversal of node pairs goes on only where the largest
 overlap that bitmaps and sizes allow is enough.  What is left is compared exactly, shingle by shingle.
 
-Copies are one set.  A first round links each set to two others of its bucket; the traversal then looks only for
-links between different components, so a large group of near copies never needs all its pairs.
+Copies are one set.  A first round verifies as many likely pairs as link a bucket together; the traversal then looks
+only for links between different components, so a large group of near copies never needs all its pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import id_type
@@ -27,6 +27,8 @@ from tidegrid.session import cut_lineage
 BITS = 2048  # of a document's bitmap
 LEAF = 16
 FEW = 1_000_000  # rows of a table that may be broadcast
+ROWS = 20_000  # members a task compares at once, but for one larger bucket
+SMALL, NEXT = 24, 6  # members of a bucket compared directly; neighbours of a member in a larger one
 COMMON = 50_000  # at most so many shingles are set last
 
 
@@ -124,6 +126,80 @@ def candidate_pairs(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, per
     return order[pairs] if len(levels) > 1 else np.zeros((0, 2), np.int64)
 
 
+def _may_be_alike(x, y, sizes, maps, bits, percent: int) -> np.ndarray:
+    """Whether sizes and bitmaps of members x and y allow them to be alike."""
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 1 << 15):
+        i, j = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+        both = np.bitwise_count(maps[i] & maps[j]).sum(1).astype(np.int64)
+        most = both + np.minimum(sizes[i] - bits[i], sizes[j] - bits[j])
+        low = np.minimum(sizes[i], sizes[j])
+        out[at : at + (1 << 15)] = ((100 + percent) * np.minimum(most, low) >= percent * (sizes[i] + sizes[j])) & (100 * low >= percent * np.maximum(sizes[i], sizes[j]))
+    return out
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs join two trees when taken in turn."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    keep = []
+    for i, j in zip(x.tolist(), y.tolist()):
+        i, j = find(i), find(j)
+        root[j] = i
+        keep.append(i != j)
+    return np.array(keep, bool)
+
+
+def _bucket_pairs(table: pa.Table, percent: int, spanning: bool) -> pa.Table:
+    """Pairs of sets of one shingle that can be alike and have different labels; ``spanning``: enough to link those.
+
+    Groups of up to SMALL members are compared directly.  Larger ones have a tree, or for ``spanning`` members are
+    compared with their next neighbours by size and with the first.
+    """
+    k, n, label, shingle = (table.column(c).to_numpy().astype(np.int64) for c in ("k", "n", "label", "shingle"))
+    order = np.lexsort((k, n, shingle))
+    k, n, label, shingle = k[order], n[order], label[order], shingle[order]
+    maps = np.frombuffer(b"".join(table.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(k), -1)
+    bits = np.bitwise_count(maps).sum(1).astype(np.int64)
+    cut = np.flatnonzero(np.diff(shingle, prepend=shingle[0] - 1 if len(shingle) else 0, append=shingle[-1] + 1 if len(shingle) else 0))
+    size = np.diff(cut)
+    large = np.repeat(size > SMALL, size)
+    first = np.repeat(cut[:-1], size)
+    xs, ys = [], []
+    for step in range(1, SMALL):
+        i = np.flatnonzero(shingle[:-step] == shingle[step:]) if step < len(shingle) else np.zeros(0, np.int64)
+        i = i[~large[i] | (spanning and step <= NEXT)]
+        i = i[label[i] != label[i + step]]
+        i = i[_may_be_alike(i, i + step, n, maps, bits, percent)]
+        xs.append(i)
+        ys.append(i + step)
+    if spanning:
+        i = np.flatnonzero(large & (first != np.arange(len(k))))
+        i = i[_may_be_alike(first[i], i, n, maps, bits, percent)]
+        xs.append(first[i])
+        ys.append(i)
+    else:
+        for a, m in zip(cut[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
+            _, groups = np.unique(label[a : a + m], return_inverse=True)
+            found = candidate_pairs(n[a : a + m], maps[a : a + m], groups, percent) + a
+            xs.append(found[:, 0])
+            ys.append(found[:, 1])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    a, b = np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
+    pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    if spanning and len(pairs):
+        names, ends = np.unique(pairs, return_inverse=True)
+        ends = ends.reshape(pairs.shape)
+        pairs = pairs[_spanning(ends[:, 0], ends[:, 1], len(names))]
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
 def _mapped(docs: DataFrame, n: int, common: np.ndarray, rows, schema: str) -> DataFrame:
     def run(batches):
         for batch in _sliced(batches):
@@ -201,32 +277,24 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
 
     own = picked.mapInArrow(own_rows, "k bigint, text string, bits binary")
     texts = own.select("k", "text")
+    bits = cut_lineage(own.select("k", "bits"))
+    groups = max(64, members.count() // ROWS)
+    bucket = F.pmod(F.xxhash64("shingle"), F.lit(groups)).alias("bucket")
 
-    # first round: each set with the one before it by size, and with the bucket's first
-    ordered = Window.partitionBy("shingle").orderBy("n", "k")
-    near = members.withColumn("before", F.lag("k").over(ordered)).withColumn("head", F.first("k").over(ordered))
-    tried = near.select(F.explode(F.array("before", "head")).alias("o"), "k").filter("o IS NOT NULL AND o <> k")
-    tried = cut_lineage(tried.select(F.least("o", "k").alias("a"), F.greatest("o", "k").alias("b")).distinct())
+    def pairs(rows: DataFrame, spanning: bool) -> DataFrame:
+        found = rows.join(bits, "k").select(bucket, "shingle", "k", "n", "label", "bits").groupBy("bucket")
+        return found.applyInArrow(lambda t: _bucket_pairs(t, percent, spanning), "a bigint, b bigint").distinct()
+
+    # first round: what spans the likely links of a bucket; second: what is left between different components
+    tried = cut_lineage(pairs(members.withColumn("label", F.col("k")), True))
     links = cut_lineage(_verified(tried, texts, n, percent))
     label = components(links)
-
-    # second round: what the trees leave between different components
     grouped = members.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     mixed = grouped.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    left = grouped.join(mixed, "shingle").join(own.select("k", "bits"), "k")
-
-    def traverse(table: pa.Table) -> pa.Table:
-        k = table.column("k").to_numpy()
-        maps = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(k), -1)
-        _, groups = np.unique(table.column("label").to_numpy(), return_inverse=True)
-        pairs = candidate_pairs(table.column("n").to_numpy().astype(np.int64), maps, groups, percent)
-        a, b = k[pairs[:, 0]], k[pairs[:, 1]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    more = left.groupBy("shingle").applyInArrow(traverse, "a bigint, b bigint").distinct()
-    more = more.join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, texts, n, percent))
-    label = components(links)
+    more = cut_lineage(pairs(grouped.join(mixed, "shingle"), False).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(_verified(more, texts, n, percent))
+        label = components(links)
 
     classed = keys.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("label", "k")))
     smallest = classed.filter("n > 0").groupBy("class").agg(F.min("id").alias("component"))

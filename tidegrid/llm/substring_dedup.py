@@ -109,7 +109,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         .agg(F.collect_set(F.when(F.col("count") <= group, F.col("range"))).alias("few"), F.collect_set(F.when(F.col("count") > group, F.col("range"))).alias("many"))
         .withColumnsRenamed({"id": "rid", "h": "rh"})
     )
-    spots = docs.join(ranges, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")))
+    spots = docs.join(ranges, F.col("id").eqNullSafe(F.col("rid")) & F.col("h").eqNullSafe(F.col("rh")))
     place = F.struct("id", "h", "start")
 
     few = _windows(spots, "few", window)
@@ -120,7 +120,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     later = later.select("id", "h", F.col("start").alias("first"), F.lit(1).alias("n")).unionByName(alike.select("id", "h", "first", "n"))
     cuts = later.groupBy("id", "h").agg(F.collect_list(F.struct("first", "n")).alias("cuts")).withColumnsRenamed({"id": "rid", "h": "rh"})
-    final = docs.join(cuts, F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh")), "left").select("id", "text", "cuts")
+    final = docs.join(cuts, F.col("id").eqNullSafe(F.col("rid")) & F.col("h").eqNullSafe(F.col("rh")), "left").select("id", "text", "cuts")
 
     def run(batches):
         for batch in _sliced(batches):

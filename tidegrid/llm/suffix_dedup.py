@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a string that also starts elsewhere are cut out.
 
 The suffixes of all documents are sorted by a distributed merge sort that knows common prefixes.  Only suffixes that
-matter are sorted: of each 200-byte window the 100-byte gram with the lowest hash is its sample, equal windows have
+matter are sorted: of each 200-byte window the 50-byte gram with the lowest hash is its sample, equal windows have
 equal samples, and grams that occur once are left out; where all samples of a gram lie in the same surroundings their
 windows are repeated and need no sorting.  The others go to buckets by gram.  A task sorts its suffixes of a bucket
 into a run and front-codes it (length of the prefix shared with the suffix before, then the rest).  A bucket's runs
@@ -238,7 +238,7 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
     return picked.mapInArrow(run, f"node bigint, check int, id {id_type(joined, 'id')}, h int, first int")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 100, group: int = 5000, buckets: int | None = None) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 50, group: int = 5000, buckets: int | None = None) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept binary``: every whole text without its repeated bytes.
 
     A byte of a text in UTF-8 goes when a string of ``window`` bytes that covers it also starts anywhere else, in
@@ -259,7 +259,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     grams = found.groupBy("gram").agg(F.count("*").alias("count"), F.min("around").alias("low"), F.max("around").alias("high")).filter("count > 1")
     place = F.struct("first", "n", "place", "gram")
     joined = found.drop("around").join(grams, "gram")
-    alike = joined.filter("low = high")
+    # ``place`` is named (it is never negative) so that this and the next use share one exchange
+    alike = joined.filter("low = high").withColumn("n", F.col("n") + F.least("place", F.lit(0)))
     ranges = (
         joined.groupBy("id", "h")
         .agg(
@@ -269,7 +270,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         .filter((F.size("few") > 0) | (F.size("many") > 0))
         .withColumnsRenamed({"id": "rid", "h": "rh"})
     )
-    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("h") == F.col("rh"))
+    same = F.col("id").eqNullSafe(F.col("rid")) & F.col("h").eqNullSafe(F.col("rh"))
     spots = docs.join(ranges, same)
     few = _merged(_runs(spots, window, buckets), window, kind)
     many = _windows(spots, window)
