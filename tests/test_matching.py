@@ -107,6 +107,22 @@ def test_small_scenes_with_copies_match_exhaustive_search(spark, sizes):
         assert math.isclose(sum(map(math.sqrt, mine)), cost, abs_tol=1e-6)
 
 
+TIED = [(r * 10, c * 10) for r in range(5) for c in range(5)]
+
+
+@pytest.mark.parametrize("sizes", [{"block_px": 20, "edges_per_group": 1}, {"block_px": 20, "edges_per_group": 1, "component_edges": 0}])
+def test_all_paths_pick_the_same_pairs_on_tied_lattices(spark, sizes):
+    """More detections than labels on a lattice: many optima of equal length, one choice whatever the path."""
+    rng = random.Random(4)
+    p_rows, g_rows = [], []
+    for s in range(12):
+        ps, gs = rng.sample(TIED, 14), [(r + 5, c + 5 * (s % 2)) for r, c in rng.sample(TIED, 7)]
+        p_rows += [(s * 100 + i, f"s{s}", r, c, 0.9, 0.9, 0.1, 100.0) for i, (r, c) in enumerate(ps)]
+        g_rows += [(s * 100 + i, f"s{s}", r, c, "HIGH", True, False, 100.0, 5.0) for i, (r, c) in enumerate(gs)]
+    p, g = spark.createDataFrame(p_rows, PRED), spark.createDataFrame(g_rows, GOLD)
+    assert pairs(M.match(p, g, **sizes)) == pairs(M.match(p, g))
+
+
 def test_many_copies_on_one_pixel(spark):
     p = preds(spark, [(3, 3)] * 500 + [(4, 4)] * 3)
     g = golds(spark, [(3, 4)] * 200 + [(10, 10)] * 400)

@@ -8,9 +8,11 @@ from tidegrid.fixtures import Fixtures
 from tidegrid.functions.labels import apply_low_policy
 from tidegrid.operators import folds as FO
 from tidegrid.operators import heatmap as H
+from tidegrid.operators import profile as P
 from tidegrid.operators import ranking as R
 from tidegrid.operators import sampling as SA
 from tidegrid.operators import tiles as T
+from tidegrid.operators import weights as W
 from tidegrid.sources.tables import resolve_shoreline
 
 FOLDER = "/root/testdata/sf0.001"
@@ -81,3 +83,33 @@ def test_chunked_rank_is_a_rank(spark):
     got = R.chunked_rank(df, [F.col("v")], F.floor(F.col("v") / 100), "rank", ["g"])
     want = df.selectExpr("g", "v", "row_number() OVER (PARTITION BY g ORDER BY v) AS rank")
     assert got.select("g", "v", "rank").exceptAll(want.selectExpr("g", "v", "bigint(rank)")).isEmpty()
+
+
+def _shore_labels(spark, km):
+    rows = [(i, "a" if i < 2 else "b", 10 * i, 10 * i, True, False, 50.0, "HIGH", float(k)) for i, k in enumerate(km)]
+    kinds = "detect_id BIGINT, scene_id STRING, detect_scene_row BIGINT, detect_scene_column BIGINT, is_vessel BOOLEAN, is_fishing BOOLEAN, vessel_length_m DOUBLE, confidence STRING, distance_from_shore_km DOUBLE"
+    return spark.createDataFrame(rows, kinds)
+
+
+def test_shore_part_counts_where_a_near_row_exists(spark):
+    got = {r["detect_id"]: r["weight"] for r in W.per_scene_weight(_shore_labels(spark, [0, 0, 9, 9]), 200, near_shore=True).collect()}
+    assert got == {0: 1.5, 1: 1.5, 2: 1.0, 3: 1.0}
+    all_near = W.combined_weight(_shore_labels(spark, [0, 0, 0, 0]), 200, near_shore=True)
+    all_off = W.combined_weight(_shore_labels(spark, [9, 9, 9, 9]), 200, near_shore=True)
+    assert {r["weight"] for r in all_near.collect()} == {2.0} and {r["weight"] for r in all_off.collect()} == {1.0}
+
+
+def test_zero_length_makes_the_plain_length_score_zero(spark):
+    df = spark.createDataFrame([(10.0, 10.0), (5.0, 0.0)], "p DOUBLE, a DOUBLE")
+    assert P.plain_length_score(df, F.col("p"), F.col("a"), "s").first()[0] == 0.0
+
+
+def test_retries_give_every_sample(spark):
+    scenes = spark.createDataFrame([("a", 60, 60)], "scene_id STRING, scene_rows BIGINT, scene_cols BIGINT")
+    labels = spark.createDataFrame([("a", 1, 30, 30, 0.0)], "scene_id STRING, detect_id BIGINT, detect_scene_row BIGINT, detect_scene_column BIGINT, weight DOUBLE")
+    shore = spark.createDataFrame([("a", 1, 50, 50)], "scene_id STRING, point_id BIGINT, pt_row BIGINT, pt_col BIGINT")
+    px = spark.range(3600).selectExpr("'a' AS scene_id", "id DIV 60 AS r", "id % 60 AS c", "IF(id DIV 60 < 20, 1.0D, NULL) AS v")
+    got = SA.crops_with_signal(scenes, labels, shore, px, "v", 12, 10, 0.9, 1, 0.5, 16)
+    assert got.count() == 12 and got.filter("missing > 0.5 OR source = 'object'").isEmpty()
+    with pytest.raises(ValueError, match="scene a"):
+        SA.crops_with_signal(scenes, labels, shore, px.withColumn("v", F.lit(None).cast("double")), "v", 2, 10, 0.9, 1, 0.5, 16, patience=3)

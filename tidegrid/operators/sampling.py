@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.labels import folder_weight, unknown_to_code
 from tidegrid.functions.scalars import normal_hash, uniform_hash
-from tidegrid.operators.ranking import chunked_rank, chunked_running_sum, hash_chunk
+from tidegrid.operators.ranking import chunked_rank, chunked_running_sum, first_by, hash_chunk
 from tidegrid.operators.spatial import cell_of, points_in_crops, with_cell
 from tidegrid.session import cut_lineage
 
@@ -80,17 +80,19 @@ def mixed_crops(
     seed: int,
     weight: str = "weight",
     attempt: int = 0,
+    attempts: int = 1,
     samples: DataFrame | None = None,
 ) -> DataFrame:
     """Crops of each scene: around an object with a given chance, else half near the shore, else anywhere.
 
     Objects are picked by weight, shoreline points evenly.  Picking the item with the
     smallest ``-ln(u)/w`` is a weighted choice, and a minimum needs no list of
-    items in one place.  Another ``attempt`` gives other crops; ``samples`` (scene_id, sample_no) names those still
+    items in one place.  Each of the ``attempts`` numbers from
+    ``attempt`` on gives another crop; ``samples`` (scene_id, sample_no) names those still
     wanted, all of them by default.  A scene whose objects all have weight 0 has no object crops.
     """
     wanted = scenes.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(crops_per_scene - 1))))
-    wanted = wanted.withColumn("attempt", F.lit(attempt))
+    wanted = wanted.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + attempts - 1))))
     if samples is not None:
         wanted = wanted.join(samples.select("scene_id", "sample_no"), ["scene_id", "sample_no"], "left_semi")
     key = [F.lit(seed), F.col("scene_id"), F.col("sample_no"), F.col("attempt")]
@@ -161,26 +163,30 @@ def crops_with_signal(
     seed: int,
     most_missing: float = 0.8,
     cell: int = 256,
-    patience: int = 40,
+    patience: int = 1000,
 ) -> DataFrame:
     """``crops_per_scene`` crops of every scene, each drawn again until at most ``most_missing`` of it has no signal.
 
-    A round draws all samples that are still open.  After ``patience`` rounds in which no sample was closed the rest
-    is taken to be impossible, which is an error that names a scene, not a loss of rows.
+    A round draws every sample that is still open, twice as often as the round before, and takes its first good
+    attempt.  A sample that fails ``patience`` times or more is taken to be impossible, which is an error that names
+    a scene, not a loss of rows.
     """
-    done, samples, barren, attempt = None, None, 0, 0
+    done, samples, attempt, attempts = None, None, 0, 1
+    key = ["scene_id", "sample_no"]
     while True:
-        crops = mixed_crops(scenes, labels, shoreline, crops_per_scene, crop, object_share, seed, attempt=attempt, samples=samples)
+        crops = mixed_crops(
+            scenes, labels, shoreline, crops_per_scene, crop, object_share, seed, attempt=attempt, attempts=attempts, samples=samples
+        )
         drawn = cut_lineage(missing_share(crops, pixels, value, cell))
-        good, bad = drawn.filter(F.col("missing") <= most_missing), drawn.filter(F.col("missing") > most_missing)
+        good = first_by(drawn.filter(F.col("missing") <= most_missing), key, [F.col("attempt")])
         done = good if done is None else done.unionByName(good)
-        left = bad.agg(F.count("*"), F.min("scene_id")).first()
-        if not left[0]:
+        samples = drawn.select(*key).distinct().join(good.select(*key), key, "left_anti")
+        open_scene = samples.agg(F.min("scene_id")).first()[0]
+        if open_scene is None:
             return done
-        barren = 0 if not good.isEmpty() else barren + 1
-        if barren >= patience:
-            raise ValueError(f"no crop with enough signal in scene {left[1]}")
-        samples, attempt = bad, attempt + 1
+        attempt, attempts = attempt + attempts, 2 * attempts
+        if attempt >= patience:
+            raise ValueError(f"no crop with enough signal in scene {open_scene}")
 
 
 def missing_share(crops: DataFrame, pixels: DataFrame, value: str, cell: int = 256) -> DataFrame:
