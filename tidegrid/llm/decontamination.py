@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import words
+from tidegrid.session import cut_lineage
 
 SHINGLE = 5
 BLOCKS, WIDTH = 8, 8  # blocks of a fingerprint, bits of a block
@@ -79,8 +80,8 @@ def windows_of(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     full = F.filter(starts, lambda s: F.size(F.filter("hits", lambda p: (p >= s) & (p < s + F.col("size")))) >= least_shared(F.col("size"), percent))
     # a document's windows of one size are needed once, whichever items led to them
     wanted = enough.groupBy("id", "h", "size").agg(F.array_distinct(F.flatten(F.collect_list(full))).alias("starts")).filter(F.size("starts") > 0)
-    wanted = wanted.withColumnsRenamed({"id": "wid", "h": "wh"})
-    both = tokens.join(_small(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")))
+    wanted = cut_lineage(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}))  # counted and used: not to be made twice
+    both = docs.join(_small(wanted), F.col("id").eqNullSafe(F.col("wid")) & F.col("h").eqNullSafe(F.col("wh"))).withColumn("w", words(F.col("text")))
     rows = both.select("id", "h", "size", "w", F.explode("starts").alias("start")).filter(F.col("start") + F.col("size") + SHINGLE - 1 <= F.size("w"))
     cut = F.slice("w", F.col("start") + 1, F.col("size") + SHINGLE - 1)
     return rows.select("id", "h", "size", "start", cut.alias("v")).select("id", "h", "size", "start", _all_shingles(F.col("v")).alias("shingles"))

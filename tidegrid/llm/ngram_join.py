@@ -265,7 +265,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     members = cut_lineage(rows.join(shared.select("shingle"), "shingle").groupBy("shingle", "k", "n").agg(F.lit(1).alias("one")).drop("one"))
 
     # texts of one document of each set that meets another
-    met = members.select("k").distinct().join(keys.groupBy("k").agg(F.min("id").alias("rep"), F.min_by(F.lit(1), "id")).select("k", "rep"), "k")
+    met = cut_lineage(members.select("k").distinct().join(keys.groupBy("k").agg(F.min("id").alias("rep")).select("k", "rep"), "k"))
     picked = docs.join(_small(met), F.col("id").eqNullSafe(F.col("rep"))).select("rep", "k", "text")
 
     def own_rows(batches):
