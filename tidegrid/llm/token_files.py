@@ -126,10 +126,10 @@ SCHEMA = "shard int, chunk int, n_ids int, first bigint, doc_ids array<{id}>, si
 
 
 def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int | None = 1, block: int = 65536, unit: str = "byte") -> None:
-    """Encode whole texts and write the ids in ascending order of ``id_col`` (ties by text) to a new ``folder``.
+    """Encode whole texts and write the ids in ascending order of ``id_col`` (ties by a hash of the text) to a new ``folder``.
 
     NULL and empty texts have only the end id; rows with a NULL id come first; repeated rows are written each.
-    Documents are dealt to shards by ranges of (id, text), so a shard is bounded whatever the ids are, and a shard
+    Documents are dealt to shards by ranges of (id, hash), so a shard is bounded whatever the ids are, and a shard
     is written by one task, chunk by chunk.  Only texts are shuffled, once.
     """
     path = path or vocabulary_path("word_bpe_49k.json")
@@ -175,7 +175,8 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
             yield flush()
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    ordered_ranges(rows, "id", "text").mapInArrow(run, SCHEMA.format(id=kind)).write.option("compression", "none").parquet(folder)
+    # Spark samples the keys on the driver to find the ranges, so a key must be small
+    ordered_ranges(rows.withColumn("h", F.xxhash64("text")), "id", "h").drop("h").mapInArrow(run, SCHEMA.format(id=kind)).write.option("compression", "none").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
