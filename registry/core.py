@@ -52,6 +52,17 @@ def add(name: str, run: Callable[[Fixtures], DataFrame], sql: str | None = None)
     QUERIES[name] = Query(lambda fx: plain(run(fx)), with_views(sql) if sql else None)
 
 
+def uniform_sql(*keys: str) -> str:
+    """The same number as ``uniform_hash`` for keys written as SQL."""
+    return f"(CAST(CAST('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52})"
+
+
+def normal_sql(*keys: str) -> str:
+    """The same number as ``normal_hash``."""
+    u1, u2 = uniform_sql(*keys, "'u1'"), uniform_sql(*keys, "'u2'")
+    return f"(sqrt(-2.0 * ln(greatest({u1}, 1e-16::DOUBLE))) * cos(2.0 * pi() * {u2}))"
+
+
 def pixels(fx: Fixtures) -> DataFrame:
     """Pixels with missing values as NULL: ``scene_id, r, c, vv, heat``."""
     return fx.pix.select(

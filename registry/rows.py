@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from registry.core import PIXELS_SQL, add, pixels
+from registry.core import PIXELS_SQL, add, normal_sql, pixels
 from tidegrid.functions import boxes as B
 from tidegrid.functions import geometry as G
 from tidegrid.functions import labels as L
@@ -219,6 +219,7 @@ add(
     lambda fx: pixels(fx).select(
         "scene_id", "r", "c", S.gauss_noise(C("vv"), 0.0, 0.5, F.lit(7), C("scene_id"), C("r"), C("c")).alias("x")
     ),
+    f"SELECT scene_id, r, c, round(vv + sqrt(0.5::DOUBLE) * {normal_sql('7', 'scene_id', 'r', 'c')},6) AS x FROM ({PIXELS_SQL})",
 )
 add(
     "f7_geometric_moves",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from registry.core import add, pixels
+from registry.core import add, normal_sql, pixels
 from registry.joins import CROPS_SQL, _crops
 from tidegrid.functions import labels as L
 from tidegrid.operators import sampling as SA
@@ -22,6 +22,7 @@ add("t5_weighted_draws", _draws)
 add(
     "t6_clipped_normal",
     lambda fx: fx.gt.select("detect_id", SA.capped_normal(-64.0, 64.0, F.lit(3), C("detect_id")).alias("jitter")),
+    f"SELECT detect_id, round(least(greatest(sqrt(128::DOUBLE) * {normal_sql('3', 'detect_id')}, -64), 64),6) AS jitter FROM gt_fx",
 )
 SIZE = 1600
 

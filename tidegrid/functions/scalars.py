@@ -57,8 +57,12 @@ def brightness_contrast(x: Column, alpha: Column | float, beta: Column | float,
 
 
 def uniform_hash(*keys: Column) -> Column:
-    """Uniform number in [0, 1) fixed by its keys, whatever the partitioning."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    """Uniform number in [0, 1) fixed by its keys, whatever the partitioning.
+
+    The first 52 bits of the MD5 of the keys as text, joined by bars: any SQL engine gives the same number.
+    """
+    text = F.concat_ws("|", *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def normal_hash(*keys: Column) -> Column:
