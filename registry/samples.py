@@ -66,7 +66,7 @@ def _paste(fx):
     donors = fx.box.groupBy("box_no").agg(F.count("*").alias("n")).select(
         C("box_no").alias("donor_id"), (C("box_no") + 3).alias("donor_h"), (C("box_no") + 5).alias("donor_w"), (1.0 / C("n")).alias("weight")
     )
-    return SA.paste_plan(fx.box.select("image_id").distinct(), fx.box, donors, 160, 160, 16, seed=2)
+    return SA.paste_plan(fx.box.select("image_id").distinct(), fx.box, donors, 160, 160, seed=2)
 
 
 add("t10_paste_plan", _paste)

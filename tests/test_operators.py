@@ -113,3 +113,17 @@ def test_retries_give_every_sample(spark):
     assert got.count() == 12 and got.filter("missing > 0.5 OR source = 'object'").isEmpty()
     with pytest.raises(ValueError, match="scene a"):
         SA.crops_with_signal(scenes, labels, shore, px.withColumn("v", F.lit(None).cast("double")), "v", 2, 10, 0.9, 1, 0.5, 16, patience=3)
+
+
+def test_pasted_boxes_use_any_free_pixel_and_keep_their_distance(spark):
+    images = spark.range(300).selectExpr("id AS image_id")
+    boxes = images.selectExpr("image_id", "1L AS box_no", "20 AS x1", "20 AS y1", "40 AS x2", "40 AS y2")
+    donors = spark.createDataFrame([(1, 5, 7, 1.0)], "donor_id INT, donor_h INT, donor_w INT, weight DOUBLE")
+    got = SA.paste_plan(images, boxes, donors, 60, 60, seed=3).collect()
+    assert len(got) == 300 and len({(r["x1"] + 3) % 16 for r in got}) == 16
+    for r in got:
+        cx, cy = r["x1"] + 3, r["y1"] + 2
+        assert max(20 - cx, cx - 39, 0) ** 2 + max(20 - cy, cy - 39, 0) ** 2 > 49
+        assert r["x1"] > 0 and r["y1"] > 0 and r["x2"] < 60 and r["y2"] < 60
+    full = images.selectExpr("image_id", "1L AS box_no", "0 AS x1", "0 AS y1", "60 AS x2", "60 AS y2")
+    assert SA.paste_plan(images, full, donors, 60, 60, seed=3, patience=20).isEmpty()

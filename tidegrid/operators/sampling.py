@@ -206,14 +206,24 @@ def missing_share(crops: DataFrame, pixels: DataFrame, value: str, cell: int = 2
     return counted.withColumn("missing", F.lit(1.0) - F.try_divide(F.col("_seen"), size)).drop("_seen")
 
 
+def _free_spots(spots: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Spots farther from every box of their image than the donor's longer side."""
+    near_x = F.greatest(F.col("b.x1") - F.col("s.cx"), F.col("s.cx") - F.col("b.x2") + 1, F.lit(0))
+    near_y = F.greatest(F.col("b.y1") - F.col("s.cy"), F.col("s.cy") - F.col("b.y2") + 1, F.lit(0))
+    reach = F.greatest("s.donor_h", "s.donor_w")
+    blocked = (F.col("s.image_id") == F.col("b.image_id")) & (near_x * near_x + near_y * near_y <= reach * reach)
+    return spots.alias("s").join(boxes.alias("b"), blocked, "left_anti")
+
+
 def paste_plan(
-    images: DataFrame, boxes: DataFrame, donors: DataFrame, height: int, width: int, step: int, seed: int
+    images: DataFrame, boxes: DataFrame, donors: DataFrame, height: int, width: int, seed: int, attempts: int = 16, patience: int = 4096
 ) -> DataFrame:
     """Where to paste a drawn donor object in each image, away from all boxes.
 
-    ``donors`` hold ``donor_id, donor_h, donor_w, weight``.  Each image draws a donor by
-    weight; candidate spots lie on a grid, must leave room to the image's border and keep
-    farther from every box than the donor's longer side; one spot is chosen by hash.
+    ``donors`` hold ``donor_id, donor_h, donor_w, weight``.  Each image draws a donor by weight and then an even spot
+    among all pixels that leave room to the image's border and keep farther from every box than the donor's longer
+    side: spots are drawn until one is free, ``attempts`` at first and twice as many each round.  After ``patience``
+    draws the pixels of the few images left are all listed; an image without a free pixel has no row.
     """
     numbered = chunked_rank(images.select("image_id"), [F.col("image_id")], hash_chunk(F.col("image_id")), "draw")
     numbered = numbered.withColumn("draw", F.col("draw") - 1)
@@ -221,21 +231,30 @@ def paste_plan(
     drawn = weighted_draws(donors, "donor_id", "weight", count, seed)
     chosen = numbered.join(drawn, "draw").join(donors.select("donor_id", "donor_h", "donor_w"), "donor_id").drop("draw")
     half_h, half_w = F.floor(F.col("donor_h") / 2).cast("int"), F.floor(F.col("donor_w") / 2).cast("int")
-    spots = chosen.withColumn("cy", F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(step))))
-    spots = spots.withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(step))))
-    spots = spots.filter(
-        (F.col("cy") > half_h) & (F.col("cx") > half_w) & (F.col("cy") < height - half_h - 1) & (F.col("cx") < width - half_w - 1)
-    )
-    near_x = F.greatest(F.col("b.x1") - F.col("s.cx"), F.col("s.cx") - F.col("b.x2") + 1, F.lit(0))
-    near_y = F.greatest(F.col("b.y1") - F.col("s.cy"), F.col("s.cy") - F.col("b.y2") + 1, F.lit(0))
-    reach = F.greatest("s.donor_h", "s.donor_w")
-    blocked = (F.col("s.image_id") == F.col("b.image_id")) & (near_x * near_x + near_y * near_y <= reach * reach)
-    free = spots.alias("s").join(boxes.alias("b"), blocked, "left_anti")
-    order = uniform_hash(F.lit(seed), F.col("image_id"), F.col("cx"), F.col("cy"))
-    spot = free.groupBy("image_id", "donor_id", "donor_h", "donor_w").agg(F.min_by(F.struct("cx", "cy"), F.struct(order.alias("o"), "cx", "cy")).alias("p"))
+    rows, cols = F.lit(height - 2) - 2 * half_h, F.lit(width - 2) - 2 * half_w  # room for the middle of the donor
+    left = cut_lineage(chosen.filter((rows > 0) & (cols > 0)))
+    key, first, done = ["image_id", "donor_id", "donor_h", "donor_w"], 0, None
+    while True:
+        last_round = first >= patience
+        if last_round:
+            spots = left.withColumn("cy", F.explode(F.sequence(half_h + 1, half_h + rows)))
+            spots = spots.withColumn("cx", F.explode(F.sequence(half_w + 1, half_w + cols)))
+            order = uniform_hash(F.lit(seed), F.col("image_id"), F.col("cx"), F.col("cy"))
+        else:
+            spots = left.withColumn("_try", F.explode(F.sequence(F.lit(first), F.lit(first + attempts - 1))))
+            at = [uniform_hash(F.lit(seed), F.col("image_id"), F.col("_try"), F.lit(axis)) for axis in ("x", "y")]
+            spots = spots.withColumn("cx", (half_w + 1 + F.floor(at[0] * cols)).cast("int")).withColumn("cy", (half_h + 1 + F.floor(at[1] * rows)).cast("int"))
+            order = F.col("_try")
+        best = _free_spots(spots, boxes).groupBy(*key).agg(F.min_by(F.struct("cx", "cy"), F.struct(order.alias("o"), "cx", "cy")).alias("p"))
+        best = cut_lineage(best)
+        done = best if done is None else done.unionByName(best)
+        left = cut_lineage(left.join(best.select("image_id"), "image_id", "left_anti"))
+        if last_round or left.isEmpty():
+            break
+        first, attempts = first + attempts, 2 * attempts
     x1 = F.col("p.cx") - F.floor(F.col("donor_w") / 2).cast("int")
     y1 = F.col("p.cy") - F.floor(F.col("donor_h") / 2).cast("int")
-    return spot.select(
+    return done.select(
         "image_id", "donor_id", x1.alias("x1"), y1.alias("y1"), (x1 + F.col("donor_w")).alias("x2"), (y1 + F.col("donor_h")).alias("y2")
     )
 
