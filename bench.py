@@ -44,6 +44,11 @@ def full_sweep(fx):
     return SC.best_thresholds(SC.sweep_thresholds(fx.pred, fx.gt, fx.shore, SWEEP, shore_radius_px=60))
 
 
+def near_shore(fx):
+    """The near-shore mark at the reach of the scoring rule; the named query uses 60 pixels."""
+    return SC.mark_near_shore(fx.pred, fx.shore, 220)
+
+
 def main() -> None:
     spark = build_session("bench", cpus=CPUS, shuffle_partitions=int(CPUS))
     fx = Fixtures(spark, FOLDER)
@@ -51,7 +56,7 @@ def main() -> None:
     if os.path.isdir(smallest):  # start readers, workers and code generation before timing
         full_sweep(Fixtures(spark, smallest)).collect()
     registry = load()
-    runs = {"sweep_26_thresholds": full_sweep, **{n: registry[n].run for n in NAMED}}
+    runs = {"sweep_26_thresholds": full_sweep, "near_shore_220_px": near_shore, **{n: registry[n].run for n in NAMED}}
     times = {}
     for name, run in runs.items():
         start = time.perf_counter()

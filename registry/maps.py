@@ -304,7 +304,8 @@ def _scales(fx):
     base = pixels(fx).select("scene_id", "r", "c", C("heat").alias("size"))
     parts = None
     for offset in (0, -10):
-        part = base.filter((C("r") < 50 + offset) & (C("c") < 50 + offset)).withColumn("scale_offset", F.lit(offset).cast("bigint"))
+        small = [F.floor(C(x) * (50 + offset) / 50).cast("bigint").alias(x) for x in ("r", "c")]
+        part = base.groupBy("scene_id", *small).agg(F.max("size").alias("size")).withColumn("scale_offset", F.lit(offset).cast("bigint"))
         parts = part if parts is None else parts.unionByName(part)
     scenes = base.select("scene_id").distinct().withColumns({"scene_rows": F.lit(50).cast("bigint"), "scene_cols": F.lit(50).cast("bigint")})
     return T.undo_scales(parts, scenes, "size")
@@ -313,8 +314,8 @@ def _scales(fx):
 add(
     "a37_undo_scales",
     _scales,
-    f"""{PX}, s AS (SELECT scene_id, r, c, heat AS v FROM px UNION ALL SELECT k.scene_id, tr, tc, heat*50/40.0::DOUBLE FROM (SELECT DISTINCT scene_id FROM px) k, range(0,50) a(tr), range(0,50) b(tc)
- JOIN px ON px.r = tr*40//50 AND px.c = tc*40//50 WHERE px.scene_id = k.scene_id) SELECT scene_id, r, c, round(avg(v),6) AS size FROM s GROUP BY 1,2,3""",
+    f"""{PX}, sm AS (SELECT scene_id, r*40//50 AS r, c*40//50 AS c, max(heat) AS heat FROM px GROUP BY 1,2,3), s AS (SELECT scene_id, r, c, heat AS v FROM px UNION ALL SELECT k.scene_id, tr, tc, heat*50/40.0::DOUBLE FROM (SELECT DISTINCT scene_id FROM px) k, range(0,50) a(tr), range(0,50) b(tc)
+ JOIN sm ON sm.r = tr*40//50 AND sm.c = tc*40//50 WHERE sm.scene_id = k.scene_id) SELECT scene_id, r, c, round(avg(v),6) AS size FROM s GROUP BY 1,2,3""",
 )
 add(
     "a38_overview",
