@@ -4,8 +4,8 @@ Suffixes are split into groups by prefixes of variable length, and a group's suf
 Only suffixes that can repeat take part: of each window of words the five-word gram with the lowest hash is its sample,
 equal windows have equal samples, and a window whose sample occurs once cannot repeat.  The tree is kept as a table of
 its deep nodes: a suffix's node at depth ``window`` is the hash of that many words, and an inner node is one with
-several suffixes below it.  A gram whose samples all lie in the same words is a path without branches: all but its
-first occurrence are repeats as a whole.  Other grams with few occurrences are small subtrees, finished where their
+several suffixes below it.  Samples of a gram that lie in the same words are a path without branches: all but the
+first of them are repeats as a whole.  Other grams with few occurrences are small subtrees, finished where their
 suffixes meet; a gram with many is extended to the whole window and its nodes are pre-aggregated before anything is sent.
 """
 
@@ -97,13 +97,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     docs = docs.select("id", F.hash("text").alias("h"), "text")  # tells texts of one id apart
     found = _samples(docs, window)
-    repeated = found.groupBy("gram").agg(F.count("*").alias("count"), F.min("around").alias("low"), F.max("around").alias("high")).filter("count > 1")
-    joined = found.drop("around").join(repeated, "gram")
-    sample = F.struct("id", "h", "first")
-    alike = joined.filter((F.col("low") == F.col("high")) & (F.col("count") <= group))
-    alike = alike.withColumn("firsts", F.min(sample).over(Window.partitionBy("gram"))).filter(sample > F.col("firsts"))
+    repeated = found.groupBy("gram").count().filter("count > 1")
+    joined = found.join(repeated, "gram")
+    # every use of ``joined`` names all its columns, so that they share one exchange; of samples in equal words the first stands for all; it needs its windows only if its gram has other surroundings too
+    sample, own = F.struct("id", "h", "first"), Window.partitionBy("gram")
+    small = joined.filter(F.col("count") <= group)
+    small = small.withColumns({"mixed": F.min("around").over(own) < F.max("around").over(own), "firsts": F.min(sample).over(Window.partitionBy("gram", "around"))})
+    alike = small.filter(sample > F.col("firsts"))
+    first = small.filter((sample == F.col("firsts")) & F.col("mixed"))
     ranges = (
-        joined.filter((F.col("low") != F.col("high")) | (F.col("count") > group))
+        first.select("id", "h", "first", "n", "count")
+        .unionByName(joined.filter(F.col("count") > group).select("id", "h", "first", F.when(F.col("around").isNotNull(), F.col("n")).alias("n"), "count"))
         .withColumn("range", F.struct("first", "n"))
         .groupBy("id", "h")
         .agg(F.collect_set(F.when(F.col("count") <= group, F.col("range"))).alias("few"), F.collect_set(F.when(F.col("count") > group, F.col("range"))).alias("many"))
