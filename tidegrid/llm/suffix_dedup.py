@@ -2,8 +2,8 @@
 
 The suffixes of all documents are sorted by a distributed merge sort that knows common prefixes.  Only suffixes that
 matter are sorted: of each 200-byte window the 50-byte gram with the lowest hash is its sample, equal windows have
-equal samples, and grams that occur once are left out; where all samples of a gram lie in the same surroundings their
-windows are repeated and need no sorting.  The others go to buckets by gram.  A task sorts its suffixes of a bucket
+equal samples, and grams that occur once are left out; samples in equal surroundings are repeated as a whole, and one of
+them stands for all.  The others go to buckets by gram.  A task sorts its suffixes of a bucket
 into a run and front-codes it (length of the prefix shared with the suffix before, then the rest).  A bucket's runs
 are merged by a tree of losers over these lengths: two suffixes that share a known prefix with the last winner are
 compared from there on, never again from the start.  The merged lengths are the suffix array's LCP table: windows that
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import id_type
@@ -238,7 +238,7 @@ def _windows(joined: DataFrame, window: int) -> DataFrame:
     return picked.mapInArrow(run, f"node bigint, check int, id {id_type(joined, 'id')}, h int, first int")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 50, group: int = 5000, buckets: int | None = None) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 50, group: int = 20_000, buckets: int | None = None) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept binary``: every whole text without its repeated bytes.
 
     A byte of a text in UTF-8 goes when a string of ``window`` bytes that covers it also starts anywhere else, in
@@ -256,18 +256,23 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     docs = docs.select("id", F.hash("text").alias("h"), "text")  # tells texts of one id apart
     buckets = buckets or max(16, 4 * docs.rdd.getNumPartitions())
     found = _samples(docs, window, gram)
-    grams = found.groupBy("gram").agg(F.count("*").alias("count"), F.min("around").alias("low"), F.max("around").alias("high")).filter("count > 1")
+    grams = found.groupBy("gram").count().filter("count > 1")
+    joined = found.join(grams, "gram")
+    # every use of ``joined`` names all its columns, so that they share one exchange; of samples with equal bytes around
+    # all are cut and the first stands for all, if its gram has other surroundings too
+    sample, own = F.struct("id", "h", "first", "place"), Window.partitionBy("gram")
+    equal = Window.partitionBy("gram", "around")
+    small = joined.filter(F.col("count") <= group)
+    small = small.withColumns({"mixed": F.min("around").over(own) < F.max("around").over(own), "firsts": F.min(sample).over(equal), "copies": F.count("*").over(equal)})
+    alike = small.filter("copies > 1")
+    first = small.filter(F.col("mixed") & (sample == F.col("firsts")))
+    hot = joined.filter(F.col("count") > group).withColumn("n", F.when(F.col("around").isNotNull() & F.col("place").isNotNull(), F.col("n")))
     place = F.struct("first", "n", "place", "gram")
-    joined = found.drop("around").join(grams, "gram")
-    # ``place`` is named (it is never negative) so that this and the next use share one exchange
-    alike = joined.filter("low = high").withColumn("n", F.col("n") + F.least("place", F.lit(0)))
     ranges = (
-        joined.groupBy("id", "h")
-        .agg(
-            F.collect_set(F.when((F.col("low") != F.col("high")) & (F.col("count") <= group), place)).alias("few"),
-            F.collect_set(F.when((F.col("low") != F.col("high")) & (F.col("count") > group), F.struct("first", "n"))).alias("many"),
-        )
-        .filter((F.size("few") > 0) | (F.size("many") > 0))
+        first.select("id", "h", place.alias("few"), F.lit(None).cast("struct<first:int,n:int>").alias("many"))
+        .unionByName(hot.select("id", "h", F.lit(None).cast("struct<first:int,n:int,place:int,gram:bigint>").alias("few"), F.struct("first", "n").alias("many")))
+        .groupBy("id", "h")
+        .agg(F.collect_set("few").alias("few"), F.collect_set("many").alias("many"))
         .withColumnsRenamed({"id": "rid", "h": "rh"})
     )
     same = F.col("id").eqNullSafe(F.col("rid")) & F.col("h").eqNullSafe(F.col("rh"))
