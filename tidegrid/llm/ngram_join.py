@@ -285,8 +285,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         found = rows.join(bits, "k").select(bucket, "shingle", "k", "n", "label", "bits").groupBy("bucket")
         return found.applyInArrow(lambda t: _bucket_pairs(t, percent, spanning), "a bigint, b bigint").distinct()
 
-    # first round: what spans the likely links of a bucket; second: what is left between different components
-    tried = cut_lineage(pairs(members.withColumn("label", F.col("k")), True))
+    # first round: of the likely links of a bucket's span one for each set; second: all that is left between components
+    tried = cut_lineage(pairs(members.withColumn("label", F.col("k")), True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = cut_lineage(_verified(tried, texts, n, percent))
     label = components(links)
     grouped = members.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
