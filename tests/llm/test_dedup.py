@@ -223,3 +223,13 @@ def test_fingerprints_near_each_other(spark):
     for r in got:
         want = sum(1 << b for b in range(64) if sum(1 if x >> b & 1 else -1 for x in r.s) > 0)
         assert r.p & (1 << 64) - 1 == want
+
+
+def test_samples_whose_surroundings_share_half_a_hash(spark):
+    """Pairs found by search: one gram, different surroundings, hashes of these with equal upper 32 bits."""
+    words = [(i, f"{'a ' * 14}x{i} {' '.join(f'm938_{j}' for j in range(5))} y{i}{' b' * 14}") for i in (27466, 105093)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(spark.createDataFrame(words, "doc_id bigint, text string")).collect()}
+    assert got == brute_words(dict(words)) and {r[1] for r in got.values()} == {0}
+    raw = [(i, f"{i:07d}".rjust(150, "a") + "02037" * 10 + "b" * 150) for i in (39210, 48767)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(spark.createDataFrame(raw, "doc_id bigint, text string")).collect()}
+    assert got == brute_bytes(dict(raw)) and {r[1] for r in got.values()} == {200}

@@ -47,10 +47,10 @@ def _samples(docs: DataFrame, window: int) -> DataFrame:
             rows = pa.array(text, pa.int64())
             whole, at = rolled(symbols, window), first + np.concatenate([[0], ends[:-1]])[text]
             around = scrambled(whole[at] * MIX + whole[at + n - 1] * SPREAD + n.astype(np.uint64)) if len(at) else gram
-            cols = [pa.array(gram.view(np.int64)), pa.array((around >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("id").take(rows), batch.column("h").take(rows), pa.array(first, pa.int32()), pa.array(n, pa.int32())]
+            cols = [pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows), pa.array(first, pa.int32()), pa.array(n, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=["gram", "around", "id", "h", "first", "n"])
 
-    return docs.mapInArrow(run, f"gram bigint, around int, id {id_type(docs, 'id')}, h int, first int, n int")
+    return docs.mapInArrow(run, f"gram bigint, around bigint, id {id_type(docs, 'id')}, h int, first int, n int")
 
 
 def _windows(joined: DataFrame, ranges: str, window: int) -> DataFrame:
@@ -87,7 +87,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     A word goes when a ``window`` of words that covers it also starts earlier: in a document with a smaller id, or
     earlier in the same one.  Windows are judged on the input.  Words are compared as they are, through 95 bits of
-    hash per window (96 where a whole sample is).  NULL ids come first; different texts with one id are different documents in the order of a hash
+    hash per window (128 where a whole sample is).  NULL ids come first; different texts with one id are different documents in the order of a hash
     of their text, rows equal in both are one document and get the same result each.  NULL and empty texts have no
     words.  ``kept`` joins the words that stay by one space.  Other columns are left out.
 

@@ -119,10 +119,10 @@ def _samples(docs: DataFrame, window: int, gram: int) -> DataFrame:
             at = first + np.concatenate([[0], ends[:-1]])[text] if len(text) else first
             around = scrambled(whole[at] * MIX + whole[at + n - 1] * SPREAD + n.astype(np.uint64)) if len(at) else g
             rows = pa.array(text, pa.int64())
-            cols = [pa.array(g.view(np.int64)), pa.array((around >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("id").take(rows), batch.column("h").take(rows), *(pa.array(v, pa.int32()) for v in (first, n, place))]
+            cols = [pa.array(g.view(np.int64)), pa.array(around.view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows), *(pa.array(v, pa.int32()) for v in (first, n, place))]
             yield pa.RecordBatch.from_arrays(cols, names=["gram", "around", "id", "h", "first", "n", "place"])
 
-    return docs.mapInArrow(run, f"gram bigint, around int, id {id_type(docs, 'id')}, h int, first int, n int, place int")
+    return docs.mapInArrow(run, f"gram bigint, around bigint, id {id_type(docs, 'id')}, h int, first int, n int, place int")
 
 
 RUN = "bucket int, lcp array<smallint>, rest array<binary>, before array<binary>, least array<smallint>, id array<{id}>, h array<int>, place array<int>"
@@ -247,7 +247,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     NULL and empty texts have no bytes.  Different texts with one id are different documents, and so are equal
     rows, which repeat each other.  Other columns are left out.
 
-    Suffixes are compared byte by byte from their gram on, and by 64-bit hash before it.  ``group`` is how many
+    Suffixes are compared byte by byte from their gram on, and by 64-bit hash before it; samples decided whole, by
+    64 bits of gram and 64 of all their bytes.  ``group`` is how many
     samples a gram may have in a bucket; the windows of a gram with more are counted by hash, pre-aggregated.
     ``buckets`` bounds what one merge holds; by default it follows the number of partitions of the documents.
     """
