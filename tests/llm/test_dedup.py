@@ -233,3 +233,30 @@ def test_samples_whose_surroundings_share_half_a_hash(spark):
     raw = [(i, f"{i:07d}".rjust(150, "a") + "02037" * 10 + "b" * 150) for i in (39210, 48767)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(spark.createDataFrame(raw, "doc_id bigint, text string")).collect()}
     assert got == brute_bytes(dict(raw)) and {r[1] for r in got.values()} == {200}
+
+
+def held_whole(of, items):
+    """``held``, and documents shorter than an item compared with it as a whole."""
+    shingles = lambda t: Counter(tuple(w[i : i + 5]) for w in [(t or "").lower().encode().split()] for i in range(len(w) - 4))
+    out = held(of, items)
+    for d, t in of.items():
+        for k, q in items:
+            own, item = shingles(t), shingles(q)
+            both = sum((own & item).values())
+            if 0 < own.total() < item.total() and 100 * both >= 80 * (own.total() + item.total() - both):
+                out[d, k] = 1, round(both / (own.total() + item.total() - both), 9)
+    return out
+
+
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    long, small = words_of(21, 39), words_of(22, 9)
+    items = [(0, " ".join(long)), (1, " ".join(small)), (2, "x " * 40), (3, " ".join(long).upper()), (4, " ".join(long[:36]))]
+    rows = [" ".join(w) for n in (38, 37, 33, 32, 31, 20, 5, 4) for w in (long[:n], long[-n:], long[:n] + ["other"], [*long[: n // 2], "other", *long[n // 2 : n]])]
+    rows += [" ".join(small[:8]), " ".join(small[1:]), " ".join(small[:7]), "x " * 39, "x " * 36, "x " * 35, "x " * 20, " ".join(long), " ".join(["a", "b", *long[:38]]), " ".join(long[:38]).title(), ""]
+    table = [(i, t) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame([*table, *table[:9]], "doc_id bigint, text string").repartition(3)
+    found = decontamination.find(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): (r.n_windows, round(r.similarity, 9)) for r in found.collect()}
+    want = held_whole(dict(table), items)
+    assert got == want and (0, 0) in want and want[0, 0] == (1, round(34 / 35, 9)) and len(want) > len(held(dict(table), items)) + 20
+    assert {r.doc_id for r in decontamination.remove(docs, found).collect()} == set(dict(table)) - {d for d, _ in want}
