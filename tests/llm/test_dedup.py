@@ -235,6 +235,16 @@ def test_samples_whose_surroundings_share_half_a_hash(spark):
     assert got == brute_bytes(dict(raw)) and {r[1] for r in got.values()} == {200}
 
 
+@pytest.mark.parametrize("text", ["hello", "hello world", "one two three", "one two three four", ""])
+def test_join_of_one_short_document(spark, text):
+    of = {7: text}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(list(of.items()), "doc_id bigint, text string"), n=5, percent=80).collect()}
+    assert got == classes(of, 5, 80)
+    alone = ngram_join.Sets([text], 5, np.zeros(0, np.uint64))
+    beside = ngram_join.Sets([text, "some other words stand in the same slice"], 5, np.zeros(0, np.uint64))
+    assert alone.keys[0] == beside.keys[0]
+
+
 def held_whole(of, items):
     """``held``, and documents shorter than an item compared with it as a whole."""
     shingles = lambda t: Counter(tuple(w[i : i + 5]) for w in [(t or "").lower().encode().split()] for i in range(len(w) - 4))

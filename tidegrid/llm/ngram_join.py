@@ -53,7 +53,7 @@ class Sets:
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
         text = np.repeat(np.arange(len(rows)), counts)
         h, length = words * MIX, sizes.copy()
-        for j in range(1, n):  # words after the end of a text count as nothing
+        for j in range(1, min(n, len(h))):  # words after the end of a text count as nothing
             h[: len(h) - j] = np.where(text[j:] == text[: len(text) - j], h[: len(h) - j] * SPREAD + words[j:] * MIX, h[: len(h) - j])
             length[: len(h) - j] += np.where(text[j:] == text[: len(text) - j], sizes[j:], 0)
         first = np.cumsum(counts) - counts
