@@ -1,6 +1,7 @@
 """Encoding, token files and secret scans against the tokenizers library and plain loops."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -114,3 +115,15 @@ def test_secrets(spark, hard):
     added = {r.doc_id: [s for s in r.spans if s.kind == "random"] for r in got if r.doc_id is not None and 100 <= r.doc_id < 108}
     assert {k for k, v in added.items() if v} == {104}
     assert secret_scan.scan(more.limit(0)).count() == 0
+
+
+def test_random_letters_are_secrets_and_names_are_not():
+    find = secret_scan.finder(secret_scan.vocabulary_path("byte_bpe_50k.tiktoken"), 2.0)
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, least in ((letters, 297), (letters + "0123456789", 300), (letters[26:], 240)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 41))) for _ in range(300)]
+        assert sum(find(f"the {k} end") == [(4, 3, 4 + len(k))] for k in keys) >= least
+    assert find("Xq" * 2 + "zRkWvJtHpLcMgFdSbN17") and find("qzxkvjwpmtgfhdbnrlcy77")
+    for name in ("get_user_profile_by_identifier", "com/example/project/module/Handler", "AbstractSingletonProxyFactoryBean", "KEY_DOWN_EVT_SRC_ID_TX_RX", "_x_i_j_k_l_m_n_o_p_q_r", "a/b/c/d/e/f/g/h/i/j/k", "user_profile_image_12345"):
+        assert find(f"the {name} end") == []

@@ -1,7 +1,8 @@
 """Secret scans: patterns of credentials, and random strings found by their token efficiency.
 
 Ordinary words are few tokens under a BPE vocabulary, random strings are many.  A run of key characters whose
-characters per token fall below a limit is reported as ``random`` unless it is a digest or an identifier.
+characters per token fall below a limit is reported as ``random`` unless it is a digest or a name of parts that are
+short or above the limit each.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from tidegrid.llm.common import id_type, per_document
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-# what is no secret though it looks random: digests in hex (MD5, SHA-1, SHA-2), UUIDs, dates and plain numbers, dotted or slashed names
-KNOWN = r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_+=/-]+|[A-Za-z_]+(?:[/_-][A-Za-z_]+)*|[a-z_]+[0-9]+)"
+# what is no secret though it looks random: digests in hex (MD5, SHA-1, SHA-2), UUIDs, dates and plain numbers
+KNOWN = r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_+=/-]+)"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+NAME = r"[/_-]*[A-Za-z]+(?:[/_-]+[A-Za-z]+)+[/_-]*"
+SHORT = 3  # letters of a name's part that is not counted: x, id, src
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -40,9 +43,15 @@ def token_counter(path: str):
 def finder(path: str, most_chars_per_token: float):
     """Function from a text to its spans ``(start, kind number, end)`` in order."""
     assign, access, hexes = (re.compile(p, re.ASCII) for p in (ASSIGN, ACCESS, HEX))
-    run, known = re.compile(RUN), re.compile(KNOWN)
+    run, known, name = re.compile(RUN), re.compile(KNOWN), re.compile(NAME)
     count = token_counter(path)
 
+    def dense(s: str) -> bool:
+        return len(s) < most_chars_per_token * count(s)
+
+    def named(s: str) -> bool:
+        return bool(name.fullmatch(s)) and not any(len(p) > SHORT and dense(p) for p in re.split("[/_-]+", s))
+
     def find(text: str) -> list[tuple[int, int, int]]:
         spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 8]
         spans += [(m.start(), 1, m.end()) for m in access.finditer(text)] if "AKIA" in text else []
@@ -52,7 +61,7 @@ def finder(path: str, most_chars_per_token: float):
             s, a, b = m[0], m.start(), m.end()
             if known.fullmatch(s) or any(x < b and a < y for x, _, y in base):
                 continue
-            if len(s) < most_chars_per_token * count(s):
+            if dense(s) and not named(s):
                 spans.append((a, 3, b))
         return sorted(spans)
 
