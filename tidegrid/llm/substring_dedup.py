@@ -1,12 +1,10 @@
 """Substring dedup: word passages that occur earlier in the corpus are cut out.
 
-Suffixes are split into groups by prefixes of variable length, and a group's suffixes are told apart by what follows.
-Only suffixes that can repeat take part: of each window of words the five-word gram with the lowest hash is its sample,
-equal windows have equal samples, and a window whose sample occurs once cannot repeat.  The tree is kept as a table of
-its deep nodes: a suffix's node at depth ``window`` is the hash of that many words, and an inner node is one with
-several suffixes below it.  Samples of a gram that lie in the same words are a path without branches: all but the
-first of them are repeats as a whole.  Other grams with few occurrences are small subtrees, finished where their
-suffixes meet; a gram with many is extended to the whole window and its nodes are pre-aggregated before anything is sent.
+Hashed windows stand in for suffix trees, which are not built.  Only windows that can repeat take part: of each window
+of words the five-word gram with the lowest hash is its sample, equal windows have equal samples, and a window whose
+sample occurs once cannot repeat.  Of samples of a gram that lie in the same words all but the first are repeats as a
+whole.  The windows of the others are told apart by the hash of their words; those of a gram with many samples are
+pre-aggregated before anything is sent.
 """
 
 from __future__ import annotations
