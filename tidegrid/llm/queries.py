@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, decontamination, langid, ngram_join, pii, quality, secret_scan, substring_dedup, suffix_dedup, token_files
+from tidegrid.llm import alignment, bpe, decontamination, langid, lm_scoring, ngram_join, pii, prefix_trie, quality, secret_scan, substring_dedup, suffix_dedup, token_files
 from tidegrid.llm.common import digest, spans_text
 from tidegrid.session import new_folder
 
@@ -85,5 +85,22 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffixes, op3_bpe, op4_language, op5_quality, op6_pii, op7_ngram_join, op8_substrings, op9_secrets, op10_token_files)}
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_counts(documents(spark, folder))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    return prefix_trie.trie(prefix_trie.share_openings(prefix_trie.paths(conversations)))
+
+
+def op13_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, folder))
+
+
+NAMED = (
+    *(op1_decontamination, op2_suffixes, op3_bpe, op4_language, op5_quality, op6_pii, op7_ngram_join, op8_substrings),
+    *(op9_secrets, op10_token_files, op11_alignment, op12_prefix_trie, op13_lm_scoring),
+)
+QUERIES = {f.__name__: f for f in NAMED}
 SQL: dict[str, str] = {}
