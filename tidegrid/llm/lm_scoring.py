@@ -63,6 +63,22 @@ class Tokens:
         self.opens = np.zeros(len(at), bool)  # first tokens of texts
         self.opens[self.first] = True
 
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Sizes, vocabulary and tokens; frequent words get low numbers, which pack better."""
+        often = np.bincount(self.at, minlength=len(self.vocabulary))
+        order = np.argsort(-np.frexp(often.astype(float))[1], kind="stable")  # by powers of two, so that hashes still ascend in runs
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        return pack(self.sizes), pack_sorted(self.vocabulary[order]), pack(number[self.at])
+
+    @classmethod
+    def unpacked(cls, sizes: bytes, vocabulary: bytes, places: bytes, learnt: np.ndarray) -> Tokens:
+        hashes = unpack_sorted(vocabulary)
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(hashes[order], place[unpack(places).astype(np.int64)], unpack(sizes).astype(np.int64), learnt)
+
     @classmethod
     def of(cls, texts: list[pa.Array], learnt: np.ndarray) -> Tokens:
         parts = [split_words(t) for t in texts]
@@ -89,28 +105,32 @@ class Level:
     """Contexts of one length in a block with their next tokens.
 
     ``where`` are the tokens that have such a context, ``context`` and ``gram`` the places of their context and of context
-    plus token among ``keys`` of the level before and of this one (ascending).
+    plus token among ``keys`` of the level before and of this one (ascending).  Contexts are candidates only where their
+    suffix is kept (``kept``, by token) and they occur ``least`` times.
     """
 
-    def __init__(self, tokens: Tokens, before: Level | None, least: int):
+    counts: np.ndarray | None = None  # of all learnt documents
+
+    def __init__(self, tokens: Tokens, before: Level | None = None, kept: np.ndarray | None = None, least: int = 0):
         if before is None:  # single tokens
             self.where = np.arange(len(tokens.at))
-            self.gram, self.keys = tokens.at.astype(np.int64), tokens.vocabulary
+            self.gram, self.keys = tokens.at, tokens.vocabulary
             return
         # the context of a token is what the token before it ends at the level before
         next_to = before.where + 1
         inside = next_to < len(tokens.at)
         inside[inside] = ~tokens.opens[next_to[inside]]
+        if kept is not None:
+            inside[inside] = kept[next_to[inside]]
         if before.counts is not None:
             inside &= before.counts[before.gram] >= least
         self.where, self.context = next_to[inside], before.gram[inside]
-        token = tokens.at[self.where]
-        number, pairs = local_ids(self.context << 32 | token)
+        number, pairs = local_ids(self.context << 32 | tokens.at[self.where])
         keys = mix(before.keys[pairs >> 32], tokens.vocabulary[pairs & 0xFFFFFFFF])
-        self.keys, place = np.unique(keys, return_inverse=True)
-        self.gram = place[number]
-
-    counts: np.ndarray | None = None  # of all learnt documents
+        order = np.argsort(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.keys, self.gram = keys[order], place[number]
 
     def own(self, tokens: Tokens) -> np.ndarray:
         """Counts of the keys in the learnt documents of the block."""
@@ -118,61 +138,61 @@ class Level:
 
 
 class Tree:
-    """What is known of a block's part of the tree after some rounds."""
+    """What is known of a block's part of the tree after some rounds, and what the next round asks for.
+
+    The first round brings the counts of single tokens and of contexts of one word; from then on the rounds bring in
+    turn the gains of the contexts of a length, which decide what is kept, and the counts of those one word longer.
+    """
 
     def __init__(self, tokens: Tokens, rounds: list, n: int, v: int, depth: int, least: int, strength: float, bits: float):
-        self.tokens, self.strength = tokens, strength
-        self.levels = [Level(tokens, None, least)]
-        if depth:
-            self.levels.append(Level(tokens, self.levels[0], least))
-        self.gains: tuple[np.ndarray, np.ndarray] | None = None
+        base = Level(tokens)
+        level = Level(tokens, base) if depth else None
+        self.asks: list[tuple[int, np.ndarray, np.ndarray]] = []
         if not rounds:
+            self.asks = [(COUNTS, base.keys, base.own(tokens))] + ([(GRAMS, level.keys, level.own(tokens))] if depth else [])
             return
-        base = self.levels[0]
-        base.counts = of_kind(rounds[0], COUNTS)
-        assert len(base.counts) == len(base.keys), "a block was made anew with other rows"
+        base.counts = self._counts(rounds[0], COUNTS, base)
         known = base.counts[base.gram]
         self.known = known > 0
         self.base = np.log2((known + 1.0) / (n + v + 1.0))
         self.best = self.base.copy()  # log2 P of each token in its longest kept context so far
-        kept = np.ones(len(tokens.at), bool)  # tokens whose context of the level before is kept
+        before = base
         for d in range(1, depth + 1):
-            level, before = self.levels[d], self.levels[d - 1]
-            level.counts = of_kind(rounds[d - 1], GRAMS)
-            assert len(level.counts) == len(level.keys), "a block was made anew with other rows"
-            if d < depth:
-                self.levels.append(Level(tokens, level, least))
-            total, c = before.counts[level.context], level.counts[level.gram]
-            parent = np.exp2(self.best[level.where])
-            if d < len(rounds):
-                gain = of_kind(rounds[d], GAINS)
-                ids, _ = self._contexts(level, before, least)
-                stays = np.zeros(len(before.keys), bool)
-                stays[ids] = gain >= bits * UNIT
-                on = stays[level.context] & kept[level.where]
-                kept = np.zeros(len(tokens.at), bool)
-                kept[level.where[on]] = True
-                self.best[level.where[on]] = np.log2((c[on] + strength * parent[on]) / (total[on] + strength))
-            else:  # the gains of this level are still to be added up
-                ids, place = self._contexts(level, before, least)
-                use = tokens.learnt[level.where] & (place[level.context] >= 0)
+            if 2 * d - 2 == len(rounds):
+                self.asks = [(GRAMS, level.keys, level.own(tokens))]
+                return
+            level.counts = self._counts(rounds[2 * d - 2], GRAMS, level)
+            often = before.counts[level.context] >= least
+            where, context, gram = level.where[often], level.context[often], level.gram[often]
+            total, c = before.counts[context], level.counts[gram]
+            parent = np.exp2(self.best[where])
+            used = np.zeros(len(before.keys), bool)
+            used[context] = True
+            if 2 * d - 1 == len(rounds):
+                use = tokens.learnt[where]
                 one = (c[use] - 1 + strength * parent[use]) / (total[use] - 1 + strength)
-                bit = np.rint((np.log2(one) - self.best[level.where[use]]) * UNIT)
-                self.gains = before.keys[ids], np.bincount(place[level.context[use]], bit, len(ids)).astype(np.int64)
-                break
+                bit = np.rint((np.log2(one) - self.best[where[use]]) * UNIT)
+                gains = np.bincount(context[use], bit, len(before.keys)).astype(np.int64)
+                self.asks = [(GAINS, before.keys[used], gains[used])]
+                return
+            stays = np.zeros(len(before.keys), bool)
+            stays[used] = of_kind(rounds[2 * d - 1], GAINS) >= bits * UNIT
+            on = stays[context]
+            kept = np.zeros(len(tokens.at), bool)
+            kept[where[on]] = True
+            self.best[where[on]] = np.log2((c[on] + strength * parent[on]) / (total[on] + strength))
+            if d < depth:
+                before, level = level, Level(tokens, level, kept, least)
 
     @staticmethod
-    def _contexts(level: Level, before: Level, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of a level that occur often enough, and the place of each key of the level before among them."""
-        used = np.zeros(len(before.keys), bool)
-        used[level.context] = True
-        ids = np.flatnonzero(used & (before.counts >= least))
-        place = np.full(len(before.keys), -1, np.int64)
-        place[ids] = np.arange(len(ids))
-        return ids, place
+    def _counts(parts: list, kind: int, level: Level) -> np.ndarray:
+        counts = of_kind(parts, kind)
+        if len(counts) != len(level.keys):
+            raise RuntimeError("a block was made anew with other rows: write the input to a table first")
+        return counts
 
 
-PAYLOAD = "block bigint, ids array<{id}>, held array<boolean>, sizes binary, vocabulary binary, places binary, learnt bigint"
+PAYLOAD = "block bigint, ids array<{id}>, held array<boolean>, sizes binary, vocabulary binary, places binary"
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -194,10 +214,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 pa.array([part << 32 | number], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids),
                 pa.array([out.tolist()], pa.list_(pa.bool_())),
-                pa.array([pack(t.sizes)], pa.binary()),
-                pa.array([pack_sorted(t.vocabulary)], pa.binary()),
-                pa.array([pack(t.at)], pa.binary()),
-                pa.array([int(t.learnt.sum())], pa.int64()),
+                *[pa.array([x], pa.binary()) for x in t.packed()],
             ]
             number, texts, ids, held, size = number + 1, [], [], [], 0
             return pa.RecordBatch.from_arrays(row, names=[c.split(" ")[0] for c in PAYLOAD.split(", ")])
@@ -229,8 +246,7 @@ def _rows(batches, names: list[str]):
 def _tree(row, model: tuple) -> tuple[Tokens, Tree]:
     """Tokens and tree of a row of ``PAYLOAD`` with what came back to it."""
     ids, held, sizes, vocabulary, places, n, v, *rounds = row
-    out = np.array(held.as_py(), bool)
-    tokens = Tokens(unpack_sorted(vocabulary.as_py()), unpack(places.as_py()).astype(np.int64), unpack(sizes.as_py()).astype(np.int64), ~out)
+    tokens = Tokens.unpacked(sizes.as_py(), vocabulary.as_py(), places.as_py(), ~np.array(held.as_py(), bool))
     return tokens, Tree(tokens, [r.as_py() for r in rounds], n.as_py() or 0, v.as_py() or 0, *model)
 
 
@@ -258,25 +274,18 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
 
         def run(batches):
             for block, *row in _rows(batches, ["block", *columns]):
-                tokens, tree = _tree(row, model)
-                out = []
-                if rounds == 0:
-                    base = tree.levels[0]
-                    out += send(block.as_py(), COUNTS, base.keys, base.own(tokens), split)
-                if rounds < depth:
-                    level = tree.levels[rounds + 1]
-                    out += send(block.as_py(), GRAMS, level.keys, level.own(tokens), split)
-                if tree.gains is not None:
-                    out += send(block.as_py(), GAINS, *tree.gains, split)
+                _, tree = _tree(row, model)
+                out = [r for ask in tree.asks for r in send(block.as_py(), *ask, split)]
                 if out:
                     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split(" ")[0] for c in ROWS.split(", ")])
 
         return run
 
+    rounds = max(2 * depth, 1)
+
     def finish(batches):
-        columns = [*names, *[f"r{i}" for i in range(depth + 1)]]
-        for row in _rows(batches, columns):
+        for row in _rows(batches, [*names, *[f"r{i}" for i in range(rounds)]]):
             tokens, tree = _tree(row, model)
             ids, held, n = row[0].values, row[1].as_py(), row[5].as_py() or 0
             per_text = lambda x: np.add.reduceat(x, tokens.first)
@@ -293,12 +302,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
 
     none = F.lit(None).cast("bigint")
     state = payload.withColumns({"n": none, "v": none})
-    learnt = payload.agg(F.sum("learnt").alias("n"))
-    for i in range(depth + 1):
+    for i in range(rounds):
         back = totals(state.mapInArrow(sender(i), ROWS))
         if i == 0:
-            words = back.filter(F.col("kind") == COUNTS).agg(F.sum("known").alias("v"))
-            state = payload.withColumns({"n": learnt.scalar(), "v": words.scalar()})
+            ends = back.filter(F.col("kind") == COUNTS).agg(F.struct(F.sum("amount").alias("n"), F.sum("known").alias("v")).alias("e")).scalar()
+            state = payload.withColumn("e", ends).select("*", "e.n", "e.v").drop("e")
         state = state.join(per_block(back, f"r{i}"), "block", "left")
     schema = f"`{id_col}` {id_type(df, id_col)}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return state.mapInArrow(finish, schema)

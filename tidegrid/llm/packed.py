@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS = "block bigint, kind int, bucket int, keys binary, sums binary"
-TOTALS = "block bigint, kind int, bucket int, known bigint, totals binary"
+TOTALS = "block bigint, kind int, bucket int, known bigint, amount bigint, totals binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -77,7 +77,8 @@ def send(block: int, kind: int, keys: np.ndarray, values: np.ndarray, bits: int)
 
 
 def add_up(table: pa.Table) -> pa.Table:
-    """One bucket: totals of each row's keys; the first row says how many distinct keys have a positive total."""
+    """One bucket: totals of each row's keys; the first row also has the number of distinct keys with a
+    positive total and the sum of all values."""
     rows = table.to_pylist()
     keys = [unpack_sorted(r["keys"]) for r in rows]
     flat = np.concatenate(keys)
@@ -88,13 +89,14 @@ def add_up(table: pa.Table) -> pa.Table:
     totals = np.empty(len(flat), np.int64)
     totals[order] = np.repeat(sums, np.diff(np.append(first, len(flat))))
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    known = [int((sums > 0).sum())] + [0] * (len(rows) - 1)
+    once = lambda value: pa.array([int(value)] + [0] * (len(rows) - 1), pa.int64())
     return pa.table(
         {
             "block": pa.array([r["block"] for r in rows], pa.int64()),
             "kind": pa.array([r["kind"] for r in rows], pa.int32()),
             "bucket": pa.array([r["bucket"] for r in rows], pa.int32()),
-            "known": pa.array(known, pa.int64()),
+            "known": once((sums > 0).sum()),
+            "amount": once(sums.sum()),
             "totals": pa.array([pack_signed(t) for t in np.split(totals, ends)], pa.binary()),
         }
     )
