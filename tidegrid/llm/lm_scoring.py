@@ -26,7 +26,7 @@ from tidegrid.llm.common import id_type
 from tidegrid.llm.packed import ROWS, mix, of_kind, pack, pack_sorted, per_block, send, totals, unpack, unpack_sorted
 
 BLOCK = 1 << 20
-UNIT = 1 << 16  # gains are added as whole numbers of this fraction of a bit, so that their order does not count
+UNIT = 1 << 8  # gains are added as whole numbers of this fraction of a bit, so that their order does not count
 COUNTS, GRAMS, GAINS = 0, 1, 2  # kinds of keys: tokens, contexts with their next token, contexts
 
 
@@ -75,7 +75,7 @@ class Tokens:
     def unpacked(cls, sizes: bytes, vocabulary: bytes, places: bytes, learnt: np.ndarray) -> Tokens:
         hashes = unpack_sorted(vocabulary)
         order = np.argsort(hashes)
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         return cls(hashes[order], place[unpack(places).astype(np.int64)], unpack(sizes).astype(np.int64), learnt)
 
@@ -113,7 +113,7 @@ class Level:
 
     def __init__(self, tokens: Tokens, before: Level | None = None, kept: np.ndarray | None = None, least: int = 0):
         if before is None:  # single tokens
-            self.where = np.arange(len(tokens.at))
+            self.where = np.arange(len(tokens.at), dtype=np.int32)
             self.gram, self.keys = tokens.at, tokens.vocabulary
             return
         # the context of a token is what the token before it ends at the level before
@@ -125,10 +125,10 @@ class Level:
         if before.counts is not None:
             inside &= before.counts[before.gram] >= least
         self.where, self.context = next_to[inside], before.gram[inside]
-        number, pairs = local_ids(self.context << 32 | tokens.at[self.where])
+        number, pairs = local_ids(self.context.astype(np.int64) << 32 | tokens.at[self.where])
         keys = mix(before.keys[pairs >> 32], tokens.vocabulary[pairs & 0xFFFFFFFF])
         order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.keys, self.gram = keys[order], place[number]
 
@@ -250,7 +250,7 @@ def _tree(row, model: tuple) -> tuple[Tokens, Tree]:
     return tokens, Tree(tokens, [r.as_py() for r in rounds], n.as_py() or 0, v.as_py() or 0, *model)
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least: int = 4, strength: float = 64.0, bits: float = 4.0) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least: int = 16, strength: float = 64.0, bits: float = 8.0) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``base_score`` is the log10 probability under add-one counts of single tokens, ``score`` that under the tree.  NULL and
