@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import os
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.bpe import vocabulary_path
 from tidegrid.llm.common import id_type, ordered_ranges
 
-LEVEL = 3
+LEVEL = 1
 MOST_WORDS = 400_000
 
 
@@ -96,14 +97,19 @@ def _word_encoder(path: str):
         return lambda texts: list(plain(texts))
     one_case = list(plain(["Two"])) == list(plain(["two"]))
     known: dict[str, bytes] = {}
+    normalizer = tokenizer.normalizer
 
     def cut(text):
         if one_case and "<|" not in text:  # special tokens are the only strings in which case counts
             text = text.encode().lower().decode()  # A to Z only
         return text.replace("\n", " ").split(" ")
 
+    def own_stop(word):
+        """Whether the stop after a letter is a piece of its own; it joins a mark that normalising takes off the letter."""
+        return word.isascii() or normalizer is None or normalizer.normalize_str(word)[-2:-1].isalpha()
+
     def learn(words):
-        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[:-1].isalpha()}  # a stop after a letter is a piece of its own
+        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[:-1].isalpha() and own_stop(w)}
         new = {*(stems.get(w, w) for w in words), ".", ","}.difference(known)
         simple = [w for w in new if w.isalpha()]
         known.update(zip(simple, single(simple)))
@@ -122,6 +128,15 @@ def _word_encoder(path: str):
     return by_word
 
 
+_ENCODERS: dict[str, Callable] = {}  # a worker keeps its words from task to task
+
+
+def _encoder(path: str) -> Callable:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _word_encoder(path)
+    return _ENCODERS[path]
+
+
 SCHEMA = "shard int, chunk int, n_ids int, first bigint, doc_ids array<{id}>, sizes array<int>, pieces array<int>, last array<boolean>, unit string, planes array<binary>"
 
 
@@ -139,7 +154,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
         from pyspark import TaskContext
 
         gc.disable()  # the store of words holds no cycles and is costly to walk
-        encode, shard = _word_encoder(path), TaskContext.get().partitionId()
+        encode, shard = _encoder(path), TaskContext.get().partitionId()
         chunk, first, held, docs = 0, 0, [], []  # docs: [id, size, piece, last] of the block in hand
         room = block
 
