@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from tidegrid.llm.bpe import vocabulary_path
 from tidegrid.llm.common import id_type
 from tidegrid.llm.packed import pack, unpack
+from tidegrid.session import cut_lineage
 
 A_FILE, B_FILE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-SLICE = 4 << 20  # bytes of text aligned at once
+SLICE = 2 << 20  # bytes of text aligned at once
 MOST_WORDS = 250_000
 # neither tokenizer has a token over such a space: a token holds spaces at its start only
 BREAK = re.compile(r"(?<=\S) (?=\S)")
@@ -90,21 +91,40 @@ class Aligner:
         self.top = top
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known_a) + len(words) > MOST_WORDS:
-            self.known_a, self.known_b, self.differ = {}, {}, set()
-        for word, a, b in zip(words, self.bytewise.encode_ordinary_batch([" " + w for w in words], num_threads=1), self.pieces.encode(words, num_threads=1)):
+        """Tokens of new words: those without spaces at their ends as texts of many words, cut by bytes; the others one by one."""
+        plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())]
+        alone = [w for w in words if w[0].isspace() or w[-1].isspace()]
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            text = " " + " ".join(part)
+            a, b = np.array(self.bytewise.encode_ordinary(text), np.int32), self.pieces.encode(text[1:])
+            if b"".join([self.bytes_b[i] for i in b]) != text.encode():
+                alone += part
+                continue
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            b = np.array(b, np.int32)
+            self.known_a.update(zip(part, self._cut(a, self.size_a, ends)))
+            self.known_b.update(zip(part, self._cut(b, self.size_b, ends)))
+        for word in alone:
+            a, b = self.bytewise.encode_ordinary(" " + word), self.pieces.encode(word)
             self.known_a[word], self.known_b[word] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()
             if b"".join([self.bytes_b[i] for i in b]) != b" " + word.encode():
                 self.differ.add(word)
 
+    @staticmethod
+    def _cut(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Tokens up to each end, as 32-bit numbers."""
+        data = ids.tobytes()
+        cuts = ((np.searchsorted(np.cumsum(sizes[ids]), ends) + 1) * 4).tolist()
+        return [data[x:y] for x, y in zip([0, *cuts], cuts)]
+
     def align(self, texts: list[str]) -> Aligned:
         rows = [BREAK.split(t) if t else [] for t in texts]
-        self_known = self.known_a
-        new = list({w for r in rows for w in r}.difference(self_known))
-        if new:
-            self.learn(new)
-            if self.known_a is not self_known:  # the store was emptied on the way
-                self.learn(list({w for r in rows for w in r}.difference(self.known_a)))
+        words = {w for r in rows for w in r}
+        new = words.difference(self.known_a)
+        if len(self.known_a) + len(new) > MOST_WORDS:  # the words of one slice are always held
+            self.known_a, self.known_b, self.differ, new = {}, {}, set(), words
+        self.learn(list(new))
         if self.differ:
             rows = [r if self.differ.isdisjoint(r) else [] for r in rows]
         a, b = ([b"".join([known[w] for w in r]) for r in rows] for known in (self.known_a, self.known_b))
@@ -233,7 +253,8 @@ def link_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
             yield pa.RecordBatch.from_arrays(row, names=[c.split(" ")[0] for c in BLOCKS.split(", ")])
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _input(df, id_col, text_col).mapInArrow(run, BLOCKS.format(id=kind)).repartition(parts, "block")
+    # the blocks are read three times, and are all that has to be kept of the texts
+    blocks = cut_lineage(_input(df, id_col, text_col).mapInArrow(run, BLOCKS.format(id=kind)).repartition(parts, "block"))
     asked = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("place", "p")).select("block", "place", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
     counts = asked.groupBy("pair").agg(F.sum("docs").alias("n"))
     of_a = Window.partitionBy(F.shiftright("pair", 32))
