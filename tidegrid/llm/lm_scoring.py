@@ -6,7 +6,8 @@ the longest kept suffix of the context, down to add-one counts of single tokens:
     P(x | s) = (count(s x) + strength * P(x | parent of s)) / (count(s) + strength)
 
 A context is kept if its parent is, if it occurs ``least`` times and if it passes a divergence test: the sum over its
-occurrences of log2 P(x | s) / P(x | parent), each taken without the occurrence itself, reaches ``bits``.  A token is
+occurrences of log2 P(x | s) / P(x | parent), each taken without the occurrence itself, reaches ``bits``.  Of
+three words or more it is only tried if it was also without its last word, as its count comes from there.  A token is
 scored in the longest kept context before it.
 
 Counts cover all training documents.  Documents are held as blocks of about ``BLOCK`` tokens; counts and gains of all

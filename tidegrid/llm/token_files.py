@@ -29,7 +29,7 @@ from tidegrid.llm.bpe import vocabulary_path
 from tidegrid.llm.common import id_type, ordered_ranges
 
 LEVEL = 1
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000  # about 200 bytes each
 
 
 def to_planes(ids: np.ndarray, unit: str = "byte") -> list[bytes]:
