@@ -7,9 +7,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from registry import load  # noqa: E402
 from tidegrid.constants import linspace  # noqa: E402
 from tidegrid.fixtures import Fixtures  # noqa: E402
+from tidegrid.operators import patches  # noqa: E402
+from tidegrid.operators.tiles import overlapping_tiles  # noqa: E402
 from tidegrid.plans import scoring as SC  # noqa: E402
 from tidegrid.session import build_session  # noqa: E402
 
@@ -49,6 +53,22 @@ def near_shore(fx):
     return SC.mark_near_shore(fx.pred, fx.shore, 220)
 
 
+def large_tiles(fx, tile=128, step=96, side=768):
+    """Overlapping tiles of a map of 768 x 768 pixels for each scene: 32 million tile pixels at the usual size."""
+    scenes = fx.pix.select("scene_id").distinct().withColumns({"scene_rows": F.lit(side).cast("bigint"), "scene_cols": F.lit(side).cast("bigint")})
+    place = F.hash("scene_id") + F.col("r0") * 31 + F.col("c0") * 17
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: ((i * 7919 + place) % 1000) / 1000.0)
+    tiles = overlapping_tiles(scenes, tile, step).select(
+        "scene_id", F.lit("obj").alias("channel"), F.col("r0").cast("int").alias("tile_row"), F.col("c0").cast("int").alias("tile_col"), F.lit(tile).alias("h"), F.lit(tile).alias("w"), pixels.alias("pixels")
+    )
+    return tiles.repartition(int(CPUS) * 4)
+
+
+def merge_32m_pixels(fx):
+    """Merge of overlapping tiles, then suppression, all on patches of 32 pixels."""
+    return patches.suppress(patches.merge(large_tiles(fx), 128, 96), 32)
+
+
 def main() -> None:
     spark = build_session("bench", cpus=CPUS, shuffle_partitions=int(CPUS))
     fx = Fixtures(spark, FOLDER)
@@ -56,7 +76,7 @@ def main() -> None:
     if os.path.isdir(smallest):  # start readers, workers and code generation before timing
         full_sweep(Fixtures(spark, smallest)).collect()
     registry = load()
-    runs = {"sweep_26_thresholds": full_sweep, "near_shore_220_px": near_shore, **{n: registry[n].run for n in NAMED}}
+    runs = {"sweep_26_thresholds": full_sweep, "near_shore_220_px": near_shore, "merge_32m_pixels": merge_32m_pixels, **{n: registry[n].run for n in NAMED}}
     times = {}
     for name, run in runs.items():
         start = time.perf_counter()

@@ -50,7 +50,7 @@ add(
 )
 add(
     "a15_channel_stats",
-    lambda fx: P.channel_stats(pixels(fx).select(F.expr("stack(2, 'vv', vv, 'vh', heat) AS (channel, value)"))),
+    lambda fx: P.tile_channel_stats(R.tiles_from_pixels(pixels(fx), 16, {"vv": C("vv"), "vh": C("heat")})),
     f"""SELECT 'vv' AS channel, round(avg(vv),6) AS mean, round(stddev_pop(vv),6) AS std FROM ({PIXELS_SQL}) UNION ALL SELECT 'vh', round(avg(heat),6), round(stddev_pop(heat),6) FROM ({PIXELS_SQL})""",
 )
 COUNTS_SQL = """SELECT location, count(*) FILTER (official_split='train') AS scenes_count_in_train, count(*) FILTER (official_split='validation') AS scenes_count_in_valid,

@@ -6,9 +6,11 @@ from registry.core import PIXELS_SQL, add, pixels
 from tidegrid.functions import labels as L
 from tidegrid.functions import scalars as S
 from tidegrid.operators import heatmap as H
+from tidegrid.operators import patches as PA
 from tidegrid.operators import tiles as T
 from tidegrid.operators.ranking import top_k
 from tidegrid.plans import targets as TG
+from tidegrid.sources.rasters import align_channels, pixels_of, tiles_from_pixels
 
 C = F.col
 
@@ -17,6 +19,15 @@ def heat(fx):
     return pixels(fx).select("scene_id", "r", "c", C("heat").alias("obj"))
 
 
+def patches(fx, side, **channels):
+    """The pixel table as patches, a channel for each column."""
+    return tiles_from_pixels(pixels(fx), side, channels or {"obj": C("heat")})
+
+
+def flat(tiles, name):
+    return pixels_of(tiles).select("scene_id", "r", "c", C("v").alias(name))
+
+
 def around(half, value="heat"):
     """Largest value in the square around a pixel, in SQL."""
     return f"""(SELECT max(q.{value}) FROM px q WHERE q.scene_id = p.scene_id AND abs(q.r-p.r) <= {half} AND abs(q.c-p.c) <= {half})"""
@@ -28,7 +39,7 @@ SQUARE3 = """sq AS (SELECT p.scene_id, p.r, p.c, max(q.heat) AS m FROM px p JOIN
  JOIN px q ON q.scene_id = p.scene_id AND q.r = p.r+dr AND q.c = p.c+dc GROUP BY 1,2,3)"""
 add(
     "n1_local_maxima",
-    lambda fx: H.local_maxima_dense(heat(fx), "obj", 3),
+    lambda fx: flat(PA.suppress(patches(fx, 16), 16, 3), "obj"),
     f"""{PX}, {SQUARE3} SELECT p.scene_id, p.r, p.c, CASE WHEN heat = m THEN heat ELSE 0 END AS obj FROM px p JOIN sq ON sq.scene_id = p.scene_id AND sq.r = p.r AND sq.c = p.c""",
 )
 add(
@@ -45,8 +56,8 @@ def plus_sql(k):
 
 
 def _tight(fx):
-    three = H.tight_maxima_dense(heat(fx), "obj", 3).withColumnRenamed("obj", "tight3")
-    five = H.tight_maxima_dense(heat(fx), "obj", 5).withColumnRenamed("obj", "tight5")
+    three = flat(PA.suppress(patches(fx, 16), 16, 3, tight=True), "tight3")
+    five = flat(PA.suppress(patches(fx, 16), 16, 5, tight=True), "tight5")
     return three.join(five, ["scene_id", "r", "c"])
 
 
@@ -206,6 +217,13 @@ add(
     "SELECT detect_id, round(ln(coalesce(vessel_length_m,0)/80+1),6) AS log_length, round(coalesce(vessel_length_m,0)/80,6) AS back FROM gt_fx",
 )
 
+def placed_pixels(tiles, name, keys=("r0", "c0", "y", "x")):
+    """Pixels of tiles with the place of their tile and their place inside."""
+    one = tiles.select("scene_id", C("tile_row").cast("bigint").alias(keys[0]), C("tile_col").cast("bigint").alias(keys[1]), "w", F.posexplode("pixels").alias("i", name))
+    y, x = F.floor(C("i") / C("w")).cast("bigint"), (C("i") % C("w")).cast("bigint")
+    return one.select("scene_id", keys[0], keys[1], y.alias(keys[2]), x.alias(keys[3]), name)
+
+
 # --- tiles ----------------------------------------------------------------------
 add(
     "t1_regular_crops",
@@ -219,20 +237,22 @@ add(
 )
 add(
     "t3_cut_tiles",
-    lambda fx: T.prediction_cut(T.cut_tiles(pixels(fx).select("scene_id", "r", "c", "heat"), 16, 12, "heat"), 16, 4).drop("pred_size"),
+    lambda fx: T.prediction_cut(placed_pixels(PA.cut_tiles(patches(fx, 20), 16, 12), "heat"), 16, 4).drop("pred_size"),
     f"""SELECT scene_id, i*12 AS r0, j*12 AS c0, r-i*12 AS y, c-j*12 AS x, heat, i*3 AS pred_r0, j*3 AS pred_c0 FROM ({PIXELS_SQL}), range(0,5) a(i), range(0,5) b(j) WHERE r >= i*12 AND r < i*12+16 AND c >= j*12 AND c < j*12+16""",
 )
 add(
     "t4_chips",
-    lambda fx: T.chips(pixels(fx), 8, "heat"),
+    lambda fx: placed_pixels(PA.regrid(patches(fx, 20), 8), "heat", ("r0", "c0", "in_row", "in_col")).select(
+        "scene_id", F.expr("r0 div 8").alias("chip_row"), F.expr("c0 div 8").alias("chip_col"), "in_row", "in_col", "heat"
+    ),
     f"SELECT scene_id, r//8 AS chip_row, c//8 AS chip_col, r%8 AS in_row, c%8 AS in_col, heat FROM ({PIXELS_SQL})",
 )
 
 
 def _merged(fx):
-    cut = T.cut_tiles(maps(fx).select("scene_id", "r", "c", "obj"), 16, 12, "obj")
-    seen = cut.withColumn("obj", C("obj") + (C("r0") + C("c0")) / 1000)
-    return T.merge_tiles(seen, ["obj"], T.pyramid_weight(C("y"), C("x"), 16, 16))
+    cut = PA.cut_tiles(patches(fx, 16), 16, 12)
+    seen = cut.withColumn("pixels", F.transform("pixels", lambda v: v + (C("tile_row") + C("tile_col")) / 1000))
+    return flat(PA.merge(seen, 16, 12), "obj")
 
 
 def _edge(v):
@@ -248,22 +268,24 @@ add(
 
 
 def _models(fx):
-    base = pixels(fx).select("scene_id", "r", "c", "heat")
-    return base.select("scene_id", "r", "c", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (C("heat") * (m + 1) - m).alias("obj")) for m in range(3)])).alias("e")).select("scene_id", "r", "c", "e.*")
+    """Three models whose maps are cut into tiles of different sizes."""
+    parts = None
+    for m in range(3):
+        t = patches(fx, 10 + 6 * m, obj=C("heat") * (m + 1) - m)
+        parts = t if parts is None else parts.unionByName(t)
+    return parts
 
 
 add(
     "a35_ensemble",
-    lambda fx: T.ensemble_mean(_models(fx), ["obj"], "after_model").join(
-        T.ensemble_mean(_models(fx), ["obj"], "after_ensemble").withColumnRenamed("obj", "late"), ["scene_id", "r", "c"]
+    lambda fx: flat(PA.ensemble(_models(fx), 16, "after_model"), "obj").join(
+        flat(PA.ensemble(_models(fx), 16, "after_ensemble"), "late"), ["scene_id", "r", "c"]
     ),
     f"""SELECT scene_id, r, c, round((1/(1+exp(-heat))+1/(1+exp(-(heat*2-1)))+1/(1+exp(-(heat*3-2))))/3,6) AS obj, round(1/(1+exp(-(heat+heat*2-1+heat*3-2)/3)),6) AS late FROM ({PIXELS_SQL})""",
 )
 
 
 def _same_grid(fx):
-    from tidegrid.sources.rasters import pixels_of, tiles_from_pixels
-
     parts = None
     for m in range(3):
         t = tiles_from_pixels(pixels(fx), 16, {"obj": C("heat") * (m + 1) - m}).withColumn("model", F.lit(m))
@@ -279,23 +301,21 @@ add(
 
 
 def _variants(fx):
-    """Maps of moved inputs: the value at (r, c) of each moved map."""
+    """Maps of moved inputs, as patches: the value at (r, c) of each moved map."""
     from tidegrid.functions.geometry import MODE_MOVES, move_pixel
 
-    moves = MODE_MOVES["d4"]
-    base = pixels(fx).withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(len(moves))])))
-    rows = cols = name = None
-    for i, m in enumerate(moves):
+    parts = None
+    for k, m in enumerate(MODE_MOVES["d4"]):
         r, c = move_pixel(m, C("r"), C("c"), F.lit(50), F.lit(50))
-        rows = F.when(C("k") == i, r) if rows is None else rows.when(C("k") == i, r)
-        cols = F.when(C("k") == i, c) if cols is None else cols.when(C("k") == i, c)
-        name = F.when(C("k") == i, m) if name is None else name.when(C("k") == i, m)
-    return base.select("scene_id", name.alias("variant"), rows.alias("r"), cols.alias("c"), (C("heat") + C("k")).alias("obj"))
+        moved = pixels(fx).select("scene_id", r.alias("r"), c.alias("c"), (C("heat") + k).alias("obj"))
+        t = tiles_from_pixels(moved, 16, {"obj": C("obj")}).withColumn("variant", F.lit(m))
+        parts = t if parts is None else parts.unionByName(t)
+    return parts
 
 
 add(
     "a36_undo_variants",
-    lambda fx: T.undo_variants(_variants(fx), 50, 50, ["obj"]),
+    lambda fx: flat(PA.undo_variants(_variants(fx), 50, 50, 16), "obj"),
     f"SELECT scene_id, r, c, round(heat+3.5,6) AS obj FROM ({PIXELS_SQL})",
 )
 
@@ -305,10 +325,10 @@ def _scales(fx):
     parts = None
     for offset in (0, -10):
         small = [F.floor(C(x) * (50 + offset) / 50).cast("bigint").alias(x) for x in ("r", "c")]
-        part = base.groupBy("scene_id", *small).agg(F.max("size").alias("size")).withColumn("scale_offset", F.lit(offset).cast("bigint"))
+        part = base.groupBy("scene_id", *small).agg(F.max("size").alias("size"))
+        part = tiles_from_pixels(part, 16, {"size": C("size")}).withColumn("scale_offset", F.lit(offset))
         parts = part if parts is None else parts.unionByName(part)
-    scenes = base.select("scene_id").distinct().withColumns({"scene_rows": F.lit(50).cast("bigint"), "scene_cols": F.lit(50).cast("bigint")})
-    return T.undo_scales(parts, scenes, "size")
+    return flat(PA.undo_scales(parts.withColumns({"scene_rows": F.lit(50), "scene_cols": F.lit(50)}), 16), "size")
 
 
 add(
@@ -319,12 +339,12 @@ add(
 )
 add(
     "a38_overview",
-    lambda fx: T.overview(pixels(fx), "heat"),
+    lambda fx: flat(PA.overview(patches(fx, 16)), "heat"),
     f"SELECT scene_id, r//4 AS r, c//4 AS c, round(avg(heat),6) AS heat FROM ({PIXELS_SQL}) GROUP BY 1,2,3",
 )
 add(
     "a39_grey_composite",
-    lambda fx: T.grey_composite(pixels(fx), "vv", "heat"),
+    lambda fx: flat(PA.grey_composite(align_channels(patches(fx, 16, vv=C("vv"), vh=C("heat")), ["vv", "vh"]), "vv", "vh"), "grey").withColumn("grey", C("grey").cast("bigint")),
     f"""SELECT scene_id, r, c, CAST(round(coalesce((m-min(m) OVER w)/(max(m) OVER w-min(m) OVER w)*255,0)) AS BIGINT) AS grey FROM (SELECT *, (vv+heat)/2 AS m FROM ({PIXELS_SQL})) WINDOW w AS (PARTITION BY scene_id)""",
 )
 
@@ -339,8 +359,6 @@ def _user_model(batches):
 
 
 def _scored_tiles(fx):
-    from tidegrid.sources.rasters import pixels_of, tiles_from_pixels
-
     tiles = tiles_from_pixels(pixels(fx), 16, {"vv": C("vv")}).select("scene_id", "channel", "tile_row", "tile_col", "h", "w", "pixels")
     schema = "scene_id STRING, channel STRING, tile_row INT, tile_col INT, h INT, w INT, pixels ARRAY<DOUBLE>"
     return pixels_of(T.score_tiles(tiles, _user_model, schema)).select("scene_id", "r", "c", "v")

@@ -8,8 +8,9 @@ from tidegrid.functions import geometry as G
 from tidegrid.functions import labels as L
 from tidegrid.functions import scalars as S
 from tidegrid.operators import overlap as O
+from tidegrid.operators import patches as PA
 from tidegrid.operators import thresholds as T
-from tidegrid.operators import tiles as TL
+from tidegrid.sources.rasters import tiles_from_pixels
 
 C = F.col
 
@@ -107,16 +108,16 @@ add(
 )
 add(
     "p16_skip_empty_tiles",
-    lambda fx: TL.drop_empty_tiles(
-        TL.cut_tiles(pixels(fx).withColumn("vv", F.when(C("heat") < 0.004, C("vv"))), 4, 4, "vv"), "vv"
+    lambda fx: PA.drop_empty(tiles_from_pixels(pixels(fx), 4, {"vv": F.when(C("heat") < 0.004, C("vv"))})).select(
+        "scene_id", C("tile_row").cast("bigint").alias("r0"), C("tile_col").cast("bigint").alias("c0")
     ),
     f"""SELECT scene_id, CAST(floor(r/4) AS BIGINT)*4 AS r0, CAST(floor(c/4) AS BIGINT)*4 AS c0
  FROM (SELECT scene_id, r, c, CASE WHEN heat < 0.004 THEN coalesce(vv, 0) ELSE 0 END AS v FROM ({PIXELS_SQL})) GROUP BY 1,2,3 HAVING bool_or(v <> 0)""",
 )
 add(
     "p17_drop_blank_crops",
-    lambda fx: TL.drop_blank_crops(
-        TL.cut_tiles(pixels(fx).withColumn("vv", F.when(C("heat") < 0.25, C("vv"))), 4, 4, "vv"), "vv"
+    lambda fx: PA.drop_blank(tiles_from_pixels(pixels(fx), 4, {"vv": F.when(C("heat") < 0.25, C("vv"))})).select(
+        "scene_id", C("tile_row").cast("bigint").alias("r0"), C("tile_col").cast("bigint").alias("c0"), "missing"
     ),
     f"""SELECT scene_id, CAST(floor(r/4) AS BIGINT)*4 AS r0, CAST(floor(c/4) AS BIGINT)*4 AS c0,
  round(avg(CASE WHEN heat < 0.25 AND vv IS NOT NULL THEN 0.0 ELSE 1.0 END), 6) AS missing FROM ({PIXELS_SQL}) GROUP BY 1,2,3

@@ -20,11 +20,11 @@ def raster_stats(pixels: DataFrame, channels: Sequence[str]) -> DataFrame:
     return pixels.groupBy("scene_id").agg(*stats)
 
 
-def tile_stats(tiles: DataFrame) -> DataFrame:
-    """The same from tile arrays, without unfolding them: sums per tile, then per scene and channel."""
+def _tile_sums(tiles: DataFrame) -> DataFrame:
+    """Per tile and channel: ends, count, smallest, largest, sum and sum of squares of its pixels."""
     real = F.transform(F.filter("pixels", lambda v: v.isNotNull()), lambda v: v.cast("double"))
     zero = F.lit(0.0).cast("double")
-    per_tile = tiles.select(
+    return tiles.select(
         "scene_id",
         "channel",
         (F.col("tile_row") + F.col("h")).alias("bottom"),
@@ -35,18 +35,33 @@ def tile_stats(tiles: DataFrame) -> DataFrame:
         F.aggregate(real, zero, lambda a, v: a + v).alias("s"),
         F.aggregate(real, zero, lambda a, v: a + v * v).alias("s2"),
     )
+
+
+def _mean_and_std() -> tuple[Column, Column]:
     n, s, s2 = F.sum("n"), F.sum("s"), F.sum("s2")
     mean = F.try_divide(s, n)
-    return per_tile.groupBy("scene_id", "channel").agg(
+    return mean, F.sqrt(F.greatest(F.try_divide(s2, n) - mean * mean, F.lit(0.0)))
+
+
+def tile_stats(tiles: DataFrame) -> DataFrame:
+    """The same from tile arrays, without unfolding them: sums per tile, then per scene and channel."""
+    mean, std = _mean_and_std()
+    return _tile_sums(tiles).groupBy("scene_id", "channel").agg(
         F.max("bottom").alias("rows"),
         F.max("right").alias("cols"),
         F.min("lo").alias("min"),
         F.max("hi").alias("max"),
         mean.alias("mean"),
-        F.sqrt(F.greatest(F.try_divide(s2, n) - mean * mean, F.lit(0.0))).alias("std"),
+        std.alias("std"),
     )
 
 
+def tile_channel_stats(tiles: DataFrame) -> DataFrame:
+    """Mean and deviation of each channel over all scenes, from sums per tile."""
+    mean, std = _mean_and_std()
+    return _tile_sums(tiles).groupBy("channel").agg(mean.alias("mean"), std.alias("std"))
+
+
 def size_mismatches(sizes: DataFrame) -> DataFrame:
     """Scenes whose channels differ in size."""
     seen = sizes.groupBy("scene_id").agg(F.count_distinct("rows", "cols").alias("n"))

@@ -79,22 +79,26 @@ def stack_channels(aligned: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def tiles_from_pixels(pixels: DataFrame, tile: int, channels: dict[str, Column]) -> DataFrame:
-    """Dense pixels ``scene_id, r, c, ...`` to tile rows; a tile's pixels meet in one row, sorted by place."""
+    """Dense pixels ``scene_id, r, c, ...`` to tile rows; a tile's pixels meet in one row, sorted by place.
+
+    A tile covers the rows and columns it has pixels of.
+    """
     r, c = F.col("r"), F.col("c")
     entries = F.array(*[F.struct(F.lit(n).alias("channel"), v.cast("double").alias("v")) for n, v in channels.items()])
     long = pixels.select(
         "scene_id",
-        (F.floor(r / tile) * tile).cast("int").alias("tile_row"),
-        (F.floor(c / tile) * tile).cast("int").alias("tile_col"),
-        (r % tile).cast("int").alias("y"),
-        (c % tile).cast("int").alias("x"),
+        F.floor(r / tile).cast("int").alias("_i"),
+        F.floor(c / tile).cast("int").alias("_j"),
+        r.cast("int").alias("y"),
+        c.cast("int").alias("x"),
         F.explode(entries).alias("e"),
     )
     item = F.struct("y", "x", F.col("e.v").alias("v"))
-    grouped = long.groupBy("scene_id", F.col("e.channel").alias("channel"), "tile_row", "tile_col").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")
+    sides = [(F.max(k) - F.min(k) + 1).alias(n) for k, n in (("y", "h"), ("x", "w"))]
+    grouped = long.groupBy("scene_id", F.col("e.channel").alias("channel"), "_i", "_j").agg(
+        F.min("y").alias("tile_row"), F.min("x").alias("tile_col"), *sides, F.array_sort(F.collect_list(item)).alias("items")
     )
-    return grouped.withColumn("pixels", F.transform("items", lambda i: i["v"])).drop("items")
+    return grouped.withColumn("pixels", F.transform("items", lambda i: i["v"])).drop("items", "_i", "_j")
 
 
 def pixels_of(tiles: DataFrame) -> DataFrame:
