@@ -9,6 +9,7 @@ from tidegrid.operators import heatmap as H
 from tidegrid.operators import patches as PA
 from tidegrid.operators import tiles as T
 from tidegrid.operators.ranking import top_k
+from tidegrid.plans import detection as DE
 from tidegrid.plans import targets as TG
 from tidegrid.sources.rasters import align_channels, pixels_of, tiles_from_pixels
 
@@ -365,3 +366,46 @@ def _scored_tiles(fx):
 
 
 add("t3_user_model", _scored_tiles, f"SELECT scene_id, r, c, round(coalesce(vv,0)*2,6) AS v FROM ({PIXELS_SQL})")
+
+
+# --- decoding with a limit for each scene, and the whole way from scenes to detections ---
+
+
+def _limits(fx):
+    """Few enough objects a scene that the limit counts."""
+    return TG.limits_per_scene(fx.gt, 40, 150).withColumn("max_objects", F.expr("max_objects - CAST(substr(scene_id, 2) AS BIGINT) % 60"))
+
+
+add(
+    "d1_limit_per_scene",
+    lambda fx: TG.decode_maps(maps(fx), 2, _limits(fx)),
+    f"""{FLOORED}, k AS (SELECT scene_id, least(150, greatest(40, 2*count(*))) - CAST(substr(scene_id, 2) AS BIGINT) % 60 AS most FROM gt_fx GROUP BY 1)
+ SELECT scene_id, round(x,6) AS x, round(y,6) AS y, round(length_px,6) AS length_px, objectness_p, round(is_vessel_p,6) AS is_vessel_p, round(is_fishing_p,6) AS is_fishing_p
+ FROM ({DECODED_SQL.replace(" WHERE n <= 200", "").replace("SELECT scene_id,", "SELECT n, scene_id,", 1)}) JOIN k USING (scene_id) WHERE n <= most""",
+)
+
+
+def _model(share):
+    """Stands where a network would be: maps from the two bands of a tile."""
+
+    def run(bands):
+        vv, vh = bands["vv"], bands["vh"]
+        return {"obj": vh * share, "vsl": 1 - vh, "fsh": vv, "len_log": vh * 3 - 0.5, "off_x": vh * 1.5, "off_y": vh * 0.75}
+
+    return run
+
+
+def _scenes_to_detections(fx):
+    tiles = tiles_from_pixels(pixels(fx), 20, {"vv": C("vv"), "vh": C("heat")})
+    normalise = {"vv": S.sigmoid_normalise, "vh": lambda v: v}
+    found = DE.detect_scenes(tiles, normalise, [_model(1.0), _model(0.9)], 16, 12, ("none", "fliplr", "rot90"), max_objects=TG.limits_per_scene(fx.gt))
+    return found.select("scene_id", "detect_scene_row", "detect_scene_column", "vessel_length_m", "objectness_p", "is_vessel_p", "is_fishing_p")
+
+
+add(
+    "scenes_to_detections",
+    _scenes_to_detections,
+    f"""{PX}, {SQUARE3} SELECT p.scene_id, CAST(floor(p.r+heat*0.75) AS BIGINT) AS detect_scene_row, CAST(floor(p.c+heat*1.5) AS BIGINT) AS detect_scene_column,
+ round((exp(greatest(heat*3-0.5,0))-1)*10,6) AS vessel_length_m, round(heat*0.95,6) AS objectness_p, round(1-heat,6) AS is_vessel_p, round(coalesce(1/(1+exp(-(vv+20)*0.18)),0),6) AS is_fishing_p
+ FROM px p JOIN sq ON sq.scene_id = p.scene_id AND sq.r = p.r AND sq.c = p.c WHERE heat = m AND heat*0.95 >= 0.3 AND p.scene_id IN (SELECT scene_id FROM gt_fx)""",
+)

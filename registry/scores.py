@@ -9,6 +9,7 @@ from tidegrid.constants import CLASS_THRESHOLDS
 from tidegrid.functions import labels as L
 from tidegrid.operators import matching as M
 from tidegrid.operators import thresholds as T
+from tidegrid.plans import evaluation as EV
 from tidegrid.plans import scoring as SC
 
 C = F.col
@@ -158,6 +159,14 @@ SWEEP = score_ctes(CUTS)
 ALL = "objectness_threshold, is_vessel_threshold, is_fishing_threshold, loc_fscore, loc_fscore_shore, vessel_fscore, fishing_fscore, length_acc, aggregate"
 
 
+def _evaluation(fx):
+    """The scenes of a whole evaluation: their scores at the best triple of the sweep, and the detections that it keeps."""
+    run = EV.evaluate(fx.pred, fx.gt, fx.shore, CUTS, **SHORE)
+    kept = run.thresholded.groupBy("scene_id").agg(F.count("*").alias("n_kept"))
+    best = F.lit(run.best["objectness_threshold"]).alias("objectness_threshold")
+    return run.per_scene.join(kept, "scene_id", "left").select("*", best).withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+
+
 def sweep(fx):
     return SC.sweep_thresholds(fx.pred, fx.gt, fx.shore, CUTS, **SHORE)
 
@@ -219,3 +228,14 @@ add(
     _matrix,
     FOLDS_SQL + " SELECT v AS is_vessel_threshold, " + ", ".join(f"round(max(a) FILTER (f = {f}),6) AS f{i}" for i, f in enumerate((0.0, 0.2, 0.4, 0.6, 0.8))) + " FROM m WHERE o = 0.4 GROUP BY 1",
 )
+
+
+add(
+    "evaluation_run",
+    _evaluation,
+    f"""WITH best AS (SELECT * FROM ({SWEEP} SELECT cut, v_thr, f_thr FROM full_scores JOIN cuts USING (t) {BEST} LIMIT 1)),
+ own AS (SELECT * FROM ({score_ctes(key="scene_id")} SELECT scene_id, v_thr, f_thr, total FROM full_scores)),
+ per AS (SELECT o.scene_id, max(o.total) FILTER (o.v_thr = b.v_thr AND o.f_thr = b.f_thr) AS g, max({{'t': o.total, 'v': -o.v_thr, 'f': -o.f_thr}}) AS l, any_value(b.cut) AS cut, any_value(b.v_thr) AS v, any_value(b.f_thr) AS f FROM own o, best b GROUP BY 1)
+ SELECT scene_id, round(g,6) AS global_thresholds_score, round(v,6) AS global_is_vessel_threshold, round(f,6) AS global_is_fishing_threshold, round(l.t,6) AS local_thresholds_score,
+ round(-l.v,6) AS local_is_vessel_threshold, round(-l.f,6) AS local_is_fishing_threshold, (SELECT count(*) FROM pred_fx p WHERE p.scene_id = per.scene_id AND p.objectness_p >= per.cut) AS n_kept, round(CAST(cut AS DOUBLE),6) AS objectness_threshold FROM per""",
+)

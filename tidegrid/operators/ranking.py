@@ -54,5 +54,21 @@ def top_k(df: DataFrame, k: int, keys: Sequence[str], order: Sequence[Column], n
     return kept if name else kept.drop(rank)
 
 
+def top_k_by(df: DataFrame, limits: DataFrame, key: str, limit: str, score: str, order: Sequence[Column], bins: int = 4096) -> DataFrame:
+    """First rows of each group, by descending ``score`` in [0, 1] and then ``order``; ``limits(key, limit)`` has the number.
+
+    A histogram of each group's scores gives the bin in which the limit is reached; rows below it never leave their
+    partition, and only the rows from there on are ranked.  Groups without a limit have no rows.
+    """
+    marked = df.withColumn("_bin", F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * bins))
+    counts = marked.groupBy(key, "_bin").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy(key).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(above), F.lit(0))).join(limits.select(key, F.col(limit).alias("_k")), key)
+    lowest = before.filter(F.col("_before") < F.col("_k")).groupBy(key).agg(F.min("_bin").alias("_cut"), F.first("_k").alias("_k"))
+    near = marked.join(lowest, key).filter(F.col("_bin") >= F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), *order))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_k")).select(*df.columns)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return top_k(df, 1, keys, order)

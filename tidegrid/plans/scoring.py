@@ -196,6 +196,17 @@ def score_levels(
     result has a row set per labelled scene.
     """
     options = options or ScoreOptions()
+    keys = ["scene_id"] if options.per_scene else []
+    return scores_from_counts(*count_levels(pred, labels, shoreline, objectness, options, keys), options, keys)
+
+
+def count_levels(
+    pred: DataFrame, labels: DataFrame, shoreline: DataFrame | None, objectness: Sequence[float] | None, options: ScoreOptions, keys: list[str]
+) -> tuple[DataFrame, DataFrame, list[float] | None]:
+    """What all scores follow from, by ``keys`` and threshold number ``k``: outcome counts, class cells, and the thresholds.
+
+    This is the one place that matches; both tables are small and written.
+    """
     cuts = None if objectness is None else sorted(float(t) for t in objectness)
     steps = 1 if cuts is None else len(cuts)
     pred = _prepare(pred, shoreline, cuts, options)
@@ -211,13 +222,26 @@ def score_levels(
         shore=shoreline is not None,
         block_px=options.block_px,
     )
-    keys = ["scene_id"] if options.per_scene else []
     scenes = labels.select("scene_id").distinct()
     counts = _level_counts(pred, gold, rows, steps, scenes)
-    names = ("tp", "fp", "fn", "tp_s", "fp_s", "fn_s")
-    base = cut_lineage(counts.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in names]))
+    base = cut_lineage(counts.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in OUTCOMES]))
     # a table of counts, small whatever the input: groups x thresholds x class levels
     cells = cut_lineage(_class_cells(rows, pred, gold, keys, steps))
+    return base, cells, cuts
+
+
+OUTCOMES = ("tp", "fp", "fn", "tp_s", "fp_s", "fn_s")
+CELLS = ("part", "level", "label", "k")
+
+
+def over_scenes(base: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts by scene added up to counts of all scenes."""
+    total = base.groupBy("k").agg(*[F.sum(n).alias(n) for n in OUTCOMES])
+    return total, cells.groupBy(*CELLS).agg(*[F.sum(n).alias(n) for n in ("n", "err", "broken")])
+
+
+def scores_from_counts(base: DataFrame, cells: DataFrame, cuts: list[float] | None, options: ScoreOptions, keys: list[str]) -> DataFrame:
+    """All scores of each group, objectness threshold and pair of class thresholds."""
     lengths = cells.filter("part = 'l'").select(
         *keys,
         "k",
@@ -364,6 +388,11 @@ def scores_per_scene(
     grid = options.vessel_thresholds, options.fishing_thresholds
     options = replace(options, vessel_thresholds=sorted({*grid[0], vessel}), fishing_thresholds=sorted({*grid[1], fishing}))
     scores = score_levels(pred, labels, shoreline, None, options)
+    return choose_per_scene(scores, vessel, fishing, grid)
+
+
+def choose_per_scene(scores: DataFrame, vessel: float, fishing: float, grid: tuple[Sequence[float], Sequence[float]]) -> DataFrame:
+    """From the scores of each scene on a grid: that at the given class thresholds, and the best one with its own."""
     # global thresholds off the grid are scored too, but are no choice of a scene
     off = [F.col(c) == x for c, x, own in (("is_vessel_threshold", vessel, grid[0]), ("is_fishing_threshold", fishing, grid[1])) if x not in own]
     choice = ~reduce(lambda a, b: a | b, off, F.lit(False))

@@ -9,7 +9,7 @@ from tidegrid.constants import IGNORE_LABEL, PIX_TO_M, SCORE_FLOOR
 from tidegrid.functions.labels import confidence_rank
 from tidegrid.functions.scalars import gaussian_value, length_to_log, log_to_length, null_to_zero, sigmoid
 from tidegrid.operators.heatmap import PIXEL, _spread, local_maxima_sparse
-from tidegrid.operators.ranking import top_k
+from tidegrid.operators.ranking import top_k, top_k_by
 
 
 def drawing_order(id_column: str = "detect_id") -> Column:
@@ -87,7 +87,7 @@ def encode_targets(
 def decode_maps(
     maps: DataFrame,
     stride: int = 1,
-    max_objects: int = 2048,
+    max_objects: int | DataFrame = 2048,
     floor: float = SCORE_FLOOR,
     kernel: int = 3,
     activation: bool = False,
@@ -95,6 +95,7 @@ def decode_maps(
 ) -> DataFrame:
     """Maps to objects: local maxima above the floor, the best ``max_objects`` per scene.
 
+    ``max_objects`` is a number for all scenes or a table ``scene_id, max_objects`` (see ``limits_per_scene``).
     The floor comes first: a pixel that suppresses another one is itself above it.  All
     maps share a row per pixel, so reading them at the maxima costs nothing.
     """
@@ -105,7 +106,7 @@ def decode_maps(
 
     scored = maps.withColumns({n: score(n) for n in ("obj", "vsl", "fsh")}).filter(F.col("obj") >= floor)
     peaks = local_maxima_sparse(scored, "obj", kernel)
-    best = top_k(peaks, max_objects, ["scene_id"], [F.desc("obj"), F.col("r"), F.col("c")])
+    best = best_peaks(peaks, max_objects)
     if offsets:
         shift_x, shift_y = F.coalesce("off_x", F.lit(0.0)), F.coalesce("off_y", F.lit(0.0))
     else:
@@ -121,6 +122,14 @@ def decode_maps(
     )
 
 
+def best_peaks(peaks: DataFrame, max_objects: int | DataFrame) -> DataFrame:
+    """The highest peaks (``obj``) of each scene; equal ones by row and column."""
+    place = [F.col("r"), F.col("c")]
+    if isinstance(max_objects, DataFrame):
+        return top_k_by(peaks, max_objects, "scene_id", "max_objects", "obj", place)
+    return top_k(peaks, max_objects, ["scene_id"], [F.desc("obj"), *place])
+
+
 def detections(objects: DataFrame, floor: float = SCORE_FLOOR, row0: Column | None = None, col0: Column | None = None) -> DataFrame:
     """Detection rows: whole pixels (towards zero), metres, and the floor used; crops add their origin."""
     row0, col0 = (F.lit(0) if v is None else v for v in (row0, col0))
@@ -140,3 +149,9 @@ def adaptive_limit(counts: DataFrame) -> DataFrame:
     """Number of objects to decode: twice the largest label count, within 128 .. 2048."""
     most = F.coalesce(F.max("n"), F.lit(0))
     return counts.agg(F.least(F.lit(2048), F.greatest(F.lit(128), most * 2)).cast("bigint").alias("max_objects"))
+
+
+def limits_per_scene(labels: DataFrame, least: int = 128, most: int = 2048) -> DataFrame:
+    """``scene_id, max_objects``: twice the labels of each scene, within ``least .. most``."""
+    counts = labels.groupBy("scene_id").agg(F.count("*").alias("n"))
+    return counts.select("scene_id", F.least(F.lit(most), F.greatest(F.lit(least), F.col("n") * 2)).cast("bigint").alias("max_objects"))
