@@ -31,11 +31,10 @@ def _finish(query):
 def _once(fx):
     output, checkpoint = new_folder(fx.spark, "scenes"), new_folder(fx.spark, "progress")
     stream = _arrived(fx)
-    staging = new_folder(fx.spark, "staging")
-    _finish(ST.process_new_scenes(stream, _expected(fx), output, staging, checkpoint))
+    _finish(ST.process_new_scenes(stream, _expected(fx), output, checkpoint))
     # the same files again, as a new stream: every scene is already there
-    _finish(ST.process_new_scenes(stream, _expected(fx), output, staging, new_folder(fx.spark, "progress")))
-    return fx.spark.read.parquet(output).select("pred_id", C("scene_id").cast("string").alias("scene_id"), "objectness_p")
+    _finish(ST.process_new_scenes(stream, _expected(fx), output, new_folder(fx.spark, "progress")))
+    return fx.spark.read.parquet(output).filter(C("status") == ST.COMPLETE).select("pred_id", C("scene_id").cast("string").alias("scene_id"), "objectness_p")
 
 
 add("st1_scenes_once", _once, "SELECT pred_id, scene_id, objectness_p FROM pred_fx")
@@ -52,9 +51,9 @@ add("st2_threshold_stream", _cut, "SELECT pred_id, is_vessel_p >= 0.338 AS is_ve
 
 def _score(fx):
     output = new_folder(fx.spark, "scores")
-    stream, staging = _arrived(fx), new_folder(fx.spark, "staging")
+    stream = _arrived(fx)
     for _ in range(2):  # the second stream finds every scene scored
-        _finish(ST.score_stream(stream, fx.gt, fx.shore, _expected(fx), output, staging, new_folder(fx.spark, "progress"), V_AT, F_AT, shore_radius_px=SHORE_PX))
+        _finish(ST.score_stream(stream, fx.gt, fx.shore, _expected(fx), output, new_folder(fx.spark, "progress"), V_AT, F_AT, shore_radius_px=SHORE_PX))
     return fx.spark.read.parquet(output).select(C("scene_id").cast("string").alias("scene_id"), "global_thresholds_score", "local_thresholds_score")
 
 

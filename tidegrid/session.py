@@ -32,12 +32,14 @@ def build_session(app: str = "tidegrid", cpus: str | int = "*", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) a fresh temporary folder is made and used.
+    The cluster names it in ``spark.checkpoint.dir``; without it nothing runs there.  Only a
+    local session, whose executors share the machine, gets a temporary folder.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not configured and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return configured or context.getCheckpointDir()
 
