@@ -85,27 +85,34 @@ def _word_mask(x1: Column, x2: Column, word: Column) -> Column:
     return F.call_function("shiftleft", run, start)
 
 
-def visible_fraction(boxes: DataFrame, holes: DataFrame, band: int = 16) -> DataFrame:
+BAND = 16
+
+
+def visible_fraction(boxes: DataFrame, holes: DataFrame) -> DataFrame:
     """Share of each box's pixels that no hole covers.
 
-    A line of an image is a row of 64-pixel words.  The holes become word masks joined by a
-    bitwise OR, so overlapping holes count once, and boxes count the bits they share
-    with the words of their lines.  Nothing is unfolded to pixels.
+    An image is cut into cells of one 64-pixel word by ``BAND`` lines.  A hole is one mask and a range of lines in each
+    cell; masks are joined by a bitwise OR line by line, so overlapping holes count once, and a cell ends as one row of
+    ``BAND`` words.  A box counts the bits it shares with the lines of its cells: one join on (image, cell).
     """
-    h1, h2 = F.col("hx1"), F.col("hx2")
-    lines = holes.withColumn("y", F.explode(F.sequence(F.col("hy1"), F.col("hy2") - 1)))
-    words = lines.withColumn("word", F.explode(F.sequence(cell_of(h1, WORD), cell_of(h2 - 1, WORD))))
-    covered = words.groupBy("image_id", "y", "word").agg(F.bit_or(_word_mask(h1, h2, F.col("word"))).alias("mask"))
-    covered = covered.withColumn("band", cell_of(F.col("y"), band))
-    b = box_of()
-    spread = boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2").withColumn(
-        "band", F.explode(F.sequence(cell_of(b.y1, band), cell_of(b.y2 - 1, band)))
-    )
-    spread = spread.withColumn("word", F.explode(F.sequence(cell_of(b.x1, WORD), cell_of(b.x2 - 1, WORD))))
-    spread = spread.withColumn("own", _word_mask(b.x1, b.x2, F.col("word")))
-    met = spread.join(covered, ["image_id", "word", "band"]).filter((F.col("y") >= b.y1) & (F.col("y") < b.y2))
-    shared = F.bit_count(F.col("own").bitwiseAND(F.col("mask")))
-    hidden = met.groupBy("image_id", "box_no").agg(F.sum(shared).alias("hidden"))
+    b, h = box_of(), box_of("h")
+
+    def cells(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column) -> DataFrame:
+        """The cells of a box: its mask in the cell, and its lines there, ``[top, bottom)``."""
+        spread = df.withColumn("band", F.explode(F.sequence(cell_of(y1, BAND), cell_of(y2 - 1, BAND))))
+        spread = spread.withColumn("word", F.explode(F.sequence(cell_of(x1, WORD), cell_of(x2 - 1, WORD))))
+        start = F.col("band") * BAND
+        return spread.withColumns({"own": _word_mask(x1, x2, F.col("word")), "top": F.greatest(y1 - start, F.lit(0)), "bottom": F.least(y2 - start, F.lit(BAND))})
+
+    def inside(line: int) -> Column:
+        return (F.col("top") <= line) & (F.col("bottom") > line)
+
+    covered = cells(holes.select("image_id", "hx1", "hy1", "hx2", "hy2"), h.x1, h.y1, h.x2, h.y2)
+    lines = [F.bit_or(F.when(inside(i), F.col("own"))).alias(f"line{i}") for i in range(BAND)]
+    covered = covered.groupBy("image_id", "band", "word").agg(*lines)
+    met = cells(boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2"), b.x1, b.y1, b.x2, b.y2).join(covered, ["image_id", "band", "word"])
+    shared = [F.when(inside(i), F.coalesce(F.bit_count(F.col("own").bitwiseAND(F.col(f"line{i}"))), F.lit(0))).otherwise(0) for i in range(BAND)]
+    hidden = met.groupBy("image_id", "box_no").agg(F.sum(sum(shared[1:], shared[0])).alias("hidden"))
     joined = boxes.join(hidden, ["image_id", "box_no"], "left")
     size = (b.x2 - b.x1) * (b.y2 - b.y1)
     share = F.try_divide((size - F.coalesce("hidden", F.lit(0))).cast("double"), size.cast("double"))

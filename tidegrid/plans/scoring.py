@@ -234,10 +234,13 @@ OUTCOMES = ("tp", "fp", "fn", "tp_s", "fp_s", "fn_s")
 CELLS = ("part", "level", "label", "k")
 
 
-def over_scenes(base: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts by scene added up to counts of all scenes."""
-    total = base.groupBy("k").agg(*[F.sum(n).alias(n) for n in OUTCOMES])
-    return total, cells.groupBy(*CELLS).agg(*[F.sum(n).alias(n) for n in ("n", "err", "broken")])
+def over_scenes(base: DataFrame, cells: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts by scene added up to counts of all scenes, or of each group of ``groups(scene_id, ...)``."""
+    keys = [] if groups is None else [c for c in groups.columns if c != "scene_id"]
+    if groups is not None:
+        base, cells = base.join(groups, "scene_id"), cells.join(groups, "scene_id")
+    total = base.groupBy(*keys, "k").agg(*[F.sum(n).alias(n) for n in OUTCOMES])
+    return total, cells.groupBy(*keys, *CELLS).agg(*[F.sum(n).alias(n) for n in ("n", "err", "broken")])
 
 
 def scores_from_counts(base: DataFrame, cells: DataFrame, cuts: list[float] | None, options: ScoreOptions, keys: list[str]) -> DataFrame:
@@ -411,6 +414,18 @@ def choose_per_scene(scores: DataFrame, vessel: float, fishing: float, grid: tup
     )
 
 
+def sweep_folds(
+    pred: DataFrame, labels: DataFrame, shoreline: DataFrame | None, folds: DataFrame, objectness: Sequence[float], **overrides
+) -> DataFrame:
+    """The threshold summary of each fold (``folds(scene_id, fold)``), all from one matching.
+
+    Scenes without a fold are left out; a fold without labelled scenes has no rows.
+    """
+    options = ScoreOptions(**overrides)
+    base, cells, cuts = count_levels(pred, labels, shoreline, objectness, options, ["scene_id"])
+    return scores_from_counts(*over_scenes(base, cells, folds.select("scene_id", "fold")), cuts, options, ["fold"])
+
+
 def mean_over_folds(summaries: DataFrame) -> DataFrame:
     """Mean aggregate of each threshold triple over the folds."""
     return summaries.groupBy(*THRESHOLDS).agg(F.avg("aggregate").alias("aggregate"))
