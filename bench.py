@@ -7,6 +7,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from registry import load  # noqa: E402
@@ -55,13 +56,17 @@ def near_shore(fx):
 
 def large_tiles(fx, tile=128, step=96, side=768):
     """Overlapping tiles of a map of 768 x 768 pixels for each scene: 32 million tile pixels at the usual size."""
-    scenes = fx.pix.select("scene_id").distinct().withColumns({"scene_rows": F.lit(side).cast("bigint"), "scene_cols": F.lit(side).cast("bigint")})
-    place = F.hash("scene_id") + F.col("r0") * 31 + F.col("c0") * 17
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: ((i * 7919 + place) % 1000) / 1000.0)
-    tiles = overlapping_tiles(scenes, tile, step).select(
-        "scene_id", F.lit("obj").alias("channel"), F.col("r0").cast("int").alias("tile_row"), F.col("c0").cast("int").alias("tile_col"), F.lit(tile).alias("h"), F.lit(tile).alias("w"), pixels.alias("pixels")
-    )
-    return tiles.repartition(int(CPUS) * 4)
+    scenes = fx.pix.select("scene_id").distinct().withColumns({n: F.lit(side).cast("bigint") for n in ("scene_rows", "scene_cols")})
+    tiles = overlapping_tiles(scenes, tile, step).select("scene_id", F.col("r0").cast("int").alias("r0"), F.col("c0").cast("int").alias("c0"))
+
+    def fill(batches):
+        at = np.arange(tile)
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in ("scene_id", "r0", "c0")))
+            made = ((s, "obj", r, c, tile, tile, ((r + at[:, None]) * 7919 + (c + at) * 31 + len(s)) % 1000 / 1000.0) for s, r, c in rows)
+            yield from patches.in_batches(made, patches.PATCH)
+
+    return tiles.repartition(int(CPUS) * 4).mapInArrow(fill, patches.PATCH)
 
 
 def merge_32m_pixels(fx):

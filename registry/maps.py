@@ -302,21 +302,19 @@ add(
 
 
 def _variants(fx):
-    """Maps of moved inputs, as patches: the value at (r, c) of each moved map."""
-    from tidegrid.functions.geometry import MODE_MOVES, move_pixel
+    """Maps of moved inputs: those of the k-th move are higher by k."""
+    from tidegrid.functions.geometry import MODE_MOVES
 
-    parts = None
-    for k, m in enumerate(MODE_MOVES["d4"]):
-        r, c = move_pixel(m, C("r"), C("c"), F.lit(50), F.lit(50))
-        moved = pixels(fx).select("scene_id", r.alias("r"), c.alias("c"), (C("heat") + k).alias("obj"))
-        t = tiles_from_pixels(moved, 16, {"obj": C("obj")}).withColumn("variant", F.lit(m))
-        parts = t if parts is None else parts.unionByName(t)
-    return parts
+    moves = MODE_MOVES["d4"]
+    moved = PA.move_variants(patches(fx, 16), moves, 50, 50, 16)
+    number = F.array_position(F.array(*[F.lit(m) for m in moves]), C("variant")) - 1
+    return moved.withColumn("pixels", F.transform("pixels", lambda v: v + number))
 
 
 add(
     "a36_undo_variants",
-    lambda fx: flat(PA.undo_variants(_variants(fx), 50, 50, 16), "obj"),
+    # scenes smaller than the map have pixels that no map gives
+    lambda fx: flat(PA.undo_variants(_variants(fx), 50, 50, 16), "obj").filter("obj IS NOT NULL"),
     f"SELECT scene_id, r, c, round(heat+3.5,6) AS obj FROM ({PIXELS_SQL})",
 )
 

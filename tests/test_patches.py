@@ -76,6 +76,17 @@ def test_all_moves_are_undone(spark, random_map, reduction):
     np.testing.assert_allclose(whole(P.undo_variants(parts, h, w, 16, reduction), random_map.shape), want, rtol=1e-12)
 
 
+def test_moved_maps_are_the_moves(spark, random_map):
+    h, w = random_map.shape
+    moved = P.move_variants(table(spark, {("s", "obj"): random_map}, 9), MODE_MOVES["d4"], h, w, 16).cache()
+    for move in MODE_MOVES["d4"]:
+        want = np.full((w, h) if move in TURNS_SIDEWAYS else (h, w), np.nan)
+        for r in range(h):
+            for c in range(w):
+                want[PIXEL_MOVES[move](r, c, h, w)] = random_map[r, c]
+        np.testing.assert_array_equal(whole(moved.filter(moved.variant == move), want.shape), want)
+
+
 @pytest.mark.parametrize("offset", [-9, 0, 14])
 def test_scales_take_the_nearest_cell(spark, offset):
     h, w = 37, 53

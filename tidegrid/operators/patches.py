@@ -198,6 +198,19 @@ def turn_back(variant: str, array: np.ndarray, r0: int, c0: int, height: int, wi
     return turned, min(first[0], last[0]), min(first[1], last[1])
 
 
+def move_variants(maps: DataFrame, variants: list[str], height: int, width: int, side: int) -> DataFrame:
+    """Flipped or rotated copies of maps of one size, as patches with the column ``variant``; pixels not given are missing."""
+    def place(row: dict, array: np.ndarray):
+        variant = row["channel"].rsplit("|", 1)[1]
+        size = (width, height) if variant in TURNS_SIDEWAYS else (height, width)
+        return turn_back(INVERSE_MOVE[variant], array, row["tile_row"], row["tile_col"], *size)
+
+    named = F.explode(F.array(*[F.lit(v) for v in variants]))
+    every = maps.withColumn("_v", named).withColumn("channel", F.concat("channel", F.lit("|"), "_v")).drop("_v")
+    moved = assemble(pieces(every, side, place), _once)
+    return moved.withColumns({"variant": F.substring_index("channel", "|", -1), "channel": F.regexp_replace("channel", r"\|[^|]*$", "")})
+
+
 def undo_variants(maps: DataFrame, height: int, width: int, side: int, reduction: str = "mean", mirror_offsets: bool = False) -> DataFrame:
     """Turn the maps of flipped or rotated inputs (column ``variant``) back and average or add them.
 
