@@ -88,6 +88,17 @@ def _word_encoder(path: str):
                 data = ids.tobytes()
                 yield from [data[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else plain(group)
 
+    def apart(words):
+        """The same for any words without special tokens: a rare token stands between each two and nowhere else."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            groups = [part[i : i + 64] for i in range(0, len(part), 64)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                cuts = (np.flatnonzero(ids == mark_id) * 4).tolist()
+                data = ids.tobytes()
+                yield from [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])] if len(cuts) == len(group) - 1 else plain(group)
+
     def plain(texts):
         for at in range(0, len(texts), 4096):
             yield from (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False))
@@ -95,13 +106,15 @@ def _word_encoder(path: str):
     probe = "one two"
     if list(plain([probe])) != [b"".join(plain(probe.split(" ")))]:
         return lambda texts: list(plain(texts))
+    marks = [(m, next(plain([m]))) for m in "\u00ac\u2020\u00b6"]  # any token will do, a rare one is found in few words
+    mark, mark_id = next(((f" {m} ", np.frombuffer(i, np.uint32)[0]) for m, i in marks if len(i) == 4), (None, 0))
     one_case = list(plain(["Two"])) == list(plain(["two"]))
     known: dict[str, bytes] = {}
     normalizer = tokenizer.normalizer
 
     def cut(text):
         if one_case and "<|" not in text:  # special tokens are the only strings in which case counts
-            text = text.encode().lower().decode()  # A to Z only
+            text = text.lower() if text.isascii() else text.encode().lower().decode()  # A to Z only
         return text.replace("\n", " ").split(" ")
 
     def own_stop(word):
@@ -113,8 +126,11 @@ def _word_encoder(path: str):
         new = {*(stems.get(w, w) for w in words), ".", ","}.difference(known)
         simple = [w for w in new if w.isalpha()]
         known.update(zip(simple, single(simple)))
-        rest = [w for w in new if not w.isalpha()]
-        known.update(zip(rest, plain(rest)))
+        rest = new.difference(simple)
+        odd = [w for w in rest if mark is None or "<|" in w]
+        known.update(zip(odd, plain(odd)))
+        rest = [*rest.difference(odd)]
+        known.update(zip(rest, apart(rest)))
         for w, stem in stems.items():
             known[w] = known[stem] + known[w[-1]]
 
@@ -122,8 +138,8 @@ def _word_encoder(path: str):
         rows = [cut(t) for t in texts]
         if len(known) > MOST_WORDS:
             known.clear()
-        learn({w for r in rows for w in r}.difference(known))
-        return [b"".join([known[w] for w in r]) for r in rows]
+        learn(set().union(*rows).difference(known))
+        return [b"".join(map(known.__getitem__, r)) for r in rows]
 
     return by_word
 
