@@ -6,12 +6,15 @@ prefixes last.  Inside a bucket a signature tree prunes: leaves hold documents o
 its documents' token bitmaps and its range of sizes, and a traversal of node pairs goes on only where the largest
 overlap that bitmaps and sizes allow is enough.  What is left is compared exactly, shingle by shingle.
 
-Copies are one set.  A first round verifies as many likely pairs as link a bucket together; the traversal then looks
+Copies are one set.  All texts are read once; later only those whose prefix holds a common shingle, and those of pairs
+that longer bitmaps of large sets also allow.  A first round verifies as many likely pairs as link a bucket together; the traversal then looks
 only for links between different components, so a large group of near copies never needs all its pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,11 +27,12 @@ from tidegrid.llm.sampling_windows import MIX, SPREAD, scrambled
 from tidegrid.llm.substring_dedup import _sliced
 from tidegrid.session import cut_lineage
 
-BITS = 2048  # of a document's bitmap
+BITS = 512  # of a document's bitmap
 LEAF = 16
 FEW = 1_000_000  # rows of a table that may be broadcast
-ROWS = 20_000  # members a task compares at once, but for one larger bucket
-SMALL, NEXT = 24, 6  # members of a bucket compared directly; neighbours of a member in a larger one
+ROWS = 20_000  # members a task compares at once
+BLOCK = 20_000  # members of one shingle compared at once; more go by pairs of pieces
+NEXT = 6  # neighbours of a member in the first round
 COMMON = 50_000  # at most so many shingles are set last
 
 
@@ -83,47 +87,76 @@ class Sets:
         out[self.text, (self.hashes >> np.uint64(17)) % np.uint64(BITS)] = True
         return [r.tobytes() for r in np.packbits(out, axis=1)]
 
+    def wide_bitmaps(self) -> list[bytes | None]:
+        """Bitmaps of 4 to 8 bits a shingle for the sets that fill the short ones."""
+        out: list[bytes | None] = [None] * len(self.sizes)
+        for i in np.flatnonzero(self.sizes > BITS).tolist():
+            n = int(self.sizes[i])
+            row = np.zeros(1 << (4 * n - 1).bit_length(), bool)
+            row[(self.hashes[self.starts[i] : self.starts[i] + n] >> np.uint64(17)) % np.uint64(len(row))] = True
+            out[i] = np.packbits(row).tobytes()
+        return out
+
+
+def wide_alike(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
+    """Whether two wide bitmaps of sets of ``nx`` and ``ny`` shingles allow them to be alike."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) != len(y):  # the longer one is folded
+        x, y = (x[: len(x) // 2] | x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] | y[len(y) // 2 :])
+    hidden = min(n - int(np.bitwise_count(v).sum()) for v, n in ((x, nx), (y, ny)))
+    most = min(int(np.bitwise_count(x & y).sum()) + hidden, nx, ny)
+    return (100 + percent) * most >= percent * (nx + ny)
+
 
-def candidate_pairs(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of members of different groups that can be alike, by dual traversal of a signature tree.
+def candidate_pairs(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, percent: int, units: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of members of one unit and different groups that can be alike, by dual traversal of signature trees.
 
-    ``maps`` are bitmaps as rows of 64-bit words.  Members are numbered in the order given.
+    ``maps`` are bitmaps as rows of 64-bit words.  Every unit (all members if not given) has a tree of its own; the
+    trees of a call are built and traversed level by level together.  Members are numbered in the order given.
     """
-    order = np.argsort(sizes, kind="stable")
-    sizes, maps, groups = sizes[order], maps[order], groups[order]
-    # levels of the tree, leaves' members first: OR of bitmaps, range of sizes, most members hidden behind one bit, group if one
+    units = np.zeros(len(sizes), np.int64) if units is None else units
+    order = np.lexsort((sizes, units))
+    sizes, maps, groups, unit = sizes[order], maps[order], groups[order], units[order]
+    # levels of the trees, members first: OR of bitmaps, range of sizes, most members hidden behind one bit, group if one
     bits = np.bitwise_count(maps).sum(1).astype(np.int64)
-    levels = [(maps, sizes, sizes, sizes - bits, groups)]
-    while len(levels[-1][0]) > 1:
+    levels, children = [(maps, sizes, sizes, sizes - bits, groups)], []
+    trees = len(np.unique(unit))
+    while len(unit) > trees:
         m, low, high, slack, g = levels[-1]
-        cut = np.arange(0, len(low), LEAF)
+        opens = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        place = np.arange(len(unit)) - np.repeat(opens, np.diff(np.append(opens, len(unit))))
+        cut = np.flatnonzero(place % LEAF == 0)
         one = np.where(np.minimum.reduceat(g, cut) == np.maximum.reduceat(g, cut), np.minimum.reduceat(g, cut), -1)
+        children.append((cut, np.diff(np.append(cut, len(unit)))))
         levels.append((np.bitwise_or.reduceat(m, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(slack, cut), one))
-    pairs = np.zeros((1, 2), np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
+        unit = unit[cut]
+    if not children:
+        return np.zeros((0, 2), np.int64)
+
+    def possible(depth, x, y):
         m, low, high, slack, g = levels[depth]
-        kept = []
-        for at in range(0, len(pairs), 1 << 16):
-            x, y = pairs[at : at + (1 << 16)].T
-            ok = ~((g[x] == g[y]) & (g[x] >= 0)) & (100 * np.minimum(high[x], high[y]) >= percent * np.maximum(low[x], low[y]))
-            x, y = x[ok], y[ok]
-            both = np.bitwise_count(m[x] & m[y]).sum(1).astype(np.int64)
-            most = np.minimum(both + np.minimum(slack[x], slack[y]), np.minimum(high[x], high[y]))
-            ok = (100 + percent) * most >= percent * (low[x] + low[y])
-            kept.append(np.stack([x[ok], y[ok]], 1))
-        pairs = np.concatenate(kept) if kept else np.zeros((0, 2), np.int64)
-        if depth == 0:
-            break
-        n, grown = len(levels[depth - 1][1]), []
-        for at in range(0, len(pairs), 1 << 12):  # children of both nodes
-            x, y = pairs[at : at + (1 << 12)].T
-            i = x[:, None, None] * LEAF + np.arange(LEAF)[:, None]
-            j = y[:, None, None] * LEAF + np.arange(LEAF)
-            i, j = (v.ravel() for v in np.broadcast_arrays(i, j))
-            ok = (i < n) & (j < n) & ((i < j) if depth == 1 else (i <= j))
-            grown.append(np.stack([i[ok], j[ok]], 1))
-        pairs = np.concatenate(grown) if grown else np.zeros((0, 2), np.int64)
-    return order[pairs] if len(levels) > 1 else np.zeros((0, 2), np.int64)
+        ok = ~((g[x] == g[y]) & (g[x] >= 0)) & (100 * np.minimum(high[x], high[y]) >= percent * np.maximum(low[x], low[y]))
+        x, y = x[ok], y[ok]
+        both = np.bitwise_count(m[x] & m[y]).sum(1).astype(np.int64)
+        most = np.minimum(both + np.minimum(slack[x], slack[y]), np.minimum(high[x], high[y]))
+        ok = (100 + percent) * most >= percent * (low[x] + low[y])
+        return np.stack([x[ok], y[ok]], 1)
+
+    top = np.arange(trees)
+    pairs = possible(len(children), top, top)
+    for depth in range(len(children) - 1, -1, -1):
+        first, many = children[depth]
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(pairs), 1 << 11):  # children of both nodes
+            x, y = pairs[at : at + (1 << 11)].T
+            n = many[x] * many[y]
+            which = np.repeat(np.arange(len(x)), n)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = first[x][which] + inside // many[y][which], first[y][which] + inside % many[y][which]
+            ok = (i < j) if depth == 0 else (i <= j)
+            found.append(possible(depth, i[ok], j[ok]))
+        pairs = np.concatenate(found)
+    return order[pairs]
 
 
 def _may_be_alike(x, y, sizes, maps, bits, percent: int) -> np.ndarray:
@@ -157,40 +190,31 @@ def _spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def _bucket_pairs(table: pa.Table, percent: int, spanning: bool) -> pa.Table:
-    """Pairs of sets of one shingle that can be alike and have different labels; ``spanning``: enough to link those.
+    """Pairs of sets of one unit that can be alike and have different labels; ``spanning``: enough to link those.
 
-    Groups of up to SMALL members are compared directly.  Larger ones have a tree, or for ``spanning`` members are
-    compared with their next neighbours by size and with the first.
+    Every unit has a signature tree; for ``spanning`` members are compared with their next neighbours by size and with
+    the first instead.
     """
-    k, n, label, shingle = (table.column(c).to_numpy().astype(np.int64) for c in ("k", "n", "label", "shingle"))
-    order = np.lexsort((k, n, shingle))
-    k, n, label, shingle = k[order], n[order], label[order], shingle[order]
+    k, n, label, unit = (table.column(c).to_numpy().astype(np.int64) for c in ("k", "n", "label", "unit"))
+    order = np.lexsort((k, n, unit))
+    k, n, label, unit = k[order], n[order], label[order], unit[order]
     maps = np.frombuffer(b"".join(table.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(k), -1)
-    bits = np.bitwise_count(maps).sum(1).astype(np.int64)
-    cut = np.flatnonzero(np.diff(shingle, prepend=shingle[0] - 1 if len(shingle) else 0, append=shingle[-1] + 1 if len(shingle) else 0))
-    size = np.diff(cut)
-    large = np.repeat(size > SMALL, size)
-    first = np.repeat(cut[:-1], size)
-    xs, ys = [], []
-    for step in range(1, SMALL):
-        i = np.flatnonzero(shingle[:-step] == shingle[step:]) if step < len(shingle) else np.zeros(0, np.int64)
-        i = i[~large[i] | (spanning and step <= NEXT)]
-        i = i[label[i] != label[i + step]]
-        i = i[_may_be_alike(i, i + step, n, maps, bits, percent)]
-        xs.append(i)
-        ys.append(i + step)
     if spanning:
-        i = np.flatnonzero(large & (first != np.arange(len(k))))
-        i = i[_may_be_alike(first[i], i, n, maps, bits, percent)]
-        xs.append(first[i])
-        ys.append(i)
+        bits = np.bitwise_count(maps).sum(1).astype(np.int64)
+        cut = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1 if len(unit) else 0, append=unit[-1] + 1 if len(unit) else 0))
+        first = np.repeat(cut[:-1], np.diff(cut))
+        xs, ys = [], []
+        for step in range(NEXT + 1):
+            i = np.flatnonzero(unit[:-step] == unit[step:]) if step else first
+            j = i + step if step else np.arange(len(k))
+            ok = label[i] != label[j]
+            i, j = i[ok], j[ok]
+            ok = _may_be_alike(i, j, n, maps, bits, percent)
+            xs.append(i[ok])
+            ys.append(j[ok])
+        x, y = np.concatenate(xs), np.concatenate(ys)
     else:
-        for a, m in zip(cut[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
-            _, groups = np.unique(label[a : a + m], return_inverse=True)
-            found = candidate_pairs(n[a : a + m], maps[a : a + m], groups, percent) + a
-            xs.append(found[:, 0])
-            ys.append(found[:, 1])
-    x, y = np.concatenate(xs), np.concatenate(ys)
+        x, y = candidate_pairs(n, maps, np.unique(label, return_inverse=True)[1], percent, unit).T
     a, b = np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
     pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
     if spanning and len(pairs):
@@ -241,60 +265,110 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     ``hot`` is from how many prefixes on a shingle goes last in the order (more when over COMMON shingles would).
     """
     kind = id_type(df, id_col)
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("h", F.xxhash64("text"))
     none = np.zeros(0, np.uint64)
 
-    def shingle_rows(batch, sets):
+    def set_rows(batch, sets):
         at = sets.prefix(percent)
-        t = sets.text[at]
-        return pa.RecordBatch.from_arrays([pa.array(sets.hashes[at].view(np.int64)), pa.array(sets.keys[t]), pa.array(sets.sizes[t], pa.int32())], names=["shingle", "k", "n"])
-
-    def prefixes(common):
-        return _mapped(docs, n, common, shingle_rows, "shingle bigint, k bigint, n int")
-
-    def key_rows(batch, sets):
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets.keys), pa.array(sets.sizes, pa.int64())], names=["id", "k", "n"])
-
-    keys = cut_lineage(_mapped(docs, n, none, key_rows, f"id {kind}, k bigint, n bigint"))
-    counts = prefixes(none).groupBy("shingle").count()
+        ends = np.cumsum(np.bincount(sets.text[at], minlength=len(sets.sizes)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(sets.hashes[at].view(np.int64)))
+        maps = [pa.array(m, pa.binary()) for m in (sets.bitmaps(), sets.wide_bitmaps())]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(sets.keys), pa.array(sets.sizes, pa.int64()), lists, *maps], names=["id", "h", "k", "n", "prefix", "bits", "wide"])
+
+    # one pass over all texts; from here on copies are one set, whose row holds its prefix and bitmap
+    every = cut_lineage(_mapped(docs, n, none, set_rows, f"id {kind}, h bigint, k bigint, n bigint, prefix array<bigint>, bits binary, wide binary"))
+    keys = every.select("id", "k", "n")
+    one = every.filter("n > 0").groupBy("k").agg(F.min(F.struct("id", "h")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "wide")])
+    one = cut_lineage(one.select("k", "n", F.col("rep.id").alias("rep"), F.col("rep.h").alias("rep_h"), "prefix", "bits", "wide"))
+    bits = one.select("k", "bits")
+    counts = one.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count()
     often = counts.filter(F.col("count") >= hot).orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     common = np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64))
 
-    rows = prefixes(common)
-    shared = rows.groupBy("shingle").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high")
-    members = cut_lineage(rows.join(shared.select("shingle"), "shingle").groupBy("shingle", "k", "n").agg(F.lit(1).alias("one")).drop("one"))
-
-    # texts of one document of each set that meets another
-    met = cut_lineage(members.select("k").distinct().join(keys.groupBy("k").agg(F.min("id").alias("rep")).select("k", "rep"), "k"))
-    picked = docs.join(_small(met), F.col("id").eqNullSafe(F.col("rep"))).select("rep", "k", "text")
-
-    def own_rows(batches):
+    # putting the common shingles last changes no prefix without one of them; the others are made again
+    def marked_rows(batches):
+        for batch in batches:
+            lists = batch.column("prefix")
+            hits = np.cumsum(np.append(0, np.isin(lists.flatten().to_numpy().view(np.uint64), common)))
+            ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            late = hits[ends[1:]] > hits[ends[:-1]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "rep_h", "k", "n", "prefix")), pa.array(late)], names=["rep", "rep_h", "k", "n", "prefix", "late"])
+
+    def texts_of(wanted):
+        """``k, text`` of the documents named by ``rep, rep_h``, once each."""
+        named = docs.join(_small(wanted), F.col("id").eqNullSafe(F.col("rep")) & (F.coalesce("h", F.lit(0)) == F.coalesce("rep_h", F.lit(0))))
+        return named.select("k", "text")
+
+    def again_rows(batches):
         for batch in _sliced(batches):
-            sets = Sets([t or "" for t in batch.column("text").to_pylist()], n, none)
-            ok = pa.array(sets.keys == batch.column("k").to_numpy())  # an id can have several texts
-            cols = [batch.column("k"), batch.column("text"), pa.array(sets.bitmaps(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.filter(ok) for c in cols], names=["k", "text", "bits"])
-
-    own = picked.mapInArrow(own_rows, "k bigint, text string, bits binary")
-    texts = own.select("k", "text")
-    bits = cut_lineage(own.select("k", "bits"))
+            yield set_rows(batch, Sets([t or "" for t in batch.column("text").to_pylist()], n, common)).select(["k", "n", "prefix"])
+
+    marked = one.select("rep", "rep_h", "k", "n", "prefix").mapInArrow(marked_rows, f"rep {kind}, rep_h bigint, k bigint, n bigint, prefix array<bigint>, late boolean")
+    late = texts_of(marked.filter("late").select("rep", "rep_h", "k")).withColumns({"id": F.lit(None).cast(kind), "h": F.lit(0).cast("bigint")})
+    again = late.mapInArrow(again_rows, "k bigint, n bigint, prefix array<bigint>").dropDuplicates(["k"])
+    prefixes = marked.filter("not late").select("k", "n", "prefix").unionByName(cut_lineage(again))
+    rows = prefixes.select(F.explode("prefix").alias("shingle"), "k", "n")
+
+    # members: sets that share a shingle of their prefixes with another one of a size that allows a link
+    shared = rows.groupBy("shingle").count().filter("count > 1")
+    met = rows.join(shared.select("shingle"), "shingle")
+    step = math.log(100 / percent) * 1.000001  # linked sets are in the same band or in neighbours
+    band = F.floor(F.log("n") / step) if step else F.col("n")
+    cells = met.withColumn("cell", F.explode(F.array(band, band + 1)))
+    alive = cells.groupBy("shingle", "cell").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low < high").select("shingle", "cell")
+    members = cells.join(alive, ["shingle", "cell"]).groupBy("shingle", "k", "n").agg(F.lit(1).alias("one")).drop("one")
+    members = cut_lineage(members)
     groups = max(64, members.count() // ROWS)
-    bucket = F.pmod(F.xxhash64("shingle"), F.lit(groups)).alias("bucket")
 
     def pairs(rows: DataFrame, spanning: bool) -> DataFrame:
-        found = rows.join(bits, "k").select(bucket, "shingle", "k", "n", "label", "bits").groupBy("bucket")
+        """Candidates within the shingles of ``rows``; one with over BLOCK members goes by pairs of its pieces."""
+        large = rows.groupBy("shingle").count().filter(F.col("count") > BLOCK).select("shingle", F.ceil(F.col("count") / BLOCK).alias("pieces"))
+        dealt = rows.join(_small(large), "shingle", "left").withColumn("piece", F.pmod(F.xxhash64("k"), "pieces"))
+        if spanning:
+            unit = F.when(F.col("pieces").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", "piece"))
+        else:
+            dealt = dealt.withColumn("other", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))))
+            unit = F.when(F.col("pieces").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("piece", "other"), F.greatest("piece", "other")))
+        dealt = dealt.select(unit.alias("unit"), "k", "n", "label").join(bits, "k")
+        found = dealt.groupBy(F.pmod(F.xxhash64("unit"), F.lit(groups)).alias("bucket"))
         return found.applyInArrow(lambda t: _bucket_pairs(t, percent, spanning), "a bigint, b bigint").distinct()
 
+    def wide_rows(batches):
+        for batch in batches:
+            maps = zip(*(batch.column(c).to_pylist() for c in ("wide_a", "wide_b", "n_a", "n_b")))
+            ok = [x is None or y is None or wide_alike(x, y, nx, ny, percent) for x, y, nx, ny in maps]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def verified(found: DataFrame) -> DataFrame:
+        """Links among the pairs; only texts in a pair that wide bitmaps allow are read."""
+        met = one.join(_small(found.select(F.explode(F.array("a", "b")).alias("k")).distinct()), "k")
+        sides = [met.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab"]
+        found = cut_lineage(found.join(sides[0], "a").join(sides[1], "b").mapInArrow(wide_rows, "a bigint, b bigint"))
+        ends = found.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(one.select("k", "rep", "rep_h"), "k")
+        return cut_lineage(_verified(found, texts_of(ends).groupBy("k").agg(F.first("text").alias("text")), n, percent))
+
     # first round: of the likely links of a bucket's span one for each set; second: all that is left between components
     tried = cut_lineage(pairs(members.withColumn("label", F.col("k")), True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut_lineage(_verified(tried, texts, n, percent))
+    links = verified(tried)
     label = components(links)
     grouped = members.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     mixed = grouped.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
     more = cut_lineage(pairs(grouped.join(mixed, "shingle"), False).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, texts, n, percent))
+    if not more.isEmpty():  # one pair for each two components, then the pairs that are still between two
+        named = lambda: [label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
+
+        def apart(rows):
+            sided = rows.join(named()[0], "a", "left").join(named()[1], "b", "left")
+            sided = sided.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")).filter("x != y")
+            return sided.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+        tried = cut_lineage(apart(more).groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+        links = links.unionByName(verified(tried))
         label = components(links)
+        left = cut_lineage(apart(more).select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if not left.isEmpty():
+            links = links.unionByName(verified(left))
+            label = components(links)
 
     classed = keys.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("label", "k")))
     smallest = classed.filter("n > 0").groupBy("class").agg(F.min("id").alias("component"))
