@@ -169,6 +169,54 @@ def test_trees_lose_no_pair():
     assert len(got) < len(sets) ** 2 / 8
 
 
+def test_trees_of_many_units():
+    rng = np.random.default_rng(4)
+    maps = np.packbits(rng.random((300, 512)) < 0.1, axis=1)
+    maps[1::3] = maps[::3]
+    words, units = maps.view(np.uint64), rng.integers(0, 9, 100).repeat(3)
+    sizes = np.bitwise_count(words).sum(1).astype(np.int64)
+    units[-1] = 99  # alone
+    order = rng.permutation(300)
+    words, units, sizes = words[order], units[order], sizes[order]
+    got = {tuple(sorted(p)) for p in ngram_join.candidate_pairs(sizes, words, np.arange(300), 90, units).tolist()}
+    want = set()
+    for a in range(300):
+        for b in range(a + 1, 300):
+            both = int(np.bitwise_count(words[a] & words[b]).sum())
+            if units[a] == units[b] and 190 * min(both, sizes[a], sizes[b]) >= 90 * (sizes[a] + sizes[b]) and 100 * min(sizes[a], sizes[b]) >= 90 * max(sizes[a], sizes[b]):
+                want.add((a, b))
+    assert got == want and len(want) >= 100
+
+
+def test_wide_bitmaps_lose_no_pair():
+    base = words_of(11, 3000, 10**6)
+    rows = [base, base[:2800], base[:1600], ["changed"] * 1 + base[1:], words_of(12, 3000, 10**6), words_of(13, 600, 10**6), base[:100]]
+    sets = ngram_join.Sets([" ".join(r) for r in rows], 3, np.zeros(0, np.uint64))
+    maps = sets.wide_bitmaps()
+    assert [m is None for m in maps] == [len(r) - 2 <= ngram_join.BITS for r in rows]
+    for i, x in enumerate(maps):
+        for j, y in enumerate(maps):
+            if x is not None and y is not None:
+                a, b = (ngram_join.shingles_of(" ".join(rows[k]), 3) for k in (i, j))
+                assert ngram_join.wide_alike(x, y, len(a), len(b), 90) >= ngram_join.alike(len(a & b), len(a), len(b), 90)
+    assert not ngram_join.wide_alike(maps[0], maps[4], 2998, 2998, 90)
+
+
+def test_join_by_pieces_of_a_shingle(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, n=5, percent=80).collect()}
+    assert got == classes(texts(docs), 5, 80)
+
+
+def test_join_of_repeated_long_rows(spark):
+    long = " ".join(words_of(21, 20_000, 10**6))
+    near = " ".join(words_of(21, 20_000, 10**6)[:-50])
+    rows = [(1, long, 0, 0)] * 4 + [(1, near, 0, 0), (2, near, 0, 0), (None, near, 0, 0), (None, None, 0, 0), (3, "few words", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rep int, k int")  # clashing names
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.join(df).collect())
+    assert got == sorted([("1", 19_998, 1)] * 4 + [("1", 19_948, 1), ("2", 19_948, 1), ("None", 19_948, 1), ("None", 0, None), ("3", 1, 3)])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
