@@ -223,6 +223,26 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{500 + i: 500 for i in range(50)}}
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40, 7])
+def test_components_of_random_links_in_blocks(spark, block):
+    pick = random.Random(block)
+    links = [(pick.randrange(-90, 90), pick.randrange(-90, 90)) for _ in range(100)]
+    root = {n: n for link in links for n in link}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    want = {n: find(n) for a, b in links if a != b for n in (a, b)}
+    df = spark.createDataFrame([*links, *links[:20], (5, None), (None, None)], "a bigint, b bigint")
+    assert {r.node: r.label for r in components.components(df, block=block).collect()} == want
+    assert components.components(df.limit(0), block=block).count() == 0
+
+
 def held(of, items):
     shingles = lambda t: [tuple(w[i : i + 5]) for w in [(t or "").lower().encode().split()] for i in range(len(w) - 4)]
     own, known = defaultdict(list), set()
