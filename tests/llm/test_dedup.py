@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,57 @@ def test_join_by_pieces_of_a_shingle(docs, monkeypatch):
     assert got == classes(texts(docs), 5, 80)
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 30, "PIECE": 7, "DENSE": 0}, {"HELD": 2_000, "DENSE": 1}])
+def test_join_of_a_template(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    pick, base = random.Random(3), words_of(31, 150, 10**6)
+    rows = []
+    for i in range(140):
+        row = list(base)
+        for at in pick.sample(range(150), pick.randrange(1, 7)):
+            row[at] = f"w{pick.randrange(10**6)}"
+        rows.append((i, " ".join(row)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = classes(dict(rows), 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()} == want
+    assert 3 < len({c for _, c in want.values()}) < 120
+
+
+def test_links_of_units_by_exact_sets():
+    rng = np.random.default_rng(6)
+    sets, units = [], []
+    for unit, pool in ((5, 130), (9, 3000), (-4, 60)):
+        base = rng.choice(pool, 50, replace=False)
+        for k in range(40):
+            sets.append(np.unique(np.append(base[k % 5 :], rng.choice(10**6, int(rng.integers(0, 6))))))
+            units.append(unit)
+    keys = rng.permutation(len(sets))
+    table = pa.table({"k": keys, "n": [len(x) for x in sets], "label": keys, "unit": units, "hashes": [x.tolist() for x in sets]})
+    got = list(zip(*ngram_join._linked(table, 90).to_pydict().values()))
+    links = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if units[i] == units[j] and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                links.add(tuple(sorted((int(keys[i]), int(keys[j])))))
+
+    def tied(pairs):
+        root = {int(k): int(k) for k in keys}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in pairs:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        return {n: find(n) for n in root}
+
+    assert set(got) <= links and len(got) < len(sets) < len(links) and tied(got) == tied(links)
+
+
 def test_join_of_repeated_long_rows(spark):
     long = " ".join(words_of(21, 20_000, 10**6))
     near = " ".join(words_of(21, 20_000, 10**6)[:-50])

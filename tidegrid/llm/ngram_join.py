@@ -6,14 +6,16 @@ prefixes last.  Inside a bucket a signature tree prunes: leaves hold documents o
 its documents' token bitmaps and its range of sizes, and a traversal of node pairs goes on only where the largest
 overlap that bitmaps and sizes allow is enough.  What is left is compared exactly, shingle by shingle.
 
-Copies are one set.  All texts are read once; later only those whose prefix holds a common shingle, and those of pairs
-that longer bitmaps of large sets also allow.  A first round verifies as many likely pairs as link a bucket together; the traversal then looks
-only for links between different components, so a large group of near copies never needs all its pairs.
+Copies are one set.  All texts are read once; later only those whose prefix holds a common shingle, and those that a
+tree leaves.  A first round verifies as many likely pairs as link a bucket together; the traversal then looks only for
+links between different components over short bitmaps.  Where these leave many pairs, the members go through trees
+of exact sets, and only links that tie components leave the task: what is sent grows with the members, not their pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,8 @@ LEAF = 16
 FEW = 1_000_000  # rows of a table that may be broadcast
 ROWS = 20_000  # members a task compares at once
 BLOCK = 20_000  # members of one shingle compared at once; more go by pairs of pieces
+DENSE = 4  # pairs for each member of a unit that are sent as pairs
+PIECE, HELD = 4_000, 4_000_000  # the same with whole sets: members, and shingles in all
 NEXT = 6  # neighbours of a member in the first round
 COMMON = 50_000  # at most so many shingles are set last
 
@@ -109,17 +113,23 @@ def wide_alike(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
 
 
 def candidate_pairs(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, percent: int, units: np.ndarray | None = None) -> np.ndarray:
+    """All pairs of ``candidate_chunks``."""
+    return np.concatenate([np.zeros((0, 2), np.int64), *candidate_chunks(sizes, maps, groups, percent, units)])
+
+
+def candidate_chunks(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, percent: int, units: np.ndarray | None = None, exact: bool = False) -> Iterator[np.ndarray]:
     """Pairs of members of one unit and different groups that can be alike, by dual traversal of signature trees.
 
     ``maps`` are bitmaps as rows of 64-bit words.  Every unit (all members if not given) has a tree of its own; the
-    trees of a call are built and traversed level by level together.  Members are numbered in the order given.
+    trees of a call are built and traversed level by level together.  Members are numbered in the order given.  Where
+    the bitmaps are ``exact``, with a bit for every shingle that two members share, the pairs are alike.
     """
     units = np.zeros(len(sizes), np.int64) if units is None else units
     order = np.lexsort((sizes, units))
     sizes, maps, groups, unit = sizes[order], maps[order], groups[order], units[order]
     # levels of the trees, members first: OR of bitmaps, range of sizes, most members hidden behind one bit, group if one
     bits = np.bitwise_count(maps).sum(1).astype(np.int64)
-    levels, children = [(maps, sizes, sizes, sizes - bits, groups)], []
+    levels, children = [(maps, sizes, sizes, np.zeros_like(bits) if exact else sizes - bits, groups)], []
     trees = len(np.unique(unit))
     while len(unit) > trees:
         m, low, high, slack, g = levels[-1]
@@ -131,7 +141,7 @@ def candidate_pairs(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, per
         levels.append((np.bitwise_or.reduceat(m, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(slack, cut), one))
         unit = unit[cut]
     if not children:
-        return np.zeros((0, 2), np.int64)
+        return
 
     def possible(depth, x, y):
         m, low, high, slack, g = levels[depth]
@@ -154,9 +164,11 @@ def candidate_pairs(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, per
             inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             i, j = first[x][which] + inside // many[y][which], first[y][which] + inside % many[y][which]
             ok = (i < j) if depth == 0 else (i <= j)
-            found.append(possible(depth, i[ok], j[ok]))
+            if depth == 0:
+                yield order[possible(depth, i[ok], j[ok])]
+            else:
+                found.append(possible(depth, i[ok], j[ok]))
         pairs = np.concatenate(found)
-    return order[pairs]
 
 
 def _may_be_alike(x, y, sizes, maps, bits, percent: int) -> np.ndarray:
@@ -189,41 +201,124 @@ def _spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, bool)
 
 
-def _bucket_pairs(table: pa.Table, percent: int, spanning: bool) -> pa.Table:
-    """Pairs of sets of one unit that can be alike and have different labels; ``spanning``: enough to link those.
+def _arrays(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().astype(np.int64) for c in names]
 
-    Every unit has a signature tree; for ``spanning`` members are compared with their next neighbours by size and with
-    the first instead.
-    """
-    k, n, label, unit = (table.column(c).to_numpy().astype(np.int64) for c in ("k", "n", "label", "unit"))
+
+def _likely_pairs(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs that can be alike of members and their next neighbours by size or the first of their unit, enough to link those."""
+    k, n, unit = _arrays(table, "k", "n", "unit")
     order = np.lexsort((k, n, unit))
-    k, n, label, unit = k[order], n[order], label[order], unit[order]
+    k, n, unit = k[order], n[order], unit[order]
     maps = np.frombuffer(b"".join(table.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(k), -1)
-    if spanning:
-        bits = np.bitwise_count(maps).sum(1).astype(np.int64)
-        cut = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1 if len(unit) else 0, append=unit[-1] + 1 if len(unit) else 0))
-        first = np.repeat(cut[:-1], np.diff(cut))
-        xs, ys = [], []
-        for step in range(NEXT + 1):
-            i = np.flatnonzero(unit[:-step] == unit[step:]) if step else first
-            j = i + step if step else np.arange(len(k))
-            ok = label[i] != label[j]
-            i, j = i[ok], j[ok]
-            ok = _may_be_alike(i, j, n, maps, bits, percent)
-            xs.append(i[ok])
-            ys.append(j[ok])
-        x, y = np.concatenate(xs), np.concatenate(ys)
-    else:
-        x, y = candidate_pairs(n, maps, np.unique(label, return_inverse=True)[1], percent, unit).T
+    bits = np.bitwise_count(maps).sum(1).astype(np.int64)
+    cut = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1 if len(unit) else 0, append=unit[-1] + 1 if len(unit) else 0))
+    first = np.repeat(cut[:-1], np.diff(cut))
+    xs, ys = [], []
+    for step in range(NEXT + 1):
+        i = np.flatnonzero(unit[:-step] == unit[step:]) if step else first
+        j = i + step if step else np.arange(len(k))
+        ok = k[i] != k[j]
+        i, j = i[ok], j[ok]
+        ok = _may_be_alike(i, j, n, maps, bits, percent)
+        xs.append(i[ok])
+        ys.append(j[ok])
+    x, y = np.concatenate(xs), np.concatenate(ys)
     a, b = np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
     pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    if spanning and len(pairs):
+    if len(pairs):
         names, ends = np.unique(pairs, return_inverse=True)
         ends = ends.reshape(pairs.shape)
         pairs = pairs[_spanning(ends[:, 0], ends[:, 1], len(names))]
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
+def _met(table: pa.Table, percent: int) -> pa.Table:
+    """What signature trees leave of the units: pairs ``k, other`` that can be alike and have different labels.
+
+    Of a unit with more such pairs than DENSE for each member come rows ``unit, k, n, label`` of the members instead
+    (``other`` is NULL).  Their ``unit`` is the smallest member that the pairs lead to, so that many shingles of a
+    group of near copies give the same rows.
+    """
+    table = table.sort_by("k")
+    k, n, label, unit = _arrays(table, "k", "n", "label", "unit")
+    maps = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+    own = np.unique(unit, return_inverse=True)[1]
+    most, found = DENSE * np.bincount(own), np.zeros(own.max() + 1 if len(own) else 0, np.int64)
+    root, held = np.arange(len(n)), np.zeros((0, 2), np.int64)
+    for pairs in candidate_chunks(n, maps, np.unique(label, return_inverse=True)[1], percent, unit):
+        found += np.bincount(own[pairs[:, 0]], minlength=len(found))
+        held = np.concatenate([held, pairs])
+        held = held[(found <= most)[own[held[:, 0]]]]
+        x, y = pairs.T
+        while len(x):
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+    ends = np.unique(np.sort(k[held], axis=1), axis=0)
+    seen = (np.bincount(root, minlength=len(n))[root] > 1) & (found > most)[own]
+    rows = np.unique(np.stack([k[root[seen]], k[seen], n[seen], label[seen]], 1), axis=0)
+    first, none = [pa.array(rows[:, i], pa.int64()) for i in range(4)], pa.nulls(len(rows), pa.int64())
+    second = [pa.nulls(len(ends), pa.int64()), pa.array(ends[:, 0], pa.int64()), *[pa.nulls(len(ends), pa.int64())] * 2]
+    names = ["unit", "k", "n", "label", "other"]
+    return pa.concat_tables([pa.table([*first, none], names=names), pa.table([*second, pa.array(ends[:, 1], pa.int64())], names=names)])
+
+
+def _linked(table: pa.Table, percent: int) -> pa.Table:
+    """Links of members of one unit with different labels, enough to tie all labels that such links tie.
+
+    The bitmaps of these trees have a bit for each shingle that two members of the unit share, so what the traversal
+    leaves is alike.  Units go by the width of their bitmaps.
+    """
+    k, n, label, unit = _arrays(table, "k", "n", "label", "unit")
+    names, group = np.unique(label, return_inverse=True)
+    unit = np.unique(unit, return_inverse=True)[1]
+    lists = table.column("hashes").combine_chunks()
+    hashes, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(k)), counts)
+    order = np.lexsort((hashes, unit[row]))
+    row, hashes = row[order], hashes[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (unit[row[1:]] != unit[row[:-1]])
+    which = np.cumsum(new) - 1
+    shared = np.bincount(which)[which] > 1
+    row, opens = row[shared], new[shared]
+    number = np.cumsum(opens) - 1  # of a shared shingle; then its place among those of its unit
+    own = np.bincount(unit[row[opens]], minlength=unit.max() + 1 if len(unit) else 0)
+    place = number - (np.cumsum(own) - own)[unit[row]]
+    words = 1 << np.ceil(np.log2(np.maximum(own / 64, 1))).astype(np.int64)
+
+    root = np.arange(len(names))
+    links = [np.zeros((0, 2), np.int64)]
+    for width in np.unique(words[own > 0]).tolist():
+        members = np.flatnonzero((words[unit] == width) & (own[unit] > 0))
+        at = np.full(len(k), -1)
+        at[members] = np.arange(len(members))
+        mine = at[row] >= 0
+        maps = np.zeros((len(members), width), np.uint64)
+        np.bitwise_or.at(maps, (at[row[mine]], place[mine] >> 6), np.uint64(1) << (place[mine] & 63).astype(np.uint64))
+        for pairs in candidate_chunks(n[members], maps, group[members], percent, unit[members], exact=True):
+            pairs = members[pairs]
+            x, y = root[group[pairs]].T
+            pairs = pairs[x != y]
+            keep = []
+            for i, j in group[pairs].tolist():
+                while root[i] != i:
+                    i = root[i]
+                while root[j] != j:
+                    j = root[j]
+                root[max(i, j)] = min(i, j)
+                keep.append(i != j)
+            links.append(pairs[np.array(keep, bool)])
+            while (root[root] != root).any():
+                root = root[root]
+    ends = np.sort(k[np.concatenate(links)], axis=1)
+    return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+
 def _mapped(docs: DataFrame, n: int, common: np.ndarray, rows, schema: str) -> DataFrame:
     def run(batches):
         for batch in _sliced(batches):
@@ -320,18 +415,18 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     members = cut_lineage(members)
     groups = max(64, members.count() // ROWS)
 
-    def pairs(rows: DataFrame, spanning: bool) -> DataFrame:
-        """Candidates within the shingles of ``rows``; one with over BLOCK members goes by pairs of its pieces."""
-        large = rows.groupBy("shingle").count().filter(F.col("count") > BLOCK).select("shingle", F.ceil(F.col("count") / BLOCK).alias("pieces"))
-        dealt = rows.join(_small(large), "shingle", "left").withColumn("piece", F.pmod(F.xxhash64("k"), "pieces"))
-        if spanning:
-            unit = F.when(F.col("pieces").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", "piece"))
-        else:
-            dealt = dealt.withColumn("other", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))))
-            unit = F.when(F.col("pieces").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("piece", "other"), F.greatest("piece", "other")))
-        dealt = dealt.select(unit.alias("unit"), "k", "n", "label").join(bits, "k")
-        found = dealt.groupBy(F.pmod(F.xxhash64("unit"), F.lit(groups)).alias("bucket"))
-        return found.applyInArrow(lambda t: _bucket_pairs(t, percent, spanning), "a bigint, b bigint").distinct()
+    def dealt(rows: DataFrame, key: str, block: int, held: int | None = None) -> DataFrame:
+        """``unit`` of each row: its ``key``, or one for each pair of pieces of a key with over ``block`` members or ``held`` shingles."""
+        least = F.count("*") / block
+        least = least if held is None else F.greatest(least, F.sum("n") / held)
+        large = rows.groupBy(key).agg(F.ceil(least).alias("pieces")).filter("pieces > 1")
+        marked = rows.join(_small(large), key, "left").withColumn("piece", F.pmod(F.xxhash64("k"), "pieces"))
+        marked = marked.withColumn("other", F.explode(F.when(F.col("pieces").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))))
+        unit = F.when(F.col("pieces").isNull(), F.col(key)).otherwise(F.xxhash64(key, F.least("piece", "other"), F.greatest("piece", "other")))
+        return marked.select(unit.alias("unit"), "k", "n", "label")
+
+    def by_units(rows: DataFrame, buckets: int):
+        return rows.groupBy(F.pmod(F.xxhash64("unit"), F.lit(buckets)).alias("bucket"))
 
     def wide_rows(batches):
         for batch in batches:
@@ -347,21 +442,47 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
         ends = found.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(one.select("k", "rep", "rep_h"), "k")
         return cut_lineage(_verified(found, texts_of(ends).groupBy("k").agg(F.first("text").alias("text")), n, percent))
 
-    # first round: of the likely links of a bucket's span one for each set; second: all that is left between components
-    tried = cut_lineage(pairs(members.withColumn("label", F.col("k")), True).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = verified(tried)
+    # first round: of the likely links of a bucket's span one for each set
+    large = members.groupBy("shingle").count().filter(F.col("count") > BLOCK).select("shingle", F.ceil(F.col("count") / BLOCK).alias("pieces"))
+    pieces = members.join(_small(large), "shingle", "left")
+    unit = F.when(F.col("pieces").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", F.pmod(F.xxhash64("k"), "pieces")))
+    near = by_units(pieces.select(unit.alias("unit"), "k", "n").join(bits, "k"), groups)
+    tried = near.applyInArrow(lambda t: _likely_pairs(t, percent), "a bigint, b bigint").groupBy("b").agg(F.min("a").alias("a"))
+    links = verified(cut_lineage(tried.select("a", "b")))
     label = components(links)
+
+    # second: signature trees find the pairs of every shingle that can be alike and belong to two components; for
+    # shingles with many, trees of the exact sets find the links, and only those that tie components leave the task
     grouped = members.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     mixed = grouped.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    more = cut_lineage(pairs(grouped.join(mixed, "shingle"), False).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():  # one pair for each two components, then the pairs that are still between two
-        named = lambda: [label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
+    open_rows = dealt(grouped.join(mixed, "shingle"), "shingle", BLOCK).join(bits, "k")
+    met = cut_lineage(by_units(open_rows, groups).applyInArrow(lambda t: _met(t, percent), "unit bigint, k bigint, n bigint, label bigint, other bigint").distinct())
+    dense = met.filter("other IS NULL").drop("other")
+    if not dense.isEmpty():
+
+        def hash_rows(batches):
+            for batch in _sliced(batches):
+                sets = Sets([t or "" for t in batch.column("text").to_pylist()], n, none)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(sets.starts, len(sets.hashes)), pa.int32()), pa.array(sets.hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("k"), lists], names=["k", "hashes"])
+
+        named = dense.select("k").distinct().join(one.select("k", "rep", "rep_h"), "k")
+        hashes = texts_of(named).mapInArrow(hash_rows, "k bigint, hashes array<bigint>").dropDuplicates(["k"])
+        units = cut_lineage(dealt(dense, "unit", PIECE, HELD))
+        buckets = max(64, (units.agg(F.sum("n")).first()[0] or 0) // HELD)
+        tied = by_units(units.join(hashes, "k"), buckets).applyInArrow(lambda t: _linked(t, percent), "a bigint, b bigint")
+        links = links.unionByName(verified(cut_lineage(tied.distinct())))
+        label = components(links)
 
-        def apart(rows):
-            sided = rows.join(named()[0], "a", "left").join(named()[1], "b", "left")
-            sided = sided.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")).filter("x != y")
-            return sided.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    def apart(rows: DataFrame) -> DataFrame:
+        """The pairs between two components ``x, y``."""
+        a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+        sided = rows.join(a, "a", "left").join(b, "b", "left")
+        sided = sided.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")).filter("x != y")
+        return sided.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
+    more = met.filter("other IS NOT NULL").select(F.col("k").alias("a"), F.col("other").alias("b"))
+    if not more.isEmpty():  # one pair for each two components, then the pairs that are still between two
         tried = cut_lineage(apart(more).groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
         links = links.unionByName(verified(tried))
         label = components(links)
