@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.boxes import box_of, iou
 from tidegrid.functions.scalars import uniform_hash
 from tidegrid.operators.ranking import top_k
-from tidegrid.operators.spatial import cell_of
+from tidegrid.operators.spatial import cell_of, repeated
 
 CELL = 64
 
@@ -31,7 +31,7 @@ def overlapping_pairs(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     left = _over_cells(boxes, b.x1, b.y1, b.x2, b.y2, cell)
     names = {n: "o_" + n for n in ("x1", "y1", "x2", "y2")}
     right = left.select("image_id", F.col("box_no").alias("other_no"), *[F.col(n).alias(o) for n, o in names.items()], "cell_r", "cell_c")
-    pairs = left.select("image_id", "box_no", *names, "cell_r", "cell_c").join(right, ["image_id", "cell_r", "cell_c"])
+    pairs = left.select("image_id", "box_no", *names, "cell_r", "cell_c").join(repeated(right), ["image_id", "cell_r", "cell_c"])
     other = box_of("o_")
     corner_x, corner_y = F.greatest(b.x1, other.x1), F.greatest(b.y1, other.y1)
     touching = (F.least(b.x2, other.x2) > corner_x) & (F.least(b.y2, other.y2) > corner_y)
@@ -110,7 +110,7 @@ def visible_fraction(boxes: DataFrame, holes: DataFrame) -> DataFrame:
     covered = cells(holes.select("image_id", "hx1", "hy1", "hx2", "hy2"), h.x1, h.y1, h.x2, h.y2)
     lines = [F.bit_or(F.when(inside(i), F.col("own"))).alias(f"line{i}") for i in range(BAND)]
     covered = covered.groupBy("image_id", "band", "word").agg(*lines)
-    met = cells(boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2"), b.x1, b.y1, b.x2, b.y2).join(covered, ["image_id", "band", "word"])
+    met = cells(boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2"), b.x1, b.y1, b.x2, b.y2).join(repeated(covered), ["image_id", "band", "word"])
     shared = [F.when(inside(i), F.coalesce(F.bit_count(F.col("own").bitwiseAND(F.col(f"line{i}"))), F.lit(0))).otherwise(0) for i in range(BAND)]
     hidden = met.groupBy("image_id", "box_no").agg(F.sum(sum(shared[1:], shared[0])).alias("hidden"))
     joined = boxes.join(hidden, ["image_id", "box_no"], "left")

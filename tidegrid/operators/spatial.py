@@ -32,6 +32,14 @@ def with_neighbour_cells(df: DataFrame, row: str, col: str, size: float) -> Data
     )
 
 
+def repeated(df: DataFrame) -> DataFrame:
+    """Mark the side of a join whose rows ``explode`` repeats, so that it is shuffled and never broadcast.
+
+    Spark takes the size of such rows to be that of the rows before they were repeated, and compressed at that.
+    """
+    return df.hint("merge")
+
+
 def squared_distance(ar: Column, ac: Column, br: Column, bc: Column) -> Column:
     return (ar - br) * (ar - br) + (ac - bc) * (ac - bc)
 
@@ -52,7 +60,7 @@ def pairs_within(
     a = with_cell(left, *left_at, radius)
     b = with_neighbour_cells(right, *right_at, radius)
     d2 = squared_distance(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
-    joined = a.join(b, [*keys, "cell_r", "cell_c"])
+    joined = a.join(repeated(b), [*keys, "cell_r", "cell_c"])
     return joined.withColumn("d2", d2).filter(F.col("d2") <= F.lit(radius * radius)).drop("cell_r", "cell_c")
 
 
@@ -83,7 +91,7 @@ def near_any(
     )
     if exclude_zero:
         near = near & (d2 > 0)
-    return a.join(b, near, "left_semi").drop("cell_r", "cell_c")
+    return a.join(repeated(b), near, "left_semi").drop("cell_r", "cell_c")
 
 
 def _square_counts(half: int, block: int):
@@ -154,7 +162,7 @@ def points_in_crops(
         "cell_r", F.explode(F.sequence(cell_of(F.col("r0"), cell), cell_of(F.col("r1") - 1, cell)))
     ).withColumn("cell_c", F.explode(F.sequence(cell_of(F.col("c0"), cell), cell_of(F.col("c1") - 1, cell))))
     r, c = F.col(at[0]), F.col(at[1])
-    inside = with_cell(points, *at, cell).join(spread, ["scene_id", "cell_r", "cell_c"]).filter(
+    inside = with_cell(points, *at, cell).join(repeated(spread), ["scene_id", "cell_r", "cell_c"]).filter(
         (r >= F.col("r0")) & (r < F.col("r1")) & (c >= F.col("c0")) & (c < F.col("c1"))
     )
     shifted = inside.withColumns({"crop_row": r - F.col("r0"), "crop_col": c - F.col("c0")}).drop(
@@ -174,4 +182,4 @@ def points_outside_holes(points: DataFrame, holes: DataFrame, cell: int = 64, ke
         on = on & (F.col("a." + key) == F.col("b." + key))
     hit = (F.col("a.x") >= F.col("b.hx1")) & (F.col("a.x") < F.col("b.hx2"))
     hit = hit & (F.col("a.y") >= F.col("b.hy1")) & (F.col("a.y") < F.col("b.hy2"))
-    return a.join(b, on & hit, "left_anti").drop("cell_r", "cell_c")
+    return a.join(repeated(b), on & hit, "left_anti").drop("cell_r", "cell_c")
