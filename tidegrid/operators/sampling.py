@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.labels import folder_weight, unknown_to_code
 from tidegrid.functions.scalars import normal_hash, uniform_hash
 from tidegrid.operators.ranking import chunked_rank, chunked_running_sum, first_by, hash_chunk
-from tidegrid.operators.spatial import cell_of, points_in_crops, with_cell
+from tidegrid.operators.spatial import cell_of, points_in_crops, repeated, with_cell
 from tidegrid.session import cut_lineage
 
 
@@ -44,7 +44,7 @@ def weighted_draws(items: DataFrame, item_id: str, weight: str, draws: int, seed
     points = spark.range(draws).select(F.col("id").alias("draw"), uniform_hash(F.lit(seed), F.col("id")).alias("_u"))
     points = points.withColumn("_strip", F.floor(F.col("_u") * strips).cast("bigint"))
     # neighbours meet at a rounded boundary: take the last item that starts at or before the point
-    hit = points.join(laid, "_strip").filter(F.col("_u") * F.col("_total") >= F.col("_lo"))
+    hit = points.join(repeated(laid), "_strip").filter(F.col("_u") * F.col("_total") >= F.col("_lo"))
     best = hit.groupBy("draw").agg(F.max_by(item_id, F.struct("_lo", item_id)).alias(item_id))
     return best
 
@@ -145,7 +145,7 @@ def _numbered_pick(wanted: DataFrame, items: DataFrame, item_id: str, weight: Co
     u = uniform_hash(F.lit(seed), F.col("scene_id"), F.col("sample_no"), F.col("attempt"), F.lit("pick"))
     points = wanted.join(totals, "scene_id").withColumn("_u", u)
     points = points.withColumn("_strip", F.floor(F.col("_u") * F.col("_count")).cast("bigint"))
-    hit = points.join(laid, ["scene_id", "_strip"]).filter(F.col("_u") * F.col("_total") >= F.col("_lo"))
+    hit = points.join(repeated(laid), ["scene_id", "_strip"]).filter(F.col("_u") * F.col("_total") >= F.col("_lo"))
     keys = wanted.columns
     best = hit.groupBy(*keys).agg(F.max_by(F.struct("row", "col"), F.struct("_lo", item_id)).alias("_b"))
     return best.select(*keys, "_b.row", "_b.col")
@@ -198,7 +198,7 @@ def missing_share(crops: DataFrame, pixels: DataFrame, value: str, cell: int = 2
     spread = crops.withColumn(
         "cell_r", F.explode(F.sequence(cell_of(F.col("r0"), cell), cell_of(F.col("r1") - 1, cell)))
     ).withColumn("cell_c", F.explode(F.sequence(cell_of(F.col("c0"), cell), cell_of(F.col("c1") - 1, cell))))
-    met = spread.join(present, ["scene_id", "cell_r", "cell_c"], "left")
+    met = repeated(spread).join(present, ["scene_id", "cell_r", "cell_c"], "left")
     r, c = F.col("r"), F.col("c")
     inside = (r >= F.col("r0")) & (r < F.col("r1")) & (c >= F.col("c0")) & (c < F.col("c1"))
     counted = met.groupBy(*crops.columns).agg(F.count_if(inside).alias("_seen"))
