@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.constants import IGNORE_LABEL, PIX_TO_M, SCORE_FLOOR
 from tidegrid.functions.labels import confidence_rank
-from tidegrid.functions.scalars import gaussian_value, length_to_log, log_to_length, null_to_zero, sigmoid
-from tidegrid.operators.heatmap import PIXEL, _spread, local_maxima_sparse
+from tidegrid.functions.scalars import DOUBLE_EPS, length_to_log, log_to_length, null_to_zero, sigmoid
+from tidegrid.operators.heatmap import PIXEL, local_maxima_sparse
 from tidegrid.operators.ranking import top_k, top_k_by
+from tidegrid.operators.spatial import cell_of
 
 
 def drawing_order(id_column: str = "detect_id") -> Column:
@@ -53,35 +56,93 @@ def encode_targets(
     """Target maps of the objects of each scene, as their non-empty pixels.
 
     ``objects`` hold ``scene_id, detect_id, x, y, confidence, is_vessel, is_fishing``
-    (codes 0, 1, 255) and ``length_px``.  The last writer of each centre pixel is found
-    among the objects first; all maps then come from one repetition of the objects over
-    their pixels and one hash aggregation of plain numbers.
+    (codes 0, 1, 255) and ``length_px``.  Objects of one centre and size are put together,
+    with the last writer among them, and go to the blocks of the map they reach; a block
+    draws its own pixels.  What is shuffled are objects, not their pixels, and a block is
+    bounded by its pixels however many objects lie on it.
     """
     if labels not in ("circle", "point"):
         raise ValueError(f"labels must be 'circle' or 'point', not {labels!r}")
-    placed = place_objects(objects, stride, fixed_radius, labels_radius)
-    last = placed.groupBy("scene_id", "oy", "ox").agg(F.max_by("detect_id", drawing_order()).alias("detect_id"))
-    placed = placed.join(last.select("detect_id", F.lit(True).alias("last")), "detect_id", "left")
-    reach = F.greatest("radius", "label_radius") if labels == "circle" else F.col("radius")
-    spread = _spread(placed, reach, height // stride, width // stride)
-    dx, dy = F.col("dx"), F.col("dy")
-    distance2 = dx * dx + dy * dy
-    in_square = F.greatest(F.abs(dx), F.abs(dy)) <= F.col("radius")
-    heat = F.when(in_square, gaussian_value(dx, dy, (F.col("radius") * 2 + 1) / F.lit(6.0))).otherwise(0.0)
-    if ignore_low:
-        in_disk = distance2 <= F.col("radius") * F.col("radius")
-        heat = F.when(F.col("confidence") == "LOW", F.when(in_disk, float(ignore_value)).otherwise(0.0)).otherwise(heat)
-    written = (dx == 0) & (dy == 0) & F.col("last").isNotNull()
-    log_length = length_to_log(F.col("length_px"))
-    classes = {"vsl": F.col("is_vessel").cast("double"), "fsh": F.col("is_fishing").cast("double"), "len_log": log_length}
-    if labels == "circle":
-        in_label = distance2 <= F.col("label_radius") * F.col("label_radius")
-        drawn = {n: F.max(F.when(in_label, v).otherwise(0.0)).alias(n) for n, v in classes.items()}
-    else:
-        drawn = {n: F.max(F.when(written, v).otherwise(0.0)).alias(n) for n, v in classes.items()}
-    offsets = [F.max(F.when(written, F.col(n)).otherwise(0.0)).alias(n) for n in ("off_x", "off_y")]
-    maps = spread.groupBy(*PIXEL).agg(F.max(heat).alias("obj"), *drawn.values(), *offsets)
-    return maps.filter((F.col("obj") > 0) | (F.col("vsl") > 0) | (F.col("fsh") > 0) | (F.col("len_log") > 0))
+    circle, rows, cols = labels == "circle", height // stride, width // stride
+    values = {
+        "vsl": F.col("is_vessel").cast("double"),
+        "fsh": F.col("is_fishing").cast("double"),
+        "len_log": length_to_log(F.col("length_px")).cast("double"),
+    }
+    placed = place_objects(objects, stride, fixed_radius, labels_radius).withColumns(values)
+    ignored = F.coalesce(F.col("confidence") == "LOW", F.lit(False)) if ignore_low else F.lit(False)
+    written = F.struct(drawing_order().alias("o"), *values, "off_x", "off_y")
+    kinds = placed.groupBy("scene_id", "oy", "ox", "radius", "label_radius", ignored.alias("ignored")).agg(
+        *[F.max(n).alias(n) for n in values], F.max(written).alias("w")
+    )
+    last = {"w_rank": F.coalesce("w.o.rank", F.lit(-1)), "w_neg": F.col("w.o.neg").cast("double"), "w_id": F.col("w.o.id").cast("bigint")}
+    last |= {"w_" + n: F.col("w." + n) for n in (*values, "off_x", "off_y")}
+    kinds = kinds.withColumns(last).drop("w")
+    reach = F.greatest("radius", "label_radius") if circle else F.col("radius")
+    for axis, centre, size in (("block_r", "oy", rows), ("block_c", "ox", cols)):
+        lo, hi = F.greatest(F.col(centre) - reach, F.lit(0)), F.least(F.col(centre) + reach, F.lit(size - 1))
+        reached = F.when(lo <= hi, F.sequence(cell_of(lo, MAP_BLOCK), cell_of(hi, MAP_BLOCK)))
+        kinds = kinds.withColumn(axis, F.explode(reached))
+    draw = _draw_block(rows, cols, circle, float(ignore_value))
+    return kinds.groupBy("scene_id", "block_r", "block_c").applyInArrow(
+        draw, "scene_id STRING, r BIGINT, c BIGINT, obj DOUBLE, vsl DOUBLE, fsh DOUBLE, len_log DOUBLE, off_x DOUBLE, off_y DOUBLE"
+    )
+
+
+# side of the blocks of a map that are drawn by one task
+MAP_BLOCK = 128
+
+
+def _draw_block(rows: int, cols: int, circle: bool, ignore_value: float):
+    """Draw the objects that reach one block; where they overlap the largest value wins."""
+
+    def offsets(reach: int) -> tuple[np.ndarray, np.ndarray]:
+        dy, dx = np.mgrid[-reach : reach + 1, -reach : reach + 1]
+        return dy.ravel(), dx.ravel()
+
+    def draw(table: pa.Table) -> pa.Table:
+        nothing = -np.inf  # below every value, and NULL where no value came
+        by = {n: table[n].to_numpy() for n in ("oy", "ox", "radius", "label_radius", "ignored", "w_rank", "w_id")}
+        value = {n: table[n].fill_null(nothing).to_numpy() for n in table.column_names if pa.types.is_float64(table[n].type)}
+        r0, c0 = table["block_r"][0].as_py() * MAP_BLOCK, table["block_c"][0].as_py() * MAP_BLOCK
+        h, w = min(MAP_BLOCK, rows - r0), min(MAP_BLOCK, cols - c0)
+        classes, every = ("vsl", "fsh", "len_log"), ("obj", "vsl", "fsh", "len_log", "off_x", "off_y")
+        grid = {n: np.full(h * w, nothing) for n in every}
+        sizes, kind = np.unique(np.stack([by["radius"], by["label_radius"], by["ignored"]]), axis=1, return_inverse=True)
+        for i, (radius, label_radius, ignored) in enumerate(sizes.T.tolist()):
+            of = np.flatnonzero(kind.ravel() == i)
+            dy, dx = offsets(max(radius, label_radius) if circle else radius)
+            d2 = dy * dy + dx * dx
+            if ignored:
+                heat = np.where(d2 <= radius * radius, ignore_value, 0.0)
+            else:
+                sigma = (radius * 2 + 1) / 6.0
+                heat = np.exp(-d2 / (2.0 * sigma * sigma))
+                heat[(heat < DOUBLE_EPS) | (np.maximum(np.abs(dy), np.abs(dx)) > radius)] = 0.0
+            r, c = by["oy"][of, None] + dy - r0, by["ox"][of, None] + dx - c0
+            inside = (r >= 0) & (r < h) & (c >= 0) & (c < w)
+            at = (r * w + c)[inside]
+            np.maximum.at(grid["obj"], at, np.broadcast_to(heat, inside.shape)[inside])
+            for n in classes:
+                drawn = np.where(circle & (d2 <= label_radius * label_radius), value[n][of, None], 0.0)
+                np.maximum.at(grid[n], at, drawn[inside])
+        touched = grid["obj"] > nothing
+        for n in ("off_x", "off_y"):
+            grid[n][touched] = 0.0
+        order = np.lexsort((by["w_id"], value["w_neg"], by["w_rank"], by["ox"], by["oy"]))
+        y, x = by["oy"][order], by["ox"][order]
+        end = np.r_[(np.diff(y) != 0) | (np.diff(x) != 0), True]
+        end &= (y >= r0) & (y < r0 + h) & (x >= c0) & (x < c0 + w)
+        at = (y[end] - r0) * w + x[end] - c0
+        for n in ("off_x", "off_y") if circle else (*classes, "off_x", "off_y"):
+            grid[n][at] = np.maximum(grid[n][at], value["w_" + n][order[end]])
+        some = np.flatnonzero((grid["obj"] > 0) | (grid["vsl"] > 0) | (grid["fsh"] > 0) | (grid["len_log"] > 0))
+        scene = pa.repeat(table["scene_id"][0], len(some))
+        arrays = [scene.cast(pa.string()), pa.array(some // w + r0, pa.int64()), pa.array(some % w + c0, pa.int64())]
+        arrays += [pa.array(grid[n][some], pa.float64(), mask=np.isneginf(grid[n][some])) for n in every]
+        return pa.table(arrays, names=[*PIXEL, *every])
+
+    return draw
 
 
 def decode_maps(
