@@ -51,3 +51,12 @@ def test_a_later_file_completes_a_scene_from_state(spark):
     spark.createDataFrame([(3, "a", 0.3, 1.0)], SCHEMA).write.mode("append").parquet(path)
     run(spark, path, expected, output, checkpoint)
     assert sorted(r.pred_id for r in spark.read.parquet(output).collect()) == [1, 2, 3]
+
+
+def test_output_has_no_folder_per_scene(spark):
+    rows = [(i, f"s{i}", 0.5, 1.0) for i in range(30)]
+    path, output = files(spark, rows), new_folder(spark, "scenes")
+    expected = spark.createDataFrame([(f"s{i}", 1) for i in range(30)], "scene_id string, n_rows int")
+    run(spark, path, expected, output, new_folder(spark, "progress"))
+    assert spark.read.parquet(output).count() == 30
+    assert len(spark.read.parquet(output).inputFiles()) < 30

@@ -74,13 +74,13 @@ def process_new_scenes(stream: DataFrame, expected: DataFrame, output: str, chec
     """Write each scene's rows once, as soon as all of them arrived; scenes that already have output are skipped.
 
     Rows of a scene may come in any number of files and batches.  Every batch writes under its own marker, so a batch
-    that is replayed replaces what it had written.  ``status`` tells scenes with surplus rows and late rows apart.
+    that is replayed replaces what it had written; scenes are a column there, not folders.  ``status`` tells scenes with surplus rows and late rows apart.
     """
     run = _run_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ready = batch.withColumn("marker", F.lit(f"{run}-{batch_id}")).write.mode("overwrite")
-        ready.option("partitionOverwriteMode", "dynamic").partitionBy("marker", "scene_id").parquet(output)
+        ready.option("partitionOverwriteMode", "dynamic").partitionBy("marker").parquet(output)
 
     ready = complete_scenes(_unfinished(stream, output, run), expected)
     return ready.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -105,7 +105,7 @@ def score_stream(
 ) -> StreamingQuery:
     """Score each scene once, when all its detections arrived, surplus ones included; late ones change nothing.
 
-    ``output`` is kept by run, batch and scene.
+    ``output`` is kept by run and batch, not by scene: a folder and files for each scene would cost far more than its rows.
     """
     run = _run_name(checkpoint)
 
@@ -117,7 +117,7 @@ def score_stream(
         here = labels.join(ready.select("scene_id").distinct(), "scene_id", "left_semi")
         scores = scores_per_scene(ready, here, shoreline, vessel, fishing, **overrides)
         writer = scores.withColumn("marker", F.lit(f"{run}-{batch_id}")).write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy("marker", "scene_id").parquet(output)
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("marker").parquet(output)
         ready.unpersist()
 
     ready = complete_scenes(_unfinished(stream, output, run), expected)
