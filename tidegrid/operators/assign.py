@@ -24,9 +24,6 @@ ROW_COLUMNS = ["kind", "p", "g", "p_rank", "g_rank", "flow", "k_from", "k_to", "
 EDGE_COLUMNS = ["p", "g", "pn", "gn", "k", "ps", "low", "gs", "d2"]
 
 
-TIE = (1 << 60) // 1009 // 10**9  # a step of the first tie-break, 1e-9 / 1009 pixels
-
-
 def _mixed(p: int, g: int) -> int:
     """48 bits fixed by the two ids."""
     x = (p * 0x9E3779B97F4A7C15 + g * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1
@@ -35,12 +32,14 @@ def _mixed(p: int, g: int) -> int:
 
 
 def edge_cost(p: int, g: int, d2: int) -> int:
-    """Exact cost: the distance in 2**-60 pixels with a step fixed by the two ids, then 48 bits of their own.
+    """Exact cost: the floating distance plus a step fixed by the two ids, in 2**-128 pixels, then 48 bits of their own.
 
     Costs are whole numbers of any size, so sums never round; the last bits differ from edge to edge, so one optimum
-    is the cheapest and every way of searching finds that one.
+    is the cheapest and every way of searching finds that one.  The distance is the rounded one, so that matchings
+    whose floating costs differ are told apart as a sum of these tells them apart.
     """
-    return (math.isqrt(d2 << 120) + TIE * ((p * 31 + g * 17) % 1009) << 80) + _mixed(p, g)
+    top, bottom = (math.sqrt(d2) + 1e-9 * ((p * 31 + g * 17) % 1009) / 1009).as_integer_ratio()
+    return ((top << 128) // bottom << 48) + _mixed(p, g)
 
 
 def pair_up(edges: list[tuple], supply: dict, demand: dict) -> list[tuple]:
