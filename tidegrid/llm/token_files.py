@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ from tidegrid.llm.common import id_type, ordered_ranges
 
 LEVEL = 1
 MOST_WORDS = 400_000
+SLICE = 1 << 23
+
+
+def _slices(batch: pa.RecordBatch):
+    """The batch in parts of about SLICE bytes of text: words are told apart once for each part."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
 
 
 def to_planes(ids: np.ndarray, unit: str = "byte") -> list[bytes]:
@@ -96,21 +107,39 @@ def _word_encoder(path: str):
     if list(plain([probe])) != [b"".join(plain(probe.split(" ")))]:
         return lambda texts: list(plain(texts))
     one_case = list(plain(["Two"])) == list(plain(["two"]))
+    # a stop after a letter from A to Z is a piece of its own
+    stops = all(list(plain([w + s])) == [b"".join(plain([w, s]))] for w in ("one", "ONE", "3a", "x-a") for s in ".,")
     known: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
     normalizer = tokenizer.normalizer
 
-    def cut(text):
-        if one_case and "<|" not in text:  # special tokens are the only strings in which case counts
-            text = text.encode().lower().decode()  # A to Z only
-        return text.replace("\n", " ").split(" ")
+    def cut(texts):
+        """Words of each text; white space is a cut."""
+        if one_case:  # special tokens are the only strings in which case counts
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # A to Z only
+        texts = pc.replace_substring(texts, "\n", " ")
+        if stops:
+            texts = pc.replace_substring_regex(texts, "([A-Za-z])([.,])( |$)", r"\1 \2\3")
+        return pc.split_pattern(texts, " ")
 
     def own_stop(word):
         """Whether the stop after a letter is a piece of its own; it joins a mark that normalising takes off the letter."""
         return word.isascii() or normalizer is None or normalizer.normalize_str(word)[-2:-1].isalpha()
 
+    def unknown(words):
+        """Words in neither store; those of the older one go to the younger."""
+        absent = set(words).difference(known)
+        new = absent.difference(older)
+        known.update((w, older[w]) for w in absent.difference(new))
+        return new
+
     def learn(words):
+        nonlocal known, older
+        if len(known) > MOST_WORDS // 2:  # words that come again stay, others are forgotten
+            known, older = {}, known
+        words = unknown(words)
         stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[:-1].isalpha() and own_stop(w)}
-        new = {*(stems.get(w, w) for w in words), ".", ","}.difference(known)
+        new = unknown([*words.difference(stems), *stems.values(), ".", ","]) if stems else words
         simple = [w for w in new if w.isalpha()]
         known.update(zip(simple, single(simple)))
         rest = [w for w in new if not w.isalpha()]
@@ -119,11 +148,15 @@ def _word_encoder(path: str):
             known[w] = known[stem] + known[w[-1]]
 
     def by_word(texts):
-        rows = [cut(t) for t in texts]
-        if len(known) > MOST_WORDS:
-            known.clear()
-        learn({w for r in rows for w in r}.difference(known))
-        return [b"".join([known[w] for w in r]) for r in rows]
+        rows = cut(pa.array(texts, pa.large_string()))
+        words = rows.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        learn(names)
+        ids = pa.array(list(map(known.__getitem__, names)), pa.large_binary()).take(words.indices)
+        _, places, data = ids.buffers()
+        ends = np.frombuffer(places, np.int64)[rows.offsets.to_numpy()].tolist()
+        data = b"" if data is None else data.to_pybytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     return by_word
 
@@ -169,8 +202,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
         types = None
         for whole in batches:
             types = types or [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(whole.schema.field("id").type), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.string(), pa.list_(pa.binary())]
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in _slices(whole):
                 rows = encode([t or "" for t in batch.column("text").to_pylist()])
                 for doc, row in zip(batch.column("id").to_pylist(), rows):
                     ids = np.frombuffer(row, np.uint32)
