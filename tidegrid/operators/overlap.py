@@ -86,6 +86,8 @@ def _word_mask(x1: Column, x2: Column, word: Column) -> Column:
 
 
 BAND = 16
+# holes whose cells a task puts together
+HOLES_PER_TASK = 200_000
 
 
 def visible_fraction(boxes: DataFrame, holes: DataFrame) -> DataFrame:
@@ -94,8 +96,16 @@ def visible_fraction(boxes: DataFrame, holes: DataFrame) -> DataFrame:
     An image is cut into cells of one 64-pixel word by ``BAND`` lines.  A hole is one mask and a range of lines in each
     cell; masks are joined by a bitwise OR line by line, so overlapping holes count once, and a cell ends as one row of
     ``BAND`` words.  A box counts the bits it shares with the lines of its cells: one join on (image, cell).
+    Beyond ``HOLES_PER_TASK`` for each of Spark's shuffle partitions, images and then cells are dealt to as many tasks
+    as holes need, so that a task's memory does not grow with the table; holes are counted for that.
     """
     b, h = box_of(), box_of("h")
+    keys = ["image_id", "band", "word"]
+    usual = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = -(-holes.count() // HOLES_PER_TASK)
+
+    def dealt(df: DataFrame, *by: str) -> DataFrame:
+        return df.repartition(tasks, *by) if tasks > usual else df
 
     def cells(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column) -> DataFrame:
         """The cells of a box: its mask in the cell, and its lines there, ``[top, bottom)``."""
@@ -107,10 +117,13 @@ def visible_fraction(boxes: DataFrame, holes: DataFrame) -> DataFrame:
     def inside(line: int) -> Column:
         return (F.col("top") <= line) & (F.col("bottom") > line)
 
-    covered = cells(holes.select("image_id", "hx1", "hy1", "hx2", "hy2"), h.x1, h.y1, h.x2, h.y2)
+    covered = cells(dealt(holes.select("image_id", "hx1", "hy1", "hx2", "hy2"), "image_id"), h.x1, h.y1, h.x2, h.y2)
+    covered = dealt(covered.select(*keys, "own", "top", "bottom"), *keys)
     lines = [F.bit_or(F.when(inside(i), F.col("own"))).alias(f"line{i}") for i in range(BAND)]
-    covered = covered.groupBy("image_id", "band", "word").agg(*lines)
-    met = cells(boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2"), b.x1, b.y1, b.x2, b.y2).join(repeated(covered), ["image_id", "band", "word"])
+    covered = covered.groupBy(*keys).agg(*lines)
+    spread = cells(dealt(boxes.select("image_id", "box_no", "x1", "y1", "x2", "y2"), "image_id"), b.x1, b.y1, b.x2, b.y2)
+    spread = dealt(spread.select(*keys, "box_no", "own", "top", "bottom"), *keys)
+    met = spread.join(repeated(covered), keys)
     shared = [F.when(inside(i), F.coalesce(F.bit_count(F.col("own").bitwiseAND(F.col(f"line{i}"))), F.lit(0))).otherwise(0) for i in range(BAND)]
     hidden = met.groupBy("image_id", "box_no").agg(F.sum(sum(shared[1:], shared[0])).alias("hidden"))
     joined = boxes.join(hidden, ["image_id", "box_no"], "left")
