@@ -31,6 +31,7 @@ from tidegrid.session import cut_lineage
 
 BITS = 512  # of a document's bitmap
 LEAF = 16
+WORDS = 1 << 20  # of bitmaps that a traversal compares at once
 FEW = 1_000_000  # rows of a table that may be broadcast
 ROWS = 20_000  # members a task compares at once
 BLOCK = 20_000  # members of one shingle compared at once; more go by pairs of pieces
@@ -157,8 +158,9 @@ def candidate_chunks(sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray, pe
     for depth in range(len(children) - 1, -1, -1):
         first, many = children[depth]
         found = [np.zeros((0, 2), np.int64)]
-        for at in range(0, len(pairs), 1 << 11):  # children of both nodes
-            x, y = pairs[at : at + (1 << 11)].T
+        step = max(1, WORDS // (LEAF * LEAF * maps.shape[1]))
+        for at in range(0, len(pairs), step):  # children of both nodes
+            x, y = pairs[at : at + step].T
             n = many[x] * many[y]
             which = np.repeat(np.arange(len(x)), n)
             inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
