@@ -14,6 +14,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,7 @@ class Encoder:
     """Encodes words; keeps what it has learnt about pairs and words up to a fixed number of entries."""
 
     MOST_PAIRS = 2_000_000
-    MOST_WORDS = 500_000
+    MOST_WORDS = 600_000
     STOPS = frozenset(".,;:!?\n")  # one of these after a word is a piece of its own
 
     def __init__(self, path: str):
@@ -111,6 +112,7 @@ class Encoder:
         self.v = Vocabulary(path)
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.chunks: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
         self.good = np.zeros(0, np.int64)  # sorted keys of compatible pairs
         self.bad = np.zeros(0, np.int64)
         self.whole: dict[int, bool] = {}
@@ -168,16 +170,25 @@ class Encoder:
             return [chunk[:-1], chunk[-1]]
         return [chunk[a:b] for _, (a, b) in self.split(chunk)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > self.MOST_WORDS:
-            self.chunks = {}
+    def _absent(self, chunks) -> set[str]:
+        """Chunks in neither store; those of the older one go to the younger."""
+        absent = set(chunks).difference(self.chunks)
+        new = absent.difference(self.older)
+        self.chunks.update((c, self.older[c]) for c in absent.difference(new))
+        return new
+
+    def _known(self, need: set[str]) -> dict[str, bytes]:
+        """A store with the ids of all chunks in ``need``; chunks that come again stay in it, others are forgotten."""
+        if len(self.chunks) > self.MOST_WORDS // 2:
+            self.chunks, self.older = {}, self.chunks
+        pieces = {c: self._pretokens(c) for c in self._absent(need)}
+        new = list(self._absent(p for ps in pieces.values() for p in ps))
         known = self.chunks
-        pieces = {c: self._pretokens(c) for c in chunks if c not in known}
-        new = list({p for ps in pieces.values() for p in ps}.difference(known))
         known.update((p, array("i", ids).tobytes()) for p, ids in zip(new, self.words([p.encode() for p in new]) if new else ()))
         for c, ps in pieces.items():
             if len(ps) > 1:
                 known[c] = b"".join([known[p] for p in ps])
+        return known
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -187,6 +198,46 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit numbers."""
+        rows = pa.array(texts, pa.large_string())
+        words = pc.split_pattern(rows, " ")
+        ends, flat = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        names, at = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        # a word after a space is a chunk, unless white space or the end of the text follows that space
+        odd = np.fromiter((not w or w[0].isspace() for w in names), bool, len(names))[at]
+        odd[ends[:-1]] = False
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        slow = np.bincount(owner[odd], minlength=len(texts)) > 0
+        for s in self.v.special:
+            slow |= pc.match_substring(rows, s).to_numpy(zero_copy_only=False)
+        openers = [names[i] for i in at[ends[:-1]].tolist()]
+        later = np.ones(len(at), bool)
+        later[ends[:-1]] = False
+        later &= ~slow[owner]
+        used = np.flatnonzero(np.bincount(at[later], minlength=len(names))).tolist()
+        place = np.zeros(len(names), np.int64)
+        place[used] = np.arange(len(used))
+        chunks = [" " + names[i] for i in used]
+        first = [w for w, s in zip(openers, slow.tolist()) if w and not s]
+        known = self._known({*chunks, *first})
+        held = [known[c] for c in chunks]
+        number = {w: len(held) + i for i, w in enumerate(dict.fromkeys(["", *first]))}
+        held += [known[w] if w else b"" for w in number]
+        picks = place[at]
+        picks[ends[:-1]] = [number.get(w, number[""]) for w in openers]
+        picks[slow[owner]] = number[""]
+        ids = pa.array(held, pa.large_binary()).take(pa.array(picks))
+        _, places, data = ids.buffers()
+        cuts = np.frombuffer(places, np.int64)[ends].tolist()
+        data = b"" if data is None else data.to_pybytes()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        left = np.flatnonzero(slow).tolist()
+        if left:
+            for i, row in zip(left, self._one_by_one([texts[i] for i in left])):
+                out[i] = row
+        return out
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        """The same for texts with special tokens or white space after a space."""
         parts = []  # per text: pieces, or the bytes of a special token's id
         for t in texts:
             if self.special and any(s in t for s in self.v.special):
@@ -196,14 +247,33 @@ class Encoder:
             else:
                 own = self._cut(t) if t else []
             parts.append(own)
-        need = {c for own in parts for c in own if c.__class__ is str}
-        self._learn(need.difference(self.chunks))
-        if any(c not in self.chunks for c in need):  # the store was emptied on the way
-            self._learn(need)
-        known = self.chunks
+        known = self._known({c for own in parts for c in own if c.__class__ is str})
         return [b"".join([known[c] if c.__class__ is str else c for c in own]) for own in parts]
 
 
+_ENCODERS: dict[str, Encoder] = {}  # a worker keeps its words from task to task
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+SLICE = 1 << 22
+
+
+def _parts(texts: list[str]):
+    """The texts in parts of about SLICE characters: words are told apart once for each part."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    yield texts[at:]
+
+
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Token ids of every whole text: ``id_col, ids array<int>``.
 
@@ -214,17 +284,17 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = path or vocabulary_path()
 
     def make():
-        encoder = Encoder(path)
+        encoder = _encoder(path)
 
         def work(texts):
-            rows = encoder.texts(texts)
+            rows = [row for part in _parts(texts) for row in encoder.texts(part)]
             ends = np.cumsum([0, *map(len, rows)]) // 4
             flat = np.frombuffer(b"".join(rows), np.int32)
             return {"ids": (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), None)}
 
         return work
 
-    return per_document(df, make, f"`{id_col}` {id_type(df, id_col)}, ids array<int>", [text_col, id_col])
+    return per_document(df, make, f"`{id_col}` {id_type(df, id_col)}, ids array<int>", [text_col, id_col], slice_rows=2048)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
