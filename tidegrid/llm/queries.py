@@ -28,8 +28,7 @@ def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ids = bpe.encode(documents(spark, folder))
-    return bpe.decode(ids).select(
+    return bpe.encode(documents(spark, folder), decoded=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
