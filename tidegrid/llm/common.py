@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,18 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+@contextmanager
+def quiet_gc():
+    """No garbage collection inside a task, whose stores hold no cycles and are costly to walk; at its end the worker gives memory back."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def per_document(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, columns: list[str], slice_rows: int = 256) -> DataFrame:
     """Run a batch function over documents inside Spark's partitions, without a shuffle.
 
@@ -24,16 +37,17 @@ def per_document(df: DataFrame, make: Callable[[], Callable[[list], dict]], sche
     text, keep = columns[0], columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the stores of words hold no cycles and are costly to walk
-        work = None
-        for whole in batches:
-            work = work or make()
-            for start in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(start, slice_rows)
-                new = work([t or "" for t in batch.column(text).to_pylist()])
-                arrays = [batch.column(k) for k in keep]
-                arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in new.values()]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
+        with quiet_gc():
+            work = None
+            for whole in batches:
+                work = work or make()
+                for start in range(0, whole.num_rows, slice_rows):
+                    batch = whole.slice(start, slice_rows)
+                    new = work([t or "" for t in batch.column(text).to_pylist()])
+                    arrays = [batch.column(k) for k in keep]
+                    arrays += [v if isinstance(v, pa.Array) else pa.array(v, type=t) for v, t in new.values()]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
+            whole = batch = new = arrays = work = None
 
     return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([text, *keep])]).mapInArrow(run, schema)
 
