@@ -128,7 +128,7 @@ class Vocabulary:
                     stays[stop] = False
                     stays[more] = True
                     owner, last, node, at, token, after = (x[stays] for x in (owner, last, node, at, token, after))
-        owner = np.concatenate([owners_ for owners_ in owners])
+        owner = np.concatenate(owners)
         return np.concatenate(tokens)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
