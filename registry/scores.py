@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from registry.core import add
-from registry.joins import SHORE_PX
+from registry.joins import MATCH, SHORE_PX
 from registry.matching_sql import match_ctes
 from tidegrid.constants import CLASS_THRESHOLDS
 from tidegrid.functions import labels as L
@@ -149,11 +149,9 @@ add(
 )
 add(
     "a9c_detection_f1",
-    lambda fx: SC.detection_scores(fx.pred, fx.gt, matcher=M.isolated_matches).select("tp", "loc_fscore"),
-    """WITH e AS (SELECT pred_id, detect_id, d2, count(*) OVER (PARTITION BY pred_id) AS n1, count(*) OVER (PARTITION BY detect_id) AS n2 FROM
- (SELECT pred_id, detect_id, (p.detect_scene_row-g.detect_scene_row)*(p.detect_scene_row-g.detect_scene_row)+(p.detect_scene_column-g.detect_scene_column)*(p.detect_scene_column-g.detect_scene_column) AS d2
- FROM pred_fx p JOIN gt_fx g ON p.scene_id = g.scene_id) WHERE d2 <= 400)
- SELECT tp, round(2*tp/CAST(np+ng AS DOUBLE),6) AS loc_fscore FROM (SELECT count(*) AS tp FROM e WHERE n1 = 1 AND n2 = 1 AND d2 < 400), (SELECT count(*) AS np FROM pred_fx), (SELECT count(*) AS ng FROM gt_fx)""",
+    lambda fx: SC.detection_scores(fx.pred, fx.gt).select("tp", "loc_fscore"),
+    MATCH
+    + """ SELECT tp, round(2*tp/CAST(np+ng AS DOUBLE),6) AS loc_fscore FROM (SELECT count(*) AS tp FROM x_m), (SELECT count(*) AS np FROM pred_fx), (SELECT count(*) AS ng FROM gt_fx)""",
 )
 SWEEP = score_ctes(CUTS)
 ALL = "objectness_threshold, is_vessel_threshold, is_fishing_threshold, loc_fscore, loc_fscore_shore, vessel_fscore, fishing_fscore, length_acc, aggregate"
