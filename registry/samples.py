@@ -9,6 +9,8 @@ from tidegrid.operators import sampling as SA
 from tidegrid.operators import weights as W
 from tidegrid.operators.matching import match
 from tidegrid.plans import targets as TG
+from tidegrid.plans.scoring import POINT
+from tidegrid.session import cut_lineage
 
 C = F.col
 
@@ -105,6 +107,8 @@ def _round_trip(fx):
         found = TG.detections(TG.decode_maps(maps, stride, 2048, floor=0.9), 0.9)
         place = C("detect_scene_row") * 100000 + C("detect_scene_column")
         found = found.withColumn("pred_id", place + F.expr("CAST(substr(scene_id, 2) AS BIGINT)") * 1000000000000)
+        # written before they are matched: what drew and decoded them is done with
+        found = cut_lineage(found.select("scene_id", "pred_id", *POINT), free=True)
         pairs = match(found, fx.gt)
         row = pairs.agg(F.count("*").alias("tp")).withColumn("stride", F.lit(stride))
         result = row if result is None else result.unionByName(row)

@@ -6,10 +6,14 @@ of a scene's pixels is left, so drawing and suppression work on that sparse form
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegrid.functions.scalars import disk_value, gaussian_value, point_value
+from tidegrid.operators.spatial import cell_of
 
 PIXEL = ("scene_id", "r", "c")
 
@@ -47,34 +51,51 @@ def tight_maxima_dense(maps: DataFrame, value: str, kernel: int = 3) -> DataFram
     return marked.withColumn(value, F.when(keep, F.col(value)).otherwise(F.lit(0.0))).drop("_h", "_v", "_l", "_s")
 
 
+# side of the blocks of a map whose maxima are found by one task
+MAXIMA_BLOCK = 1024
+
+
+def _block_maxima(value: str, half: int, columns: list[str]):
+    """The pixels of one block that no pixel of their square is above."""
+
+    def pick(table: pa.Table) -> pa.Table:
+        # all or none of a block's pixels have a row, and a column
+        r, c = (table[n].cast(pa.int64()).fill_null(0).to_numpy() for n in ("r", "c"))
+        width = int(c.max() - c.min()) + 2 * half + 1
+        place = (r - r.min()) * width + c - c.min()
+        known = table[value].is_valid().to_numpy()
+        rank = np.full(len(table), -1)  # as the values are ordered, NaN last
+        rank[known] = np.unique(table[value].drop_null().to_numpy(), return_inverse=True)[1]
+        order = np.lexsort((rank, place))
+        pixel = order[np.r_[np.diff(place[order]) != 0, True]]
+        place, rank = place[pixel], rank[pixel]
+        top = rank >= 0
+        for a in range(-half, half + 1):
+            for b in range(-half, half + 1):
+                other = place + a * width + b
+                at = np.minimum(np.searchsorted(place, other), len(place) - 1)
+                top &= (place[at] != other) | (rank[at] <= rank)
+        return table.select(columns).take(pa.array(pixel[top & table["own"].to_numpy()[pixel]]))
+
+    return pick
+
+
 def local_maxima_sparse(maps: DataFrame, value: str, kernel: int = 3) -> DataFrame:
     """Pixels that are the maximum of their square, for maps with pixels left out.
 
-    Each pixel tells its value to its neighbourhood and the pixels keep the largest one
-    they hear.  Neighbours mostly sit in the same input partition, so the partial
-    aggregation shrinks the repeated rows before the one shuffle.
+    A pixel goes to its block, and to others only from the border between them; a block
+    answers its own pixels.  A block is bounded by its pixels.
     """
     half = (kernel - 1) // 2
-    others = [c for c in maps.columns if c not in PIXEL]
-    own = F.struct(*[F.col(c) for c in others])
-    steps = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
-            for a in range(-half, half + 1)
-            for b in range(-half, half + 1)
-        ]
-    )
-    told = maps.select(*PIXEL, F.col(value).alias("_v"), own.alias("_own"), F.explode(steps).alias("_s"))
-    told = told.select(
-        "scene_id",
-        (F.col("r") + F.col("_s.a")).alias("r"),
-        (F.col("c") + F.col("_s.b")).alias("c"),
-        "_v",
-        F.when((F.col("_s.a") == 0) & (F.col("_s.b") == 0), F.col("_own")).alias("_own"),
-    )
-    heard = told.groupBy(*PIXEL).agg(F.max("_v").alias("_best"), F.first("_own", ignorenulls=True).alias("_own"))
-    top = heard.filter(F.col("_own").isNotNull() & (F.col("_own")[value] >= F.col("_best")))
-    return top.select(*PIXEL, *[F.col("_own")[c].alias(c) for c in others])
+    columns = [*PIXEL, *[c for c in maps.columns if c not in PIXEL]]
+    spread, own = maps, F.lit(True)
+    for axis, at in (("block_r", F.col("r")), ("block_c", F.col("c"))):
+        reached = F.sequence(cell_of(at - half, MAXIMA_BLOCK), cell_of(at + half, MAXIMA_BLOCK))
+        # pixels without a row or column are neighbours of each other, too
+        spread = spread.withColumn(axis, F.explode(F.coalesce(reached, F.array(F.lit(None).cast("bigint")))))
+        own &= F.col(axis).eqNullSafe(cell_of(at, MAXIMA_BLOCK))
+    schema = StructType([maps.schema[c] for c in columns])
+    return spread.withColumn("own", own).groupBy("scene_id", "block_r", "block_c").applyInArrow(_block_maxima(value, half, columns), schema)
 
 
 def _spread(objects: DataFrame, reach: Column, height: int, width: int) -> DataFrame:

@@ -5,9 +5,9 @@ connected components of the candidate edges.  The steps:
 
 1. detections and labels are counted per pixel (and per threshold level), where
    more than three share one, which bounds every later group by its number of pixels;
-2. a grid join gives the candidate edges;
-3. edges are grouped by square blocks of the scene; a block solves all of its
-   components that no other block can touch;
+2. both go to square blocks of the scene, labels also to the blocks next to them
+   that they reach, and a task finds the candidate edges of its blocks by grid cells;
+3. a block solves all of its components that no other block can touch;
 4. the few components across block borders are joined by label passing between
    blocks and then solved one by one; a component too large for a task is solved
    piece by piece (see ``wide``).
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidegrid.constants import DISTANCE_TOLERANCE_M, PIX_TO_M
 from tidegrid.operators.assign import EDGE_COLUMNS, MATCH_SCHEMA, PAIRED, PAIRED_LOW, PAIRED_SHORE, solve_edges
 from tidegrid.operators.ranking import chunked_rank, hash_chunk
-from tidegrid.operators.spatial import cell_of, pairs_within
+from tidegrid.operators.spatial import cell_of, close_pairs, pairs_within
 from tidegrid.operators.wide import FIRST_BLOCK, solve_wide
 from tidegrid.session import cut_lineage
 
@@ -45,6 +45,8 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 
 
 MATCH_ARROW, BLOCK_ARROW = _arrow_schema(MATCH_SCHEMA), _arrow_schema(BLOCK_SCHEMA)
+# groups of blocks that a task of the first step takes one after another
+GROUPS_PER_TASK = 4
 # edges a task solves at once in the second step
 EDGES_PER_GROUP = 200_000
 # edges of a component above which it is solved piece by piece
@@ -112,13 +114,43 @@ def _nodes(rows: DataFrame, keys: Sequence[str], row_id: str, node: str, copies:
     return named.drop("_lo", "_hi", "_sum", "_n")
 
 
-def candidate_edges(preds: DataFrame, labels: DataFrame, radius_px: float) -> DataFrame:
-    """Edges between pixel nodes; a node of copies is named by the smallest id on it."""
+def block_nodes(preds: DataFrame, labels: DataFrame, block: int, reach: int, buckets: int, groups: int) -> tuple[DataFrame, DataFrame]:
+    """Pixel nodes by the blocks that pair them; a node of copies is named by the smallest id on it.
+
+    A detection belongs to one block, a label goes to every block that holds a place within its reach.
+    """
     p = _nodes(preds, NODE_KEYS_P, "pred_id", "p", "pn")
     p = p.withColumnsRenamed({"detect_scene_row": "p_r", "detect_scene_column": "p_c"})
+    p = p.withColumns({"block_r": cell_of(F.col("p_r"), block), "block_c": cell_of(F.col("p_c"), block)})
     g = _nodes(labels, NODE_KEYS_G, "detect_id", "g", "gn")
     g = g.withColumnsRenamed({"detect_scene_row": "g_r", "detect_scene_column": "g_c"})
-    return pairs_within(p, g, radius_px, ("p_r", "p_c"), ("g_r", "g_c"))
+    for axis, at in (("block_r", F.col("g_r")), ("block_c", F.col("g_c"))):
+        g = g.withColumn(axis, F.explode(F.sequence(cell_of(at - reach, block), cell_of(at + reach, block))))
+
+    def dealt(nodes: DataFrame) -> DataFrame:
+        there = nodes.filter("scene_id IS NOT NULL AND block_r IS NOT NULL AND block_c IS NOT NULL")
+        bucket = F.pmod(F.xxhash64("scene_id", "block_r", "block_c"), F.lit(groups))
+        return there.withColumn("bucket", bucket).repartition(buckets, "bucket")
+
+    return dealt(p), dealt(g)
+
+
+def candidate_edges(p: pa.Table, g: pa.Table, radius_px: float) -> pa.Table:
+    """Edges between the nodes of each block."""
+    scene = pa.chunked_array([*p["scene_id"].chunks, *g["scene_id"].chunks], p["scene_id"].type).combine_chunks().dictionary_encode()
+    if isinstance(scene, pa.ChunkedArray):
+        scene = scene.combine_chunks()
+    group = scene.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    for n in ("block_r", "block_c"):
+        names, at = np.unique(np.concatenate([p[n].to_numpy(), g[n].to_numpy()]), return_inverse=True)
+        group = group * len(names) + at
+    ends = (group[: len(p)], p["p_r"].to_numpy(), p["p_c"].to_numpy()), (group[len(p) :], g["g_r"].to_numpy(), g["g_c"].to_numpy())
+    i, j, d2 = close_pairs(*ends, radius_px)
+    edges = p.drop_columns(["bucket"]).take(pa.array(i))
+    theirs = g.select([n for n in g.column_names if n not in (*p.column_names, "bucket")]).take(pa.array(j))
+    for n in theirs.column_names:
+        edges = edges.append_column(n, theirs[n])
+    return edges.append_column("d2", pa.array(d2, pa.int64()))
 
 
 def _columns(table: pa.Table) -> tuple[dict, pa.Array]:
@@ -138,8 +170,11 @@ def _match_table(rows: dict, scenes: pa.Array) -> pa.Table:
     return pa.table([columns[n] for n in MATCH_COLUMNS], schema=MATCH_ARROW)
 
 
-def _solve_blocks(limit2: int, drop_low: bool, block: int, reach: int):
-    def solve(table: pa.Table) -> pa.Table:
+def _solve_blocks(radius: float, limit2: int, drop_low: bool, block: int, reach: int):
+    def solve(p: pa.Table, g: pa.Table) -> pa.Table:
+        table = candidate_edges(p, g, radius).combine_chunks()
+        if not len(table):
+            return BLOCK_ARROW.empty_table()
         edges, scenes = _columns(table)
         r0, c0 = edges["block_r"] * block, edges["block_c"] * block
         g_r, g_c = edges["g_r"], edges["g_c"]
@@ -241,18 +276,11 @@ def match_levels(
     radius = tolerance_m / PIX_TO_M
     limit2, reach = int(np.ceil(radius * radius - 1e-9)), int(np.ceil(radius))
     preds, golds = _pred_nodes(pred, thresholds, shore), _label_nodes(labels, drop_low, shore)
-    edges = candidate_edges(preds, golds, radius).withColumns(
-        {"block_r": cell_of(F.col("p_r"), block_px), "block_c": cell_of(F.col("p_c"), block_px)}
-    )
     # many blocks share a task: a group costs a fixed amount of time in Python
     buckets = 2 * int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("scene_id", "block_r", "block_c"), F.lit(buckets)).alias("bucket")
-    edges = edges.select(bucket, "scene_id", "block_r", "block_c", *PLACE_COLUMNS, *EDGE_COLUMNS)
-    solved = cut_lineage(
-        edges.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
-            _without("bucket", _solve_blocks(limit2, drop_low, block_px, reach)), BLOCK_SCHEMA
-        )
-    )
+    p, g = block_nodes(preds, golds, block_px, reach, buckets, GROUPS_PER_TASK * buckets)
+    solver = _solve_blocks(radius, limit2, drop_low, block_px, reach)
+    solved = cut_lineage(p.groupBy("bucket").cogroup(g.groupBy("bucket")).applyInArrow(solver, BLOCK_SCHEMA), free=True)
     rows = solved.filter("kind >= 0").select(*MATCH_COLUMNS)
     facts = solved.agg(F.count_if(F.col("kind") < 0).alias("open"), F.bool_or("copies").alias("copies")).first()
     copies = bool(facts["copies"])

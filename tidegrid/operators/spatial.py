@@ -64,6 +64,40 @@ def pairs_within(
     return joined.withColumn("d2", d2).filter(F.col("d2") <= F.lit(radius * radius)).drop("cell_r", "cell_c")
 
 
+def close_pairs(a: tuple, b: tuple, radius: float, at_once: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same pairs inside a task: indices into ``a`` and ``b``, and the squared distance.
+
+    Both are whole-number columns ``group, r, c``; only points of one group pair.  Candidates come from the nine cells
+    around each point of ``a``, ``at_once`` of them at a time.
+    """
+    size = max(int(np.ceil(radius)), 1)
+    (a_group, a_r, a_c), (b_group, b_r, b_c) = a, b
+    # cells by rank among those that can meet, so that keys stay small; three neighbours have ranks that follow each other
+    near_r, near_c = (np.unique(np.add.outer((-1, 0, 1), np.unique(x // size))) for x in (a_r, a_c))
+
+    def key(group: np.ndarray, cell_r: np.ndarray, cell_c: np.ndarray) -> np.ndarray:
+        return (group * len(near_r) + np.searchsorted(near_r, cell_r)) * len(near_c) + np.searchsorted(near_c, cell_c)
+
+    met = np.flatnonzero(np.isin(b_r // size, near_r) & np.isin(b_c // size, near_c))
+    keys = key(b_group[met], b_r[met] // size, b_c[met] // size)
+    order = np.argsort(keys, kind="stable")
+    keys, met = keys[order], met[order]
+    found = [(np.zeros(0, dtype=np.int64),) * 3]
+    for step in (-1, 0, 1):
+        at = key(a_group, a_r // size + step, a_c // size)
+        first, n = np.searchsorted(keys, at - 1), np.searchsorted(keys, at + 1, side="right")
+        n -= first
+        upto = np.r_[0, np.cumsum(n)]
+        cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(at_once, upto[-1], at_once)), len(n)])
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            i = np.repeat(np.arange(x, y), n[x:y])
+            j = met[np.arange(len(i)) + np.repeat(first[x:y] - (upto[x:y] - upto[x]), n[x:y])]
+            d2 = (a_r[i] - b_r[j]) ** 2 + (a_c[i] - b_c[j]) ** 2
+            near = d2 <= radius * radius
+            found.append((i[near], j[near], d2[near]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def near_any(
     df: DataFrame,
     points: DataFrame,

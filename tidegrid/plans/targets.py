@@ -90,7 +90,9 @@ def encode_targets(
 
 
 # side of the blocks of a map that are drawn by one task
-MAP_BLOCK = 128
+MAP_BLOCK = 256
+# pixels a block draws at once
+DRAWN = 1 << 20
 
 
 def _draw_block(rows: int, cols: int, circle: bool, ignore_value: float):
@@ -119,13 +121,14 @@ def _draw_block(rows: int, cols: int, circle: bool, ignore_value: float):
                 sigma = (radius * 2 + 1) / 6.0
                 heat = np.exp(-d2 / (2.0 * sigma * sigma))
                 heat[(heat < DOUBLE_EPS) | (np.maximum(np.abs(dy), np.abs(dx)) > radius)] = 0.0
-            r, c = by["oy"][of, None] + dy - r0, by["ox"][of, None] + dx - c0
-            inside = (r >= 0) & (r < h) & (c >= 0) & (c < w)
-            at = (r * w + c)[inside]
-            np.maximum.at(grid["obj"], at, np.broadcast_to(heat, inside.shape)[inside])
-            for n in classes:
-                drawn = np.where(circle & (d2 <= label_radius * label_radius), value[n][of, None], 0.0)
-                np.maximum.at(grid[n], at, drawn[inside])
+            for some in np.array_split(of, -(-len(of) * len(d2) // DRAWN)):
+                r, c = by["oy"][some, None] + dy - r0, by["ox"][some, None] + dx - c0
+                inside = (r >= 0) & (r < h) & (c >= 0) & (c < w)
+                at = (r * w + c)[inside]
+                np.maximum.at(grid["obj"], at, np.broadcast_to(heat, inside.shape)[inside])
+                for n in classes:
+                    drawn = np.where(circle & (d2 <= label_radius * label_radius), value[n][some, None], 0.0)
+                    np.maximum.at(grid[n], at, drawn[inside])
         touched = grid["obj"] > nothing
         for n in ("off_x", "off_y"):
             grid[n][touched] = 0.0

@@ -49,7 +49,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that a lost executor costs no recomputation of the past."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# shuffle files of a plan made while this is set go when its action has ended, not when the driver collects its garbage
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, free: bool = False) -> DataFrame:
+    """Materialise ``df`` reliably so that a lost executor costs no recomputation of the past.
+
+    With ``free`` the shuffle files behind it are removed as soon as it is written.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if not free:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        freed = df.select("*")
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    return freed.checkpoint(eager=True)
