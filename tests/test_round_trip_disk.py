@@ -78,3 +78,16 @@ def test_a_block_is_drawn_in_steps(monkeypatch):
     at_once = TG._draw_block(400, 400, True, 255.0)(table)
     monkeypatch.setattr(TG, "DRAWN", 64)
     assert at_once.num_rows > n and TG._draw_block(400, 400, True, 255.0)(table).equals(at_once)
+
+
+@pytest.mark.parametrize("labels", ["circle", "point"])
+def test_objects_are_sent_with_what_is_drawn_only(spark, labels):
+    schema = "scene_id STRING, detect_id BIGINT, x BIGINT, y BIGINT, confidence STRING, is_vessel BIGINT, is_fishing BIGINT, length_px DOUBLE"
+    rows = [("a", 1, 16, 18, "HIGH", 0, 1, 4.0), ("a", 1, 18, 16, "HIGH", 1, 0, 4.0), ("a", 2, 17, 17, "LOW", 255, 255, 9.0)]
+    maps = TG.encode_targets(spark.createDataFrame(rows, schema), 64, 64, 16, labels=labels, fixed_radius=1)
+    sent = maps._jdf.queryExecution().optimizedPlan().toString()
+    assert ("w_len_log" in sent) == (labels == "point") and ("max(len_log" in sent) == (labels == "circle")
+    centre = maps.filter("r = 1 AND c = 1").first()
+    # of the two with one id the vessel is written last
+    assert (centre["off_x"], centre["off_y"]) == (2 / 16, 0.0)
+    assert (centre["vsl"], centre["fsh"]) == ((255.0, 255.0) if labels == "circle" else (1.0, 0.0))

@@ -71,12 +71,14 @@ def encode_targets(
     }
     placed = place_objects(objects, stride, fixed_radius, labels_radius).withColumns(values)
     ignored = F.coalesce(F.col("confidence") == "LOW", F.lit(False)) if ignore_low else F.lit(False)
-    written = F.struct(drawing_order().alias("o"), *values, "off_x", "off_y")
+    # circles show the largest values, points those of the last writer; of one id, classes decide who that is
+    drawn, last_drawn = (list(values), []) if circle else ([], list(values))
+    written = F.struct(drawing_order().alias("o"), *(last_drawn or ("vsl", "fsh")), "off_x", "off_y")
     kinds = placed.groupBy("scene_id", "oy", "ox", "radius", "label_radius", ignored.alias("ignored")).agg(
-        *[F.max(n).alias(n) for n in values], F.max(written).alias("w")
+        F.max(written).alias("w"), *[F.max(n).alias(n) for n in drawn]
     )
     last = {"w_rank": F.coalesce("w.o.rank", F.lit(-1)), "w_neg": F.col("w.o.neg").cast("double"), "w_id": F.col("w.o.id").cast("bigint")}
-    last |= {"w_" + n: F.col("w." + n) for n in (*values, "off_x", "off_y")}
+    last |= {"w_" + n: F.col("w." + n) for n in (*last_drawn, "off_x", "off_y")}
     kinds = kinds.withColumns(last).drop("w")
     reach = F.greatest("radius", "label_radius") if circle else F.col("radius")
     for axis, centre, size in (("block_r", "oy", rows), ("block_c", "ox", cols)):
@@ -127,8 +129,8 @@ def _draw_block(rows: int, cols: int, circle: bool, ignore_value: float):
                 at = (r * w + c)[inside]
                 np.maximum.at(grid["obj"], at, np.broadcast_to(heat, inside.shape)[inside])
                 for n in classes:
-                    drawn = np.where(circle & (d2 <= label_radius * label_radius), value[n][some, None], 0.0)
-                    np.maximum.at(grid[n], at, drawn[inside])
+                    drawn = np.where(d2 <= label_radius * label_radius, value[n][some, None], 0.0)[inside] if circle else 0.0
+                    np.maximum.at(grid[n], at, drawn)
         touched = grid["obj"] > nothing
         for n in ("off_x", "off_y"):
             grid[n][touched] = 0.0
